@@ -2,10 +2,13 @@
 
 # --- character classes -------------------------------------------------------------------
 # The characters that count as white space (Java regex class body).
-SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # The characters that make up a word (Java regex class body).
 WORD = r"\p{L}\p{N}_"
 
+# Terminal escape sequences.
+ANSI_ESCAPE = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
+
 # --- sentence scoring --------------------------------------------------------------------
 # Signal words and phrases, one group per class, in order.
 SIGNAL_WORDS = [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,15 +37,17 @@ def lookup_join(
 
     Rows of a hot key get one of `salts` numbers from a hash of `spread_by` (a unique row id
     where there is one) and the matching right rows are repeated once per number. Other keys
-    keep number 0, so their rows move as in a plain join. Spark still turns this into a
+    keep number 0, so their rows move as in a plain join. Rows without a key, which match
+    nothing, are spread as well. Spark still turns this into a
     broadcast join when it measures `right` to be small. The salt is a hash of the row, so a
     task that runs again after a lost executor sends every row to the same place.
     """
     on = list(on)
     hot = hot_keys(left, on, min_rows).withColumn("_hot", F.lit(True))
     spread = [F.col(c) for c in (spread_by or _hashable(left))]
+    keyless = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     salted_left = left.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), _salt(spread, salts)).otherwise(F.lit(0))
+        "_salt", F.when(F.col("_hot") | keyless, _salt(spread, salts)).otherwise(F.lit(0))
     ).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0))

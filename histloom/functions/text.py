@@ -13,7 +13,7 @@ from histloom import constants as K
 _EDGES = f"^[{K.SPACE}]+|[{K.SPACE}]+$"
 _BEFORE, _AFTER = f"(?<![{K.WORD}])", f"(?![{K.WORD}])"
 SIGNAL_CLASSES = [f"{_BEFORE}(?:{w}){_AFTER}" for w in [*K.SIGNAL_WORDS, K.SIGNAL_NUMBER]]
-ANY_SIGNAL = "|".join(SIGNAL_CLASSES)
+ANY_SIGNAL = f"{_BEFORE}(?:{'|'.join([*K.SIGNAL_WORDS, K.SIGNAL_NUMBER])}){_AFTER}"
 
 
 def strip(c: Column) -> Column:

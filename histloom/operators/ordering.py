@@ -41,6 +41,13 @@ def leave_last_out(df: DataFrame, user: str, time: str, seq: str) -> DataFrame:
     )
 
 
+def split_name(index: Column, cuts: tuple[int, int] = K.SPLIT_CUTS) -> Column:
+    """The split of a user by rank (from 0) among the users of the category."""
+    return (
+        F.when(index < cuts[0], "training").when(index < cuts[1], "validation").otherwise("test")
+    )
+
+
 def rank_split(
     users: DataFrame, category: str, user: str, cuts: tuple[int, int] = K.SPLIT_CUTS
 ) -> DataFrame:
@@ -48,11 +55,8 @@ def rank_split(
 
     Only ranks below the last cut are computed; every other user is test.
     """
-    first, second = cuts
-    ranked = first_per_group(users.select(category, user), [category], [F.col(user)], second, "_rn")
-    named = ranked.withColumn(
-        "split", F.when(F.col("_rn") <= first, "training").otherwise("validation")
-    ).drop("_rn")
+    ranked = first_per_group(users.select(category, user), [category], [F.col(user)], cuts[1], "_rn")
+    named = ranked.withColumn("split", split_name(F.col("_rn") - 1, cuts)).drop("_rn")
     return users.join(named, [category, user], "left").withColumn(
         "split", F.coalesce("split", F.lit("test"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histloom import constants as K
@@ -11,26 +11,28 @@ from histloom.operators.ordering import (
     first_distinct,
     full_groups,
     keep_last,
-    leave_last_out,
-    rank_split,
+    split_name,
 )
-from histloom.operators.skew import lookup_join
 
 
-def products_from_meta(meta: DataFrame) -> DataFrame:
-    """One product per id: the later row wins, a price that is no number is null."""
+def products_from_meta(meta: DataFrame, needed: DataFrame | None = None) -> DataFrame:
+    """One product per id: the later row wins, a price that is no number is null.
+
+    `needed` (parent_asin) cuts the metadata to those ids before rows are compared.
+    """
     ids = first_nonempty(F.col("parent_asin"), F.col("asin"))
-    latest = keep_last(meta.withColumn("_id", ids).filter(F.col("_id") != ""), ["_id"], ["seq"])
+    keyed = meta.withColumn("parent_asin", ids).drop("asin").filter(F.col("parent_asin") != "")
+    if needed is not None:
+        keyed = keyed.join(needed, "parent_asin", "left_semi")
     price = F.expr("try_cast(price as double)").alias("price")
-    return latest.select(
-        F.col("_id").alias("parent_asin"),
-        F.struct("title", "brand", price, "main_category").alias("product"),
+    return keep_last(keyed, ["parent_asin"], ["seq"]).select(
+        "parent_asin", F.struct("title", "brand", price, "main_category").alias("product")
     )
 
 
 def review_histories(
     reviews: DataFrame,
-    products: DataFrame,
+    meta: DataFrame,
     five_core: DataFrame,
     target_users: int = K.TARGET_USERS,
     per_user: int = K.REVIEWS_PER_USER,
@@ -38,22 +40,26 @@ def review_histories(
 ) -> DataFrame:
     """One row per kept review with `role`, `split`, its product and its excerpt.
 
-    `reviews` (user_id, category, parent_asin, timestamp, rating, title, text, seq), `products`
-    (parent_asin, product struct, one row each), `five_core` (user_id, category, seq). All
-    categories run in one job. The chosen users are few, so the big scan of reviews is cut by
-    a semi join before anything else moves.
+    `reviews` (user_id, category, parent_asin, timestamp, rating, title, text, seq), `meta`
+    (parent_asin, asin, title, brand, price text, main_category, seq), `five_core` (user_id,
+    category, seq). All categories run in one job. There are at most `target_users` users per
+    category and `per_user` reviews per user, whatever the size of the files, so these sides
+    are broadcast: neither reviews nor metadata are shuffled before they are cut down. With
+    groups that small, held-out rows and splits are windows over what is left.
     """
     chosen = first_distinct(five_core, "category", "user_id", "seq", target_users)
-    users = chosen.select("category", "user_id")
-    own = lookup_join(reviews, users, ["category", "user_id"], "left_semi", spread_by=["seq"])
+    users = F.broadcast(chosen.select("category", "user_id"))
+    own = reviews.join(users, ["category", "user_id"], "left_semi")
     kept = full_groups(own, ["category", "user_id"], [F.col("seq")], per_user).drop("rn")
-    split = rank_split(kept.select("category", "user_id").distinct(), "category", "user_id", cuts)
-    keyed = kept.withColumn("_user", F.struct("category", "user_id"))
-    roles = leave_last_out(keyed, "_user", "timestamp", "seq").drop("_user")
-    enriched = lookup_join(roles, products, ["parent_asin"], "left", spread_by=["seq"])
-    return with_excerpt(
-        enriched.join(split, ["category", "user_id"]), "text", "review_excerpt"
-    ).withColumn("timestamp", F.coalesce("timestamp", F.lit(0).cast("long")))
+    newest = Window.partitionBy("category", "user_id").orderBy(F.desc("timestamp"), F.desc("seq"))
+    index = F.dense_rank().over(Window.partitionBy("category").orderBy("user_id")) - 1
+    marked = (
+        kept.withColumn("timestamp", F.coalesce("timestamp", F.lit(0).cast("long")))
+        .withColumn("role", F.when(F.row_number().over(newest) == 1, "heldout").otherwise("history"))
+        .withColumn("split", split_name(index, cuts))
+    )
+    products = products_from_meta(meta, F.broadcast(kept.select("parent_asin").distinct()))
+    return with_excerpt(marked, "text", "review_excerpt").join(products, "parent_asin", "left")
 
 
 def nested_histories(rows: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from histloom.functions.text import history_text, product_text
 from histloom.functions.times import epoch_millis
 from histloom.operators import ordering as O
-from histloom.operators.skew import first_per_group, lookup_join
-from histloom.plans.reviews import nested_histories, products_from_meta, review_histories
+from histloom.operators.skew import first_per_group
+from histloom.plans.reviews import nested_histories, review_histories
 from histloom.queries import sql as S
 from histloom.queries.registry import query, table
 
@@ -19,7 +19,7 @@ def orders_by_user(spark, sf):
     customer = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("category")
     )
-    return lookup_join(table(spark, sf, "orders"), customer, ["o_custkey"], "inner", ["o_orderkey"])
+    return table(spark, sf, "orders").join(customer, "o_custkey")
 
 
 def reviews(spark, sf):
@@ -133,9 +133,7 @@ select category, user_id, split, role, seq, parent_asin, rating, "timestamp", pr
 from cut""",
 )
 def histories(spark, sf):
-    rows = review_histories(
-        reviews(spark, sf), products_from_meta(product_meta(spark, sf)), reviews(spark, sf)
-    )
+    rows = review_histories(reviews(spark, sf), product_meta(spark, sf), reviews(spark, sf))
     return rows.select(
         "category", "user_id", "split", "role", "seq", "parent_asin", "rating", "timestamp",
         F.col("product.title").alias("product_title"), "product.brand", "product.price",
@@ -157,9 +155,7 @@ select category, user_id, string_agg(line, chr(10) order by "timestamp", seq) fi
 from lines group by all""",
 )
 def history_texts(spark, sf):
-    rows = review_histories(
-        reviews(spark, sf), products_from_meta(product_meta(spark, sf)), reviews(spark, sf)
-    )
+    rows = review_histories(reviews(spark, sf), product_meta(spark, sf), reviews(spark, sf))
     nested = nested_histories(rows)
     return nested.select(
         "category",

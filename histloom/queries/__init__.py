@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from histloom.queries import histories, interactions, signals  # noqa: F401
+from histloom.queries import groups, histories, interactions, signals  # noqa: F401
 from histloom.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

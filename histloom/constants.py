@@ -166,3 +166,14 @@ SURVEY_SECTIONS = {
 }
 SURVEY_TITLE = "### Survey Information"
 RAW_SURVEY_HEADING = "**Survey Data:**"
+
+# --- pages and documents -----------------------------------------------------------------
+CHUNK_CHARS = 1024
+LINKS_PER_REQUEST = 3
+# Elements that start a new line of text.
+BLOCK_TAGS = [
+    "address", "article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt",
+    "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+    "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "td",
+    "tfoot", "th", "thead", "title", "tr", "ul",
+]

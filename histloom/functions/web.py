@@ -104,7 +104,7 @@ def url_rules(statuses: dict[str, str], blocked: Iterable[str] = ()) -> Column:
 
 
 def rules_of_table(rules: DataFrame) -> Column:
-    """The rules of a table (url, status, ord) as one value for `url_allowed`.
+    """The rules of a table (url, status, ord) as one value; add it as a column for `url_allowed`.
 
     The latest status of a URL counts, at the place where the URL came first. The number of
     rules is checked when the query runs.

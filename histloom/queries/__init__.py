@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from histloom.queries import evaluation, groups, histories, interactions, signals, texts  # noqa: F401
+from histloom.queries import evaluation, groups, histories, interactions, signals, state, texts  # noqa: F401
 from histloom.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -127,9 +127,9 @@ def order_histories(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "review_histories",
-    f"""with {HISTORIES_SQL}, cut as (select *, {S.sentences('"text"')} sents from hist)
+    f"""with {HISTORIES_SQL}, {S.with_excerpt("hist", '"text"')}
 select category, user_id, split, role, seq, parent_asin, rating, "timestamp", product_title, brand, price,
-       main_category, {S.excerpt('"text"', "sents")} review_excerpt
+       main_category, review_excerpt
 from cut""",
 )
 def histories(spark, sf):
@@ -143,12 +143,12 @@ def histories(spark, sf):
 
 @query(
     "history_text",
-    f"""with {HISTORIES_SQL}, cut as (select *, {S.sentences('"text"')} sents from hist),
+    f"""with {HISTORIES_SQL}, {S.with_excerpt("hist", '"text"')},
 lines as (
   select category, user_id, role, "timestamp", seq,
          '- ' || coalesce(product_title, 'None') || ' | Rating: ' || rating || '/5 | Review: ' ||
-         case when {S.strip('ex')} = '' then '(No review provided)' else {S.strip('ex')} end line
-  from (select *, {S.excerpt('"text"', "sents")} ex from cut)
+         case when review_excerpt = '' then '(No review provided)' else {S.strip('review_excerpt')} end line
+  from cut
 )
 select category, user_id, string_agg(line, chr(10) order by "timestamp", seq) filter (where role = 'history') history_text,
        max(line) filter (where role = 'heldout') heldout_text

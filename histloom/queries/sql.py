@@ -55,14 +55,14 @@ def score_by_match(x: str) -> str:
     return f"(2 * len(regexp_extract_all({_doubled(x)}, {pattern})) + {bonus(x)})::INT"
 
 
-def excerpt(x: str, sents: str, score=score_by_match, max_chars: int = 900, least: int = 2) -> str:
-    """The excerpt of text `x`, whose sentences are in column `sents`."""
+def with_excerpt(
+    source: str, text: str, score=score_by_match, max_chars: int = 900, least: int = 2
+) -> str:
+    """Common table expressions that add the column `review_excerpt` to table `source` as `cut`."""
     scored = (
-        f"list_sort(list_transform({sents}, lambda s, i: "
-        f"{{'score': {score('s')}, 'at': i, 's': s}}), 'DESC')"
+        f"list_sort(list_transform(sents, lambda s, i: {{'score': {score('s')}, 'at': i, 's': s}}), 'DESC')"
     )
     state = "{'used': 0::BIGINT, 'n': 0::BIGINT, 'done': false, 'chosen': [e.s]}"
-    fits = f"not acc.done and acc.used + length(e.chosen[1]) + 1 <= {max_chars}"
     used = "acc.used + length(e.chosen[1]) + 1"
     taken = (
         f"{{'used': {used}, 'n': acc.n + 1, "
@@ -70,18 +70,16 @@ def excerpt(x: str, sents: str, score=score_by_match, max_chars: int = 900, leas
         f"'chosen': list_concat(acc.chosen, e.chosen)}}"
     )
     start = "{'used': 0::BIGINT, 'n': 0::BIGINT, 'done': false, 'chosen': []::VARCHAR[]}"
-    chosen = (
-        f"list_reduce(list_transform({scored}, lambda e: {state}), "
-        f"lambda acc, e: case when {fits} then {taken} else acc end, {start}).chosen"
-    )
-    picked = (
-        f"left(array_to_string(list_filter({sents}, lambda s: list_contains({chosen}, s)), ' '), {max_chars})"
-    )
-    return (
-        f"case when {x} is null or {strip(x)} = '' then '' "
-        f"when len({sents}) <= {least} then left({x}, {max_chars}) "
-        f"when len({chosen}) = 0 then left({x}, {max_chars}) else {picked} end"
+    fold = (
+        f"list_reduce(list_transform({scored}, lambda e: {state}), lambda acc, e: "
+        f"case when not acc.done and {used} <= {max_chars} then {taken} else acc end, {start}).chosen"
     )
+    picked = f"left(array_to_string(list_filter(sents, lambda s: list_contains(chosen, s)), ' '), {max_chars})"
+    return f"""
+split_ as materialized (select *, {sentences(text)} sents from {source}),
+fold_ as materialized (select *, {fold} chosen from split_),
+cut as (select * exclude (sents, chosen), case when {text} is null or {strip(text)} = '' then ''
+  when len(sents) <= {least} or len(chosen) = 0 then left({text}, {max_chars}) else {picked} end review_excerpt from fold_)"""
 
 
 def draw_key(seed: int, x: str) -> str:

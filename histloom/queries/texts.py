@@ -37,12 +37,15 @@ def sentence_score_match(spark, sf):
     return sentences(spark, sf).select("doc_id", "pos", T.sentence_score_by_match(F.col("s")).alias("score"))
 
 
-@query("excerpt", f"""with {SENTS} select doc_id, {S.excerpt('"text"', 'sents')} excerpt from sents""")
+@query("excerpt", f"""with {S.with_excerpt("documents", '"text"')} select doc_id, review_excerpt excerpt from cut""")
 def excerpt(spark, sf):
     return T.with_excerpt(docs(spark, sf), "text", "excerpt").select("doc_id", "excerpt")
 
 
-@query("excerpt_by_class", f"""with {SENTS} select doc_id, {S.excerpt('"text"', 'sents', S.score_by_class, 400)} excerpt from sents""")
+@query(
+    "excerpt_by_class",
+    f"""with {S.with_excerpt("documents", '"text"', S.score_by_class, 400)} select doc_id, review_excerpt excerpt from cut""",
+)
 def excerpt_by_class(spark, sf):
     rows = T.with_excerpt(docs(spark, sf), "text", "excerpt", max_chars=400, score=T.sentence_score_by_class)
     return rows.select("doc_id", "excerpt")
@@ -246,7 +249,8 @@ def url_policy_table(spark, sf):
     partly = table(spark, sf, "nation").select(
         F.concat(F.lit("n_"), n.cast("string"), F.lit("/")).alias("url"), F.lit("blocked").alias("status"), (n + 1_000_000).cast("long").alias("ord")
     )
-    return pages.select("page_id", W.url_allowed(F.col("url"), W.rules_of_table(exact.unionByName(partly))).alias("allowed"))
+    staged = pages.withColumn("rules", W.rules_of_table(exact.unionByName(partly)))
+    return staged.select("page_id", W.url_allowed(F.col("url"), F.col("rules")).alias("allowed"))
 
 
 def elements(spark, sf):

@@ -10,20 +10,33 @@ from pyspark.sql import functions as F
 
 from histloom import constants as K
 
-_EDGES = f"^[{K.SPACE}]+|[{K.SPACE}]+$"
 _BEFORE, _AFTER = f"(?<![{K.WORD}])", f"(?![{K.WORD}])"
 SIGNAL_CLASSES = [f"{_BEFORE}(?:{w}){_AFTER}" for w in [*K.SIGNAL_WORDS, K.SIGNAL_NUMBER]]
-ANY_SIGNAL = f"{_BEFORE}(?:{'|'.join([*K.SIGNAL_WORDS, K.SIGNAL_NUMBER])}){_AFTER}"
+
+
+def _by_first_letter(words: list[str]) -> str:
+    """One alternation with the words grouped by first letter, so that a place in a text is
+    compared with each first letter once, not with each word."""
+    groups: dict[str, list[str]] = {}
+    for word in words:
+        groups.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items())
+
+
+ANY_SIGNAL = (
+    f"{_BEFORE}(?:{_by_first_letter('|'.join(K.SIGNAL_WORDS).split('|'))}|{K.SIGNAL_NUMBER}){_AFTER}"
+)
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, Unicode spaces included."""
-    return F.regexp_replace(c, _EDGES, "")
+    return F.trim(c, F.lit(K.SPACES))
 
 
 def squeeze(c: Column) -> Column:
-    """Every run of white space as one blank, none at the ends."""
-    return strip(F.regexp_replace(c, f"[{K.SPACE}]+", " "))
+    """Every run of white space as one blank, none at the ends. Single blanks are no match, so
+    most of a text is passed over."""
+    return strip(F.regexp_replace(c, f"[{K.SPACE}]{{2,}}|(?! )[{K.SPACE}]", " "))
 
 
 def normalize_text(c: Column, max_chars: int | None = None) -> Column:
@@ -53,8 +66,9 @@ def _length_bonus(s: Column) -> Column:
 
 def sentence_score_by_class(s: Column) -> Column:
     """Two points for each of the six signal classes found, and up to two for length."""
-    low = F.lower(s)
-    hits = [low.rlike(p).cast("int") for p in SIGNAL_CLASSES]
+    # one scan finds all signals; no word is in two classes, so the short list of hits tells which
+    found = F.concat_ws(" ", F.regexp_extract_all(F.lower(s), F.lit(ANY_SIGNAL), F.lit(0)))
+    hits = [found.rlike(p).cast("int") for p in SIGNAL_CLASSES]
     return sum(hits[1:], hits[0]) * K.SIGNAL_POINTS + _length_bonus(s)
 
 
@@ -211,4 +225,4 @@ def truncate_tokens(c: Column, n: int) -> Column:
     """The first `n` words. `n` = -1 keeps the text."""
     if n == -1:
         return c
-    return F.concat_ws(" ", F.slice(F.split(squeeze(c), " "), 1, n))
+    return F.concat_ws(" ", F.slice(F.split(strip(c), f"[{K.SPACE}]+", n + 1), 1, n))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 1_000
 SALTS = 128
+MAX_SPLIT_GROUPS = 1_000_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
@@ -82,18 +83,18 @@ def first_per_group(
 
 def with_part(df: DataFrame, keys: Sequence[str], row_id: Sequence[str], max_rows: int) -> DataFrame:
     """Number the records that a group needs: 0 for a group of up to `max_rows` rows, else a
-    hash of the row id over ceil(rows / max_rows) parts. Every row stays."""
+    hash of the row id over ceil(rows / max_rows) parts. Every row stays.
+
+    The sizes of the MAX_SPLIT_GROUPS largest groups are broadcast, a bounded table; a group
+    beyond them has less than that fraction of all rows and stays in one record.
+    """
     keys = list(keys)
-    big = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
-    )
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
+    big = F.broadcast(sizes.orderBy(F.desc("_n"), *keys).limit(MAX_SPLIT_GROUPS))
     ids = [F.col(c) for c in row_id]
     parts = F.ceil(F.col("_n") / max_rows)
-    return (
-        lookup_join(df, big, keys, "left", spread_by=row_id)
-        .withColumn("part", F.coalesce(F.pmod(F.xxhash64(*ids), parts), F.lit(0)).cast("int"))
-        .drop("_n")
-    )
+    part = F.coalesce(F.pmod(F.xxhash64(*ids), parts), F.lit(0)).cast("int")
+    return df.join(big, keys, "left").withColumn("part", part).drop("_n")
 
 
 def nest(
@@ -105,7 +106,11 @@ def nest(
     max_rows: int = 100_000,
 ) -> DataFrame:
     """Collect rows to one ordered array per group; a group over `max_rows` becomes several
-    records with a `part` number, so that no record or task holds an unbounded group."""
+    records with a `part` number, so that no record or task holds an unbounded group.
+
+    Rows are read twice, once to count them: hand in a table (see `session.written`) rather
+    than the end of a long plan.
+    """
     keys = list(keys)
     item = F.struct(F.struct(*order).alias("_o"), F.struct(*fields).alias("_v"))
     return (

@@ -10,7 +10,7 @@ from histloom.functions import vectors as V
 from histloom.functions.text import first_tagged, last_tagged
 from histloom.plans import evaluation as E
 from histloom.queries import sql as S
-from histloom.queries.registry import query, table
+from histloom.queries.registry import query, table, texts
 
 
 def answers(spark, sf):
@@ -43,7 +43,7 @@ def answers(spark, sf):
         .when(kind < 7, F.concat(F.lit("Here "), body, F.lit(" end")))
         .otherwise(body)
     )
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents", "doc_id", "text").select(
         F.col("doc_id").alias("user_id"),
         F.array(cut(1, 60), cut(61, 60), cut(121, 60)).alias("excerpts"),
         raw.alias("raw"),
@@ -172,7 +172,7 @@ def tagged(spark, sf):
     both = F.concat(
         F.lit("pre <d> "), F.left(text, F.lit(20)), F.lit("</d> mid <d>"), F.substring(text, 21, 20), F.lit(" </d>")
     )
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", F.when(F.col("doc_id") % 4 == 0, text).otherwise(both).alias("t")
     )
 

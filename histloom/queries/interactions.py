@@ -8,6 +8,7 @@ from histloom.functions import nested as N
 from histloom.functions.text import first_nonempty, usable_text
 from histloom.plans import interactions as P
 from histloom.queries.registry import query, table
+from histloom.session import written
 
 
 def actions(spark, sf):
@@ -219,7 +220,7 @@ def interaction_counts(spark, sf):
 )
 def user_interactions(spark, sf):
     item = lambda i: F.concat_ws("|", i["session_id"], i["asin"], i["title"], i["price"], i["type"])
-    records = P.user_records(users(spark, sf), rows(spark, sf))
+    records = P.user_records(users(spark, sf), written(rows(spark, sf), "interactions"))
     return records.select(
         "user_id", "part", "gold_persona", F.concat_ws(";", F.transform("interactions", item)).alias("items")
     )
@@ -238,13 +239,13 @@ def _sections_sql(kinds):
 
 @query("interaction_sections", _sections_sql(["purchase", "cart", "click"]))
 def interaction_sections(spark, sf):
-    records = P.user_records(users(spark, sf), rows(spark, sf))
+    records = P.user_records(users(spark, sf), written(rows(spark, sf), "interactions"))
     return records.select("user_id", "part", P.sections(F.col("interactions")).alias("text"))
 
 
 @query("interaction_sections_some", _sections_sql(["purchase", "click"]))
 def interaction_sections_some(spark, sf):
-    records = P.user_records(users(spark, sf), rows(spark, sf))
+    records = P.user_records(users(spark, sf), written(rows(spark, sf), "interactions"))
     return records.select("user_id", "part", P.sections(F.col("interactions"), ["purchase", "click"]).alias("text"))
 
 

@@ -338,9 +338,9 @@ from users u left join tops t on t.date = u.date left join measured m on m.user_
 )
 def alignment_grades(spark, sf):
     targets = dated_users(spark, sf).join(F.broadcast(vectors(spark, sf)), "date", "left")
-    rows = targets.join(answers(spark, sf), "user_id")
-    scores = V.trait_scores(F.col("answers"))
-    return rows.select("user_id", V.alignment_grade(F.col("vector"), scores).alias("grade"))
+    measured = answers(spark, sf).select("user_id", V.trait_scores(F.col("answers")).alias("scores"))
+    rows = targets.join(measured, "user_id")
+    return rows.select("user_id", V.alignment_grade(F.col("vector"), F.col("scores")).alias("grade"))
 
 
 @query(

@@ -17,8 +17,8 @@ from histloom.plans.signals import upsert_cache
 from histloom.queries import groups
 from histloom.queries import interactions as Q
 from histloom.queries.interactions import ACTIONS_SQL
-from histloom.queries.registry import query, table
-from histloom.session import scratch_path
+from histloom.queries.registry import query, table, texts
+from histloom.session import scratch_path, written
 from histloom.sources import readers as I
 from histloom.sources import writers as O
 
@@ -58,7 +58,7 @@ def knowledge_merge(spark, sf):
     f"with {LOG_SQL} select product, list, string_agg(value, ',' order by seq) as \"values\" from merged group by all",
 )
 def knowledge_lists(spark, sf):
-    lists = G.entry_lists(G.merge(log(spark, sf)))
+    lists = G.entry_lists(written(G.merge(log(spark, sf)), "entries"))
     return lists.select("product", "list", F.concat_ws(",", "entries").alias("values"))
 
 
@@ -189,7 +189,7 @@ def ordinal_model(spark, sf):
       where w <> '' group by all) group by doc_id""",
 )
 def text_vectors(spark, sf):
-    rows = R.text_vectors(table(spark, sf, "documents").select("doc_id", "text"), "text", "v")
+    rows = R.text_vectors(texts(spark, sf, "documents", "doc_id", "text"), "text", "v")
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     return rows.filter(length > 0).select("doc_id", F.round(length, 6).alias("size"))
 
@@ -382,7 +382,7 @@ def sink_keyed_json(spark, sf):
 def sink_user_json(spark, sf):
     path = scratch_path(spark, "users")
     sessions = Q.sessions(spark, sf)
-    bought = P.purchases(sessions, Q.actions(spark, sf).drop("user_id"))
+    bought = written(P.purchases(sessions, Q.actions(spark, sf).drop("user_id")), "purchases")
     O.write_documents(P.user_json(P.interview_personas(Q.users(spark, sf)), sessions, bought), path)
     schema = (
         "user_id string, persona string, num_sessions long, num_purchases long, "

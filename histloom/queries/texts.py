@@ -10,11 +10,11 @@ from histloom.functions import text as T
 from histloom.functions import web as W
 from histloom.plans import pages as P
 from histloom.queries import sql as S
-from histloom.queries.registry import query, table
+from histloom.queries.registry import query, table, texts
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return texts(spark, sf, "documents", "doc_id", "text")
 
 
 SENTS = f'sents as (select doc_id, "text", {S.sentences(chr(34) + "text" + chr(34))} sents from documents)'
@@ -69,8 +69,8 @@ def keyword_sentence_filter(spark, sf):
     f"""select doc_id, md5(lower({S.squeeze('"text"')})) as text, left(lower({S.squeeze('"text"')}), 24) short from documents""",
 )
 def normalize_text(spark, sf):
-    c = F.col("text")
-    return docs(spark, sf).select("doc_id", F.md5(T.normalize_text(c)).alias("text"), T.normalize_text(c, 24).alias("short"))
+    rows = docs(spark, sf).withColumn("n", T.normalize_text(F.col("text")))
+    return rows.select("doc_id", F.md5("n").alias("text"), T.normalize_text(F.col("text"), 24).alias("short"))
 
 
 @query("strip_ansi", """select conv_id, turn, "text" from conversations""")
@@ -142,7 +142,7 @@ def marked_pages(spark, sf):
     )
     html = F.replace(F.col("html"), F.lit("</head>"), F.concat(head, F.lit("</head>")))
     html = F.replace(html, F.lit("</body>"), F.concat(item, F.lit("</body>")))
-    return table(spark, sf, "pages").select("page_id", "url", html.alias("html"))
+    return texts(spark, sf, "pages", "page_id", "url", "html").select("page_id", "url", html.alias("html"))
 
 
 @query(
@@ -186,7 +186,7 @@ PAGE_TEXT = S.strip(f"array_to_string(list_filter(string_split({_PLAIN}, chr(10)
 
 @query("page_text", f"select page_id, {PAGE_TEXT} as text from pages")
 def page_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", W.page_text(F.col("html")).alias("text"))
+    return texts(spark, sf, "pages", "page_id", "html").select("page_id", W.page_text(F.col("html")).alias("text"))
 
 
 @query(
@@ -199,7 +199,7 @@ def page_text(spark, sf):
     from links left join texts on page_id = target group by request_id""",
 )
 def read_pages(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = texts(spark, sf, "pages", "page_id", "url", "html")
     known = pages.select("page_id", F.col("url").alias("_u"))
 
     def link(df, n, target):
@@ -257,7 +257,7 @@ def elements(spark, sf):
     """Elements from the links of a page, with tags, roles and flags set by position."""
     anchors = F.regexp_extract_all("html", F.lit('<a href="[^"]*">([^<]*)</a>'), F.lit(1))
     pos = F.col("pos")
-    rows = table(spark, sf, "pages").select("page_id", F.posexplode(F.concat(anchors, anchors, anchors, anchors)).alias("pos", "t"))
+    rows = texts(spark, sf, "pages", "page_id", "html").select("page_id", F.posexplode(F.concat(anchors, anchors, anchors, anchors)).alias("pos", "t"))
     return rows.select(
         "page_id",
         "pos",

@@ -48,6 +48,16 @@ def _schema(schema: Schema) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
+def balanced(df: DataFrame, key: str) -> DataFrame:
+    """A scan with at least one partition per core, for work that is heavy per row.
+
+    A table of many files comes back as it is. Only one with fewer splits than the session has
+    cores, such as a single small file, is spread by a hash of its unique key.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def numbered_lines(spark: SparkSession, paths: Paths) -> DataFrame:
     """Lines of text files with their file and their line number from 1.
 

@@ -191,8 +191,8 @@ def test_window_means_differ_by_weight(spark):
 
 def test_traits_and_grades(spark):
     df = spark.sql("select map('A', 0.2D, 'B', 0.5D, 'C', 0.5D) t, map('5', 6, '14', 0, '21', 4, '3', 2) a")
-    top = df.select(V.top_trait(F.col("t")).alias("x"), V.max_gap_trait(F.col("t"), F.create_map(F.lit("A"), F.lit(0.7))).alias("g")).first()
-    assert top.x.key == "B" and top.g.trait == "A" and top.g.actual == 0.7
+    top = df.select(V.top_trait(F.col("t")).alias("x"), V.max_gap_trait(F.col("t"), F.create_map(F.lit("A"), F.lit(0.8))).alias("g")).first()
+    assert top.x.key == "B" and top.g.trait == "A" and top.g.actual == 0.8
     s = df.select(V.trait_scores(F.col("a")).alias("s")).first().s
     assert s["SECURITY"] == 5.0 and s["UNIVERSALISM"] == 2.0 and s["POWER"] == 0.0 and len(s) == 10
     grades = spark.sql("""select map('SECURITY', 1D) t, map('SECURITY', 4.5D) s union all select map('SECURITY', 1D), map('SECURITY', 3.5D)

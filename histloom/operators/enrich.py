@@ -115,18 +115,21 @@ def two_pass(
     """
     order = ["subreddit", "pos"]
     people = corpus(posts, ["user_id"], order, "post", user_chars)
-    places = corpus(posts, ["user_id", "subreddit"], ["pos"], "post", community_chars).withColumn(
-        "_key", F.concat_ws("\u0001", F.col("user_id").cast("string"), "subreddit")
-    )
+    both = F.concat_ws("\u0001", F.col("user_id").cast("string"), "subreddit")
+    places = corpus(posts, ["user_id", "subreddit"], ["pos"], "post", community_chars)
     fields = ["age", "gender", "occupation", "location"]
     unknown = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.lit("unknown")] * 4))
     described = enrich(people, "user_id", "corpus", describe).select(
         "user_id", F.coalesce(json_in_text(F.col("value")), unknown).alias("anchor_demographics")
     )
-    rated = enrich(places, "_key", "corpus", rate).select("_key", json_in_text(F.col("value")).alias("_map"))
+    rated = enrich(places.withColumn("_key", both), "_key", "corpus", rate).select(
+        F.split("_key", "\u0001")[0].cast(posts.schema["user_id"].dataType).alias("user_id"),
+        F.split("_key", "\u0001")[1].alias("subreddit"),
+        json_in_text(F.col("value")).alias("_map"),
+    )
     vector = F.transform_values("_map", lambda k, v: v.try_cast("double"))
     return (
-        places.join(rated.filter(F.col("_map").isNotNull()), "_key")
+        rated.filter(F.col("_map").isNotNull())
         .join(described, "user_id")
         .select(
             "user_id", "subreddit", "anchor_demographics",

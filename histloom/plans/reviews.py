@@ -13,6 +13,7 @@ from histloom.operators.ordering import (
     keep_last,
     split_name,
 )
+from histloom.session import written
 
 
 def products_from_meta(meta: DataFrame, needed: DataFrame | None = None) -> DataFrame:
@@ -45,12 +46,14 @@ def review_histories(
     category, seq). All categories run in one job. There are at most `target_users` users per
     category and `per_user` reviews per user, whatever the size of the files, so these sides
     are broadcast: neither reviews nor metadata are shuffled before they are cut down. With
-    groups that small, held-out rows and splits are windows over what is left.
+    groups that small, held-out rows and splits are windows over what is left. What is kept is
+    written once, so that looking up its products does not scan the reviews again.
     """
     chosen = first_distinct(five_core, "category", "user_id", "seq", target_users)
     users = F.broadcast(chosen.select("category", "user_id"))
     own = reviews.join(users, ["category", "user_id"], "left_semi")
-    kept = full_groups(own, ["category", "user_id"], [F.col("seq")], per_user).drop("rn")
+    full = full_groups(own, ["category", "user_id"], [F.col("seq")], per_user).drop("rn")
+    kept = written(full, "kept_reviews")
     newest = Window.partitionBy("category", "user_id").orderBy(F.desc("timestamp"), F.desc("seq"))
     index = F.dense_rank().over(Window.partitionBy("category").orderBy("user_id")) - 1
     marked = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histloom.functions.text import history_text, product_text
@@ -114,13 +114,16 @@ from ranked join splits on c_custkey = o_custkey where rn <= 6 and n >= 2""",
 def order_histories(spark: SparkSession, sf: str) -> DataFrame:
     """For each customer the last order, held out, the five before it, and the split."""
     latest = [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]
-    last = first_per_group(orders_by_user(spark, sf), ["o_custkey"], latest, 6).drop("rn")
-    roles = O.leave_last_out(last, "o_custkey", "o_orderdate", "o_orderkey")
+    last = first_per_group(orders_by_user(spark, sf), ["o_custkey"], latest, 6)
+    several = F.count(F.lit(1)).over(Window.partitionBy("o_custkey")) >= 2
+    roles = last.withColumn("role", F.when(F.col("rn") == 1, "heldout").otherwise("history")).withColumn(
+        "several", several
+    )
     users = table(spark, sf, "customer").select(
         F.col("c_nationkey").alias("category"), F.col("c_custkey").alias("o_custkey")
     )
     split = O.rank_split(users, "category", "o_custkey")
-    return roles.join(split, ["category", "o_custkey"]).select(
+    return roles.filter("several").join(split, ["category", "o_custkey"]).select(
         "o_custkey", "category", "o_orderkey", "o_totalprice", "role", "split"
     )
 

@@ -89,7 +89,7 @@ def knowledge_prune(spark, sf):
 
 @query("knowledge_active", f"with {LOG_SQL} select * from merged where product not in {_PRUNED}")
 def knowledge_active(spark, sf):
-    return G.active(products(spark, sf), G.merge(log(spark, sf)))
+    return G.active(products(spark, sf), written(G.merge(log(spark, sf)), "entries"))
 
 
 @query(
@@ -155,7 +155,7 @@ def two_pass_enrich(spark, sf):
     posts = community_posts(groups.posts(spark, sf)).select(
         F.col("author").alias("user_id"), "subreddit", F.posexplode("posts").alias("pos", "post")
     )
-    rows = E.two_pass(posts, _describe, _rate, K.CORPUS_CHARS, K.COMMUNITY_CORPUS_CHARS)
+    rows = E.two_pass(written(posts, "posts"), _describe, _rate, K.CORPUS_CHARS, K.COMMUNITY_CORPUS_CHARS)
     return rows.select(
         "user_id", "subreddit", F.col("anchor_demographics")["age"].alias("age"), F.col("shift_vector")["POWER"].alias("power")
     )

@@ -192,26 +192,18 @@ def page_text(spark, sf):
 @query(
     "read_pages",
     f"""with texts as (select page_id, url, {PAGE_TEXT} body from pages), links as (
-      select page_id request_id, 0 pos, page_id + 1 target from pages union all select page_id, 1, page_id * 2 from pages
-      union all select page_id, 2, 0 from pages)
-    select request_id, string_agg('--- Content from ' || coalesce(url, 'http://none/' || target) || ' ---' || chr(10) ||
-      coalesce(body, 'Error: page not found') || chr(10) || chr(10), '' order by pos) as text
-    from links left join texts on page_id = target group by request_id""",
+      select page_id // 4 request_id, 0 pos, 'http://none/' || (page_id // 4) url, null::VARCHAR body from pages where page_id % 4 = 0
+      union all select page_id // 4, page_id % 4 + 1, url, body from texts)
+    select request_id, string_agg('--- Content from ' || url || ' ---' || chr(10) || coalesce(body, 'Error: page not found') ||
+      chr(10) || chr(10), '' order by pos) as text from links where pos < 3 group by request_id""",
 )
 def read_pages(spark, sf):
     pages = texts(spark, sf, "pages", "page_id", "url", "html")
-    known = pages.select("page_id", F.col("url").alias("_u"))
-
-    def link(df, n, target):
-        at = df.withColumn("_t", target).join(known.withColumnRenamed("page_id", "_t"), "_t", "left")
-        url = F.coalesce("_u", F.concat(F.lit("http://none/"), F.col("_t").cast("string")))
-        return at.withColumn(f"l{n}", url).drop("_t", "_u")
-
-    rows = pages.select("page_id")
-    for n, target in enumerate([F.col("page_id") + 1, F.col("page_id") * 2, F.lit(0).cast("long")]):
-        rows = link(rows, n, target)
-    requests = rows.select(F.col("page_id").alias("request_id"), F.array("l0", "l1", "l2", "l0").alias("links"))
-    return P.read_pages(requests, pages)
+    request = F.floor(F.col("page_id") / 4).alias("request_id")
+    asked = pages.groupBy(request).agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("p"))
+    unknown = F.concat(F.lit("http://none/"), F.col("request_id").cast("string"))
+    links = F.concat(F.array(unknown), F.transform("p", lambda x: x["url"]))
+    return P.read_pages(asked.select("request_id", links.alias("links")), pages)
 
 
 _RULES = {"http://": "allowed", ".example.org": "blocked", "/en/": "blocked", "https://m.": "allowed"}

@@ -76,7 +76,7 @@ def full_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
 def first_distinct(df: DataFrame, category: str, user: str, seq: str, n: int) -> DataFrame:
     """The first `n` distinct users of each category in scan order, with the row they appear in."""
     firsts = (
-        df.filter(F.col(user).isNotNull())
+        df.filter(F.col(user).cast("string") != "")
         .groupBy(category, user)
         .agg(F.min(seq).alias("first_seq"))
     )

@@ -131,6 +131,13 @@ def sections(items: Column, kinds: str | list[str] | None = None) -> Column:
     return F.concat_ws("\n\n", *parts)
 
 
+def purchase_lines(items: Column) -> Column:
+    """A line with title and price for each item that has an id and a title."""
+    named = F.filter(items, lambda i: (i["asin"] != "") & (i["title"] != ""))
+    price = lambda i: F.concat(F.lit("$"), F.coalesce(i["price"], F.lit("None")))
+    return F.concat_ws("\n", F.transform(named, lambda i: bullet(i["title"], price(i))))
+
+
 def user_json(personas: DataFrame, sessions: DataFrame, bought: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """One JSON document per user (several for a user with very many purchases) with counts."""
     counts = sessions.select("user_id", "session_id").distinct().groupBy("user_id").agg(

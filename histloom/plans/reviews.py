@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from histloom import constants as K
 from histloom.functions.text import first_nonempty, with_excerpt
+from histloom.operators.lookups import frequent
 from histloom.operators.ordering import (
     first_distinct,
     full_groups,
     keep_last,
     split_name,
 )
+from histloom.operators.skew import lookup_join
 from histloom.session import written
 
 
@@ -65,6 +67,16 @@ def review_histories(
     return with_excerpt(marked, "text", "review_excerpt").join(products, "parent_asin", "left")
 
 
+def qualifying_reviews(reviews: DataFrame, more_than: int = 6, n: int = 30) -> DataFrame:
+    """The first `n` reviews, in file order, of users with more than `more_than` reviews.
+
+    Each task keeps only its own first `n` rows, so the sort never sees the table.
+    """
+    active = frequent(reviews, "user_id", more_than).select("user_id")
+    own = lookup_join(reviews, active, ["user_id"], "left_semi", spread_by=["seq"])
+    return own.orderBy("seq").limit(n)
+
+
 def nested_histories(rows: DataFrame) -> DataFrame:
     """One record per user: the ordered `history` array, `heldout`, and `split`. Histories are
     bounded by the reviews kept per user."""

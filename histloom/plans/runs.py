@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histloom.functions.text import answers_match, first_nonempty, strip
+from histloom.functions.text import answers_match, first_nonempty
 
 
 def without_attachments(tasks: DataFrame) -> DataFrame:
@@ -20,9 +20,12 @@ def task_by_id(tasks: DataFrame, task_id: str) -> DataFrame:
 
 
 def result_records(tasks: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """One record per run: the task, its outcome, and whether the answer is right."""
+    """One record per run: the task, its outcome, and whether the answer is right. Further
+    columns of the outcomes, such as a run id, stay."""
     error = F.col("error")
+    more = [c for c in outcomes.columns if c not in ("task_id", "system_answer", "execution_time", "error")]
     return tasks.join(outcomes, "task_id").select(
+        *more,
         "task_id",
         "question",
         "expected_answer",
@@ -74,11 +77,12 @@ def summary_text(summary: DataFrame) -> DataFrame:
 
 
 def result_line(df: DataFrame) -> DataFrame:
-    """One line of text per result."""
+    """One line of text per result, and a second one for an error."""
     yes = lambda c: F.when(F.col(c), "True").otherwise("False")
     line = F.concat(
         F.lit("Task "), F.col("task_id"), F.lit(": Success="), yes("success"),
         F.lit(", Match="), yes("answer_match"), F.format_string(", Time=%.2fs", "execution_time"),
         F.when(F.col("timed_out"), ", TIMED OUT").otherwise(""),
     )
-    return df.select("task_id", strip(line).alias("line"))
+    error = F.concat(F.lit("  Error: "), F.left("error", F.lit(100)), F.lit("..."))
+    return df.select("*", F.concat_ws("\n", line, error).alias("line"))

@@ -87,32 +87,54 @@ def mean_of_rows(
 
 
 def date_vectors(signals: DataFrame, date: str = "day") -> DataFrame:
-    """The value vector of every date that has any signal."""
-    return signals.select(F.col(date).alias("date"), signal_vector().alias("vector")).filter(
-        F.col("vector").isNotNull()
-    )
+    """The value vector of every date that has news; null where all signals are 0."""
+    return signals.select(F.col(date).alias("date"), signal_vector().alias("vector"))
 
 
 def upsert_cache(cache: DataFrame, fresh: DataFrame, key: str = "date") -> DataFrame:
-    """The cache with fresh rows in place of old ones."""
-    return cache.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+    """The cache with fresh rows in place of old ones; fresh rows without a vector are left out."""
+    new = fresh.filter(F.col("vector").isNotNull())
+    return cache.join(new.select(key), key, "left_anti").unionByName(new)
 
 
 def attach_vectors(users: DataFrame, fresh: DataFrame, cache: DataFrame) -> DataFrame:
-    """Each user with the vector of the date: fresh, else cached, else the flat prior."""
-    new = F.broadcast(fresh.select("date", F.col("vector").alias("_fresh")))
+    """Each user with the vector of the date: fresh, else cached, else the flat prior.
+
+    A date that was computed but has no signal gets the prior, whatever the cache holds.
+    """
+    new = F.broadcast(fresh.select("date", F.col("vector").alias("_fresh"), F.lit(True).alias("_known")))
     old = F.broadcast(cache.select("date", F.col("vector").alias("_cached")))
+    found = F.when(F.col("_known"), F.col("_fresh")).otherwise(F.col("_cached"))
     return (
         users.join(new, "date", "left")
         .join(old, "date", "left")
-        .withColumn("psych_vector", F.coalesce("_fresh", "_cached", flat_prior()))
-        .drop("_fresh", "_cached")
+        .withColumn("psych_vector", F.coalesce(found, flat_prior()))
+        .drop("_fresh", "_known", "_cached")
     )
 
 
+def attach_window_vectors(users: DataFrame, daily: DataFrame, date: str = "date") -> DataFrame:
+    """Each user with the vector of the mean over the days around the date.
+
+    The flat prior where the first signal is missing on all of those days; null where all
+    signals are 0.
+    """
+    means = mean_of_daily_means(users, daily, date).filter(F.col("val_power").isNotNull())
+    vectors = F.broadcast(means.select(date, signal_vector().alias("_v"), F.lit(True).alias("_known")))
+    value = F.when(F.col("_known"), F.col("_v")).otherwise(flat_prior())
+    return users.join(vectors, date, "left").withColumn("psych_vector", value).drop("_v", "_known")
+
+
+def updated_daily(users: DataFrame, news: DataFrame, backup: DataFrame) -> DataFrame:
+    """The daily signals of the backup, and of the user dates that it lacks: only the news of
+    those days is read."""
+    dates = users.select(F.col("date").alias("day"))
+    return backup.unionByName(daily_signals(news_of_days(news, missing_dates(dates, backup))))
+
+
 def enrich_users(users: DataFrame, news: DataFrame, cache: DataFrame) -> DataFrame:
     """Exact-day enrichment: only days that the cache lacks are read from the news table."""
-    dates = users.select(F.col("date").alias("day")).distinct()
+    dates = users.select(F.col("date").alias("day"))
     todo = missing_dates(dates, cache.select(F.col("date").alias("day")))
     fresh = date_vectors(daily_signals(news_of_days(news, todo)))
     return attach_vectors(users, fresh, cache)

@@ -372,6 +372,18 @@ def run_summary_text(spark, sf):
     return R.summary_text(R.run_summary(R.result_records(tasks(spark, sf), outcomes(spark, sf))))
 
 
+@query(
+    "result_lines",
+    f"""with {RUNS_SQL} select run_id, 'Task ' || task_id || ': Success=' || case when failed then 'False' else 'True' end ||
+    ', Match=' || case when answer_match then 'True' else 'False' end || printf(', Time=%.2fs', execution_time) ||
+    case when timed_out then ', TIMED OUT' || chr(10) || '  Error: Task Timed Out after 300 s...'
+    when failed then chr(10) || '  Error: no module...' else '' end line from runs""",
+)
+def result_lines(spark, sf):
+    records = R.result_records(tasks(spark, sf), outcomes(spark, sf))
+    return R.result_line(records).select("run_id", "line")
+
+
 @query(
     "task_filter",
     "select 't' || item_id task_id from benchmark where item_id % 3 <> 0",

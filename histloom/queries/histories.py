@@ -9,7 +9,7 @@ from histloom.functions.text import history_text, product_text
 from histloom.functions.times import epoch_millis
 from histloom.operators import ordering as O
 from histloom.operators.skew import first_per_group
-from histloom.plans.reviews import nested_histories, review_histories
+from histloom.plans.reviews import nested_histories, qualifying_reviews, review_histories
 from histloom.queries import sql as S
 from histloom.queries.registry import query, table
 
@@ -168,6 +168,15 @@ def history_texts(spark, sf):
     )
 
 
+@query(
+    "qualifying_reviews",
+    f"""with {REVIEWS_SQL} select seq, user_id from reviews
+    where user_id in (select user_id from reviews group by user_id having count(*) > 12) order by seq limit 30""",
+)
+def qualifying(spark, sf):
+    return qualifying_reviews(reviews(spark, sf), 12, 30).select("seq", "user_id")
+
+
 @query(
     "leave_last_out",
     """

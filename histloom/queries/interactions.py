@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from histloom.functions import nested as N
 from histloom.functions.text import first_nonempty, usable_text
+from histloom.operators.skew import nest
 from histloom.plans import interactions as P
 from histloom.queries.registry import query, table
 from histloom.session import written
@@ -249,6 +250,17 @@ def interaction_sections_some(spark, sf):
     return records.select("user_id", "part", P.sections(F.col("interactions"), ["purchase", "click"]).alias("text"))
 
 
+@query(
+    "purchase_lines",
+    f"""with {ACTIONS_SQL} select user_id, 0 part, coalesce(string_agg('- ' || title || ' ($' || price || ')', chr(10) order by seq, pos)
+    filter (where asin <> '0000000000'), '') as text from items where type = 'purchase' group by user_id""",
+)
+def purchase_lines(spark, sf):
+    bought = written(P.purchases(sessions(spark, sf), actions(spark, sf).drop("user_id")), "purchases")
+    nested = nest(bought, ["user_id"], ["seq", "pos"], ["asin", "title", "price"], "items")
+    return nested.select("user_id", "part", P.purchase_lines(F.col("items")).alias("text"))
+
+
 @query(
     "product_details",
     r"""select event_id seq, case when k % 2 = 0 then 'A' || lpad(k::VARCHAR, 9, '0') else '' end asin,

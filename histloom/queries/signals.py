@@ -107,7 +107,7 @@ LONG = " union all ".join(
 
 
 def vectors(spark, sf):
-    return P.date_vectors(daily(spark, sf))
+    return P.date_vectors(daily(spark, sf)).filter("vector is not null")
 
 
 def _long(df, vector, *keys):
@@ -248,6 +248,29 @@ def cache_upsert(spark, sf):
     return _long(P.upsert_cache(cached(spark, sf), vectors(spark, sf)), "vector", "date")
 
 
+@query(
+    "window7_users",
+    f"""with {NEWS_SQL}, means as (
+  select date, {', '.join(f'avg({n}) {n}' for n in K.SIGNAL_CODES)} from win join daily using (day) group by date having avg(val_power) is not null),
+{_vector_ctes('means', 'date')}, long as ({LONG}), names as (select unnest({K.VALUE_NAMES!r}) trait)
+select user_id, n.trait, case when m.date is null then 0.11 else l.score end::DOUBLE score from users u cross join names n
+left join means m on m.date = u.date left join long l on l.date = u.date and l.trait = n.trait""",
+)
+def window7_users(spark, sf):
+    users = P.attach_window_vectors(dated_users(spark, sf), daily(spark, sf))
+    return _long(users, "psych_vector", "user_id")
+
+
+@query(
+    "updated_daily",
+    f"""with {NEWS_SQL} select day, round(val_power, 6) val_power from daily where day in (select date from dates) or day < date '2024-01-20'""",
+)
+def updated_daily(spark, sf):
+    backup = daily(spark, sf).filter("day < date'2024-01-20'")
+    rows = P.updated_daily(dated_users(spark, sf), news(spark, sf), backup)
+    return rows.select("day", F.round("val_power", 6).alias("val_power"))
+
+
 def _calibrated_sql(factors):
     scaled = {n: f"{n} * {factors[n]}" for n in K.VALUE_NAMES}
     if factors is K.VALUE_MEANS:

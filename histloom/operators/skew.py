@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 1_000
-SALTS = 128
+KEYLESS_SALTS = 4_096
 MAX_SPLIT_GROUPS = 1_000_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """The largest keys with more than `min_rows` rows: at most MAX_HOT_KEYS rows, so it is
-    always small enough to broadcast. Ties end by key, so every evaluation gives the same set."""
+    """The largest keys with more than `min_rows` rows, and how often that is (`salts`).
+
+    At most MAX_HOT_KEYS rows, so always small enough to broadcast. Ties end by key, so every
+    evaluation gives the same set.
+    """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_rows)
-    return counts.orderBy(F.desc("_n"), *keys).limit(MAX_HOT_KEYS).drop("_n")
+    top = counts.orderBy(F.desc("_n"), *keys).limit(MAX_HOT_KEYS)
+    return top.select(*keys, F.ceil(F.col("_n") / min_rows).cast("int").alias("salts"))
 
 
-def _salt(columns: Sequence[Column], salts: int) -> Column:
+def _salt(columns: Sequence[Column], salts: int | Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
 
 
@@ -31,31 +35,30 @@ def lookup_join(
     on: Sequence[str],
     how: str = "left",
     spread_by: Sequence[str] | None = None,
-    salts: int = SALTS,
     min_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join a large `left` with a `right` that has few rows per key, spreading hot left keys.
 
-    Rows of a hot key get one of `salts` numbers from a hash of `spread_by` (a unique row id
-    where there is one) and the matching right rows are repeated once per number. Other keys
-    keep number 0, so their rows move as in a plain join. Rows without a key, which match
-    nothing, are spread as well. Spark still turns this into a
-    broadcast join when it measures `right` to be small. The salt is a hash of the row, so a
-    task that runs again after a lost executor sends every row to the same place.
+    A hot key gets one salt per `min_rows` rows: its rows take a salt by a hash of `spread_by`
+    (a unique row id where there is one), and the matching right rows are repeated once per
+    salt, which adds no more than left rows / `min_rows` copies in all. Other keys have the one
+    salt 0, so their rows move as in a plain join. Rows without a key, which match nothing, are
+    spread as well. Spark still turns this into a broadcast join when it measures `right` to be
+    small. The salt is a hash of the row, so a task that runs again after a lost executor sends
+    every row to the same place.
     """
     on = list(on)
-    hot = hot_keys(left, on, min_rows).withColumn("_hot", F.lit(True))
+    hot = F.broadcast(hot_keys(left, on, min_rows).withColumnRenamed("salts", "_salts"))
     spread = [F.col(c) for c in (spread_by or _hashable(left))]
     keyless = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    salted_left = left.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | keyless, _salt(spread, salts)).otherwise(F.lit(0))
-    ).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    salted_right = (
-        right.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    salt = (
+        F.when(F.col("_salts").isNotNull(), _salt(spread, F.col("_salts")))
+        .when(keyless, _salt(spread, KEYLESS_SALTS))
+        .otherwise(F.lit(0))
     )
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    salted_left = left.join(hot, on, "left").withColumn("_salt", salt).drop("_salts")
+    salted_right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
@@ -68,13 +71,14 @@ def first_per_group(
 ) -> DataFrame:
     """The first `n` rows of every group, with their 1-based rank.
 
-    Spark drops rows past rank `n` before the shuffle. For a larger `n` that still sends n rows
-    per map task to the one task of a hot group, so the groups are first cut into hashed
-    parts, each limited on its own; what reaches the final task is then n rows per part.
+    Spark drops rows past rank `n` before the shuffle, up to n = 1000. For a larger `n`, or many
+    map tasks with n rows each, the one task of a hot group would still get too much: the groups
+    are first cut into hashed parts, each limited on its own, and what reaches the final task is
+    n rows per part.
     """
     keys = [F.col(k) if isinstance(k, str) else k for k in keys]
     if n > 50:
-        part = _salt([F.col(c) for c in _hashable(df)], SALTS)
+        part = _salt([F.col(c) for c in _hashable(df)], 128 if n <= 1000 else 4096)
         pre = Window.partitionBy(*keys, part).orderBy(*order)
         df = df.withColumn(rank, F.row_number().over(pre)).filter(F.col(rank) <= n).drop(rank)
     w = Window.partitionBy(*keys).orderBy(*order)

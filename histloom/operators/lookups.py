@@ -5,13 +5,25 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histloom.functions.text import usable_text
 from histloom.operators.skew import lookup_join
 
 
+def each(
+    df: DataFrame, listed: str | Column, keep: Sequence[str | Column], pos: str = "pos", item: str = "item"
+) -> DataFrame:
+    """One row per list element, with its position from 0.
+
+    For a plain explode Spark adds a filter on the size of the list and pushes it to the scan,
+    which computes the list twice; the outer explode does not.
+    """
+    rows = df.select(*keep, F.posexplode_outer(listed).alias(pos, item))
+    return rows.filter(F.col(pos).isNotNull())
+
+
 def of_targets(rows: DataFrame, targets: DataFrame, on: Sequence[str], row_id: Sequence[str]) -> DataFrame:
     """Rows whose key is among the targets. A key with very many rows is spread."""
     return lookup_join(rows, targets.select(*on), on, "left_semi", spread_by=row_id)

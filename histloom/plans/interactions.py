@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from histloom import constants as K
 from histloom.functions import nested as N
 from histloom.functions.text import bullet, first_nonempty, section_line, usable_text
+from histloom.operators.lookups import each
 from histloom.operators.ordering import keep_first
 from histloom.operators.skew import lookup_join, nest
 
@@ -41,8 +42,7 @@ def interactions(sessions: DataFrame, actions: DataFrame) -> DataFrame:
     """One row per product of an interaction, duplicates removed.
 
     A product counts once per session, id and type; the first one stays. Products without an
-    id share one id, so within a session and type they count once as well. The outer explode
-    keeps Spark from parsing every list a second time in a filter on its size.
+    id share one id, so within a session and type they count once as well.
     """
     kinds = F.create_map(*[F.lit(x) for pair in K.INTERACTION_TYPES.items() for x in pair])
     slim = interaction_actions(actions).select(
@@ -51,15 +51,10 @@ def interactions(sessions: DataFrame, actions: DataFrame) -> DataFrame:
     listed = N.with_products(slim, "listed").drop("products", "page_meta")
     rows = (
         actions_of_users(sessions, listed)
-        .select(
-            "user_id",
-            "session_id",
-            "seq",
-            kinds[F.col("click_type")].alias("type"),
-            F.posexplode_outer("listed").alias("pos", "product"),
-        )
-        .filter("pos is not null")
-        .select("user_id", "session_id", "seq", "pos", "type", *N.product_fields(F.col("product")))
+        .withColumn("type", kinds[F.col("click_type")])
+    )
+    rows = each(rows, "listed", ["user_id", "session_id", "seq", "type"], item="product").select(
+        "user_id", "session_id", "seq", "pos", "type", *N.product_fields(F.col("product"))
     )
     return keep_first(rows, ["user_id", "session_id", "asin", "type"], ["seq", "pos"])
 
@@ -68,9 +63,8 @@ def purchases(sessions: DataFrame, actions: DataFrame) -> DataFrame:
     """One row per purchased product; absent fields are null."""
     bought = actions.filter((F.col("action_type") == "click") & (F.col("click_type") == "purchase"))
     slim = bought.select("session_id", "seq", "products")
-    rows = actions_of_users(sessions, slim).select(
-        "user_id", "session_id", "seq", F.posexplode_outer(N.json_objects(F.col("products"))).alias("pos", "p")
-    ).filter("pos is not null")
+    listed = N.json_objects(F.col("products"))
+    rows = each(actions_of_users(sessions, slim), listed, ["user_id", "session_id", "seq"], item="p")
     fields = [N.get(F.col("p"), k).alias(k) for k in ("asin", "title", "price", "options")]
     return rows.select("user_id", "session_id", "seq", "pos", *fields)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histloom.functions.text import bullet, item_ids
+from histloom.operators.lookups import each
 from histloom.operators.ordering import keep_first, keep_last, row_index
 from histloom.operators.skew import lookup_join
 
@@ -21,8 +22,7 @@ def latest_products(products: DataFrame) -> DataFrame:
 
 def session_items(sessions: DataFrame) -> DataFrame:
     """One row per item id of a session, with its position."""
-    listed = item_ids(F.col("prev_items"))
-    return sessions.select("session_id", F.posexplode(listed).alias("pos", "id"))
+    return each(sessions, item_ids(F.col("prev_items")), ["session_id"], item="id")
 
 
 def found_items(sessions: DataFrame, products: DataFrame) -> DataFrame:

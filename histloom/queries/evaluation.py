@@ -8,6 +8,7 @@ from histloom.functions import model_output as M
 from histloom.functions import nested as N
 from histloom.functions import vectors as V
 from histloom.functions.text import first_tagged, last_tagged
+from histloom.operators.lookups import each
 from histloom.plans import evaluation as E
 from histloom.queries import sql as S
 from histloom.queries.registry import query, table, texts
@@ -88,7 +89,7 @@ def grounding_score_values(spark, sf):
 )
 def parse_traits(spark, sf):
     rows = M.with_traits(answers(spark, sf), "raw")
-    return rows.select("user_id", "persona_description", F.posexplode("traits").alias("pos", "t")).select(
+    return each(rows, "traits", ["user_id", "persona_description"], item="t").select(
         "user_id", "pos", "t.trait", "persona_description"
     )
 
@@ -214,7 +215,7 @@ def parse_list(spark, sf):
     body = F.to_json(F.array("c_name", "c_mktsegment", F.lit("third")))
     close = F.when(F.col("c_custkey") % 6 == 0, "").otherwise("\n```")
     text = F.concat(F.lit("Goals:\n```json\n"), body, close)
-    return table(spark, sf, "customer").select("c_custkey", F.posexplode(M.list_in_text(text, 2)).alias("pos", "goal"))
+    return each(table(spark, sf, "customer"), M.list_in_text(text, 2), ["c_custkey"], item="goal")
 
 
 @query(
@@ -226,7 +227,7 @@ def parse_list(spark, sf):
 def code_blocks(spark, sf):
     text = F.concat(F.lit("Run ```python\n"), F.col("text"), F.lit("\n``` then\n```\nls -l\n``` ok"))
     rows = table(spark, sf, "conversations").filter("role = 'assistant'")
-    return rows.select("conv_id", "turn", F.posexplode(M.code_blocks(text)).alias("pos", "b")).select(
+    return each(rows, M.code_blocks(text), ["conv_id", "turn"], item="b").select(
         "conv_id", "turn", "pos", "b.language", "b.code"
     )
 
@@ -315,4 +316,4 @@ def pair_features(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", V.unit(F.col("embedding")).alias("e"))
     item = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("item"))
     features = V.pair_features(F.col("e"), F.col("item"))
-    return rows.join(item, "vec_id").select("vec_id", F.posexplode(features).alias("pos", "x")).withColumn("x", F.round("x", 6) + 0.0)
+    return each(rows.join(item, "vec_id"), features, ["vec_id"], item="x").withColumn("x", F.round("x", 6) + 0.0)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from histloom.functions import nested as N
 from histloom.functions.text import first_nonempty, usable_text
+from histloom.operators.lookups import each
 from histloom.operators.skew import nest
 from histloom.plans import interactions as P
 from histloom.queries.registry import query, table
@@ -176,8 +177,8 @@ def user_purchases(spark, sf):
     f"with {ACTIONS_SQL} select seq, pos, nullif(asin, '0000000000') asin, title from items where type = 'purchase'",
 )
 def explode_json_products(spark, sf):
-    listed = actions(spark, sf).select("seq", F.posexplode_outer(N.json_objects(F.col("products"))).alias("pos", "p"))
-    return listed.filter("pos is not null").select("seq", "pos", N.get(F.col("p"), "asin").alias("asin"), N.get(F.col("p"), "title").alias("title"))
+    listed = each(actions(spark, sf), N.json_objects(F.col("products")), ["seq"], item="p")
+    return listed.select("seq", "pos", N.get(F.col("p"), "asin").alias("asin"), N.get(F.col("p"), "title").alias("title"))
 
 
 @query(
@@ -186,17 +187,16 @@ def explode_json_products(spark, sf):
 )
 def product_sources(spark, sf):
     kind = F.when(F.col("click_type") == "product_link", "click").when(F.col("click_type") == "cart_side_bar", "cart")
-    found = N.with_products(P.interaction_actions(actions(spark, sf)), "listed").select(
-        "seq", F.coalesce(kind, F.lit("purchase")).alias("type"), F.posexplode_outer("listed").alias("pos", "p")
-    )
-    return found.filter("pos is not null").select("seq", "pos", "type", N.get(F.col("p"), "asin").alias("asin"))
+    found = N.with_products(P.interaction_actions(actions(spark, sf)), "listed")
+    found = each(found, "listed", ["seq", F.coalesce(kind, F.lit("purchase")).alias("type")], item="p")
+    return found.select("seq", "pos", "type", N.get(F.col("p"), "asin").alias("asin"))
 
 
 @query("default_fill", f"with {ACTIONS_SQL} select seq, pos, asin, title, price from items")
 def default_fill(spark, sf):
     listed = N.with_products(P.interaction_actions(actions(spark, sf)), "listed")
-    found = listed.select("seq", F.posexplode_outer("listed").alias("pos", "p"))
-    return found.filter("pos is not null").select("seq", "pos", *N.product_fields(F.col("p"))[:3])
+    found = each(listed, "listed", ["seq"], item="p")
+    return found.select("seq", "pos", *N.product_fields(F.col("p"))[:3])
 
 
 @query("dedup_keep_first", f"with {ACTIONS_SQL} select user_id, session_id, seq, pos, asin, type, title, price from kept")

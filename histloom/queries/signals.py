@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from histloom import constants as K
 from histloom.functions import vectors as V
 from histloom.functions.times import epoch_millis, history_times, millis_to_date
+from histloom.operators.lookups import each
 from histloom.operators.ordering import leave_last_out
 from histloom.operators.skew import nest
 from histloom.plans import signals as P
@@ -111,7 +112,8 @@ def vectors(spark, sf):
 
 
 def _long(df, vector, *keys):
-    return df.select(*keys, F.explode(vector).alias("trait", "score"))
+    rows = each(df, F.map_entries(vector), keys, item="e")
+    return rows.select(*keys, F.col("e")["key"].alias("trait"), F.col("e")["value"].alias("score"))
 
 
 @query("ms_to_date", "select event_id, ts::DATE as day, epoch_us(ts) // 1000 ms from events")
@@ -346,7 +348,7 @@ TRAITS_SQL = " union all ".join(_trait_sql(t) for t in K.TRAIT_ITEMS)
 
 @query("trait_scores", TRAITS_SQL)
 def trait_scores(spark, sf):
-    rows = answers(spark, sf).select("user_id", F.explode(V.trait_scores(F.col("answers"))).alias("trait", "score"))
+    rows = _long(answers(spark, sf), V.trait_scores(F.col("answers")), "user_id")
     return rows.withColumn("score", F.round("score", 6))
 
 

@@ -8,6 +8,7 @@ from histloom import constants as K
 from histloom.functions import documents as D
 from histloom.functions import text as T
 from histloom.functions import web as W
+from histloom.operators.lookups import each
 from histloom.plans import pages as P
 from histloom.queries import sql as S
 from histloom.queries.registry import query, table, texts
@@ -23,8 +24,7 @@ EACH = f"{SENTS}, each as (select doc_id, unnest(range(0, len(sents))) pos, unne
 
 @query("sentences", f"with {EACH} select doc_id, pos::INT pos, s from each")
 def sentences(spark, sf):
-    rows = docs(spark, sf).select("doc_id", T.sentences(F.col("text")).alias("x"))
-    return rows.select("doc_id", F.posexplode_outer("x").alias("pos", "s")).filter("pos is not null")
+    return each(docs(spark, sf), T.sentences(F.col("text")), ["doc_id"], item="s")
 
 
 @query("sentence_score_class", f"with {EACH} select doc_id, pos::INT pos, {S.score_by_class('s')} score from each")
@@ -104,7 +104,7 @@ CHUNKS = r"""pieces as (select doc_id, case when "text" = '' then [''] else
     f"with {CHUNKS}, each as (select doc_id, unnest(range(0, len(c))) pos, unnest(c) chunk from pieces) select doc_id, pos::INT pos, chunk from each",
 )
 def chunk_documents(spark, sf):
-    return docs(spark, sf).select("doc_id", F.posexplode(D.chunks(F.col("text"))).alias("pos", "chunk"))
+    return each(docs(spark, sf), D.chunks(F.col("text")), ["doc_id"], item="chunk")
 
 
 def _found_sql(pattern):
@@ -151,7 +151,8 @@ def marked_pages(spark, sf):
     union all select page_id, 'og:type', 'a & b' from pages where contains(html, '</head>')""",
 )
 def page_meta(spark, sf):
-    return marked_pages(spark, sf).select("page_id", F.explode(W.meta_tags(F.col("html"))).alias("key", "value"))
+    rows = each(marked_pages(spark, sf), F.map_entries(W.meta_tags(F.col("html"))), ["page_id"], item="m")
+    return rows.select("page_id", "m.key", "m.value")
 
 
 @query(
@@ -160,7 +161,7 @@ def page_meta(spark, sf):
     union all select page_id, 1, '{"b": 1}', false from pages where page_id % 3 = 0 and contains(html, '</head>')""",
 )
 def page_jsonld(spark, sf):
-    rows = marked_pages(spark, sf).select("page_id", F.posexplode(W.linked_data(F.col("html"))).alias("pos", "b"))
+    rows = each(marked_pages(spark, sf), W.linked_data(F.col("html")), ["page_id"], item="b")
     return rows.select("page_id", "pos", "b.block", "b.parsed")
 
 
@@ -249,7 +250,8 @@ def elements(spark, sf):
     """Elements from the links of a page, with tags, roles and flags set by position."""
     anchors = F.regexp_extract_all("html", F.lit('<a href="[^"]*">([^<]*)</a>'), F.lit(1))
     pos = F.col("pos")
-    rows = texts(spark, sf, "pages", "page_id", "html").select("page_id", F.posexplode(F.concat(anchors, anchors, anchors, anchors)).alias("pos", "t"))
+    pages = texts(spark, sf, "pages", "page_id", "html").withColumn("a", anchors)
+    rows = each(pages, F.concat("a", "a", "a", "a"), ["page_id"], item="t")
     return rows.select(
         "page_id",
         "pos",

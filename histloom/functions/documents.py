@@ -32,8 +32,10 @@ def search_pattern(query: str) -> str | None:
 
 
 def words_only(c: Column) -> Column:
-    """The words of a text in lower case with single blanks, one at each end."""
-    return F.concat(F.lit(" "), F.lower(F.trim(F.regexp_replace(c, f"[^{K.WORD}]+", " "))), F.lit(" "))
+    """The words of a text in lower case with single blanks, one at each end. A single blank
+    between words is no match, so most gaps are passed over."""
+    gaps = f"[^{K.WORD}]{{2,}}|(?! )[^{K.WORD}]"
+    return F.concat(F.lit(" "), F.lower(F.trim(F.regexp_replace(c, gaps, " "))), F.lit(" "))
 
 
 def find_chunk(pieces: Column, query: str, start: Column) -> Column:

@@ -127,21 +127,22 @@ def trait_scores(answers: Column) -> Column:
     A 0 counts as not answered; a trait without answers scores 0.
     """
 
-    def mean_of(items: list[int]) -> Column:
-        given = F.filter(
-            F.transform(
-                F.array(*[F.lit(str(i)) for i in items]),
-                lambda i: F.try_element_at(answers, i).cast("double"),
-            ),
-            lambda v: v.isNotNull() & (v != 0),
-        )
+    items = max(i for listed in K.TRAIT_ITEMS.values() for i in listed)
+    by_item = F.transform(
+        F.sequence(F.lit(1), F.lit(items)),
+        lambda i: F.nullif(F.try_element_at(answers, i.cast("string")).cast("double"), F.lit(0.0)),
+    )
+
+    def mean_of(values: Column, listed: list[int]) -> Column:
+        given = F.array_compact(F.array(*[F.get(values, F.lit(i - 1)) for i in listed]))
         total = F.aggregate(given, F.lit(0.0), lambda a, x: a + x)
         return F.when(F.size(given) > 0, total / F.size(given)).otherwise(F.lit(0.0))
 
-    return F.map_from_arrays(
-        F.array(*[F.lit(t) for t in K.TRAIT_ITEMS]),
-        F.array(*[mean_of(items) for items in K.TRAIT_ITEMS.values()]),
+    # the list of one binds the answers by item, so that they are looked up once for all traits
+    means = F.transform(
+        F.array(by_item), lambda v: F.array(*[mean_of(v, listed) for listed in K.TRAIT_ITEMS.values()])
     )
+    return F.map_from_arrays(F.array(*[F.lit(t) for t in K.TRAIT_ITEMS]), F.get(means, F.lit(0)))
 
 
 def alignment_grade(target: Column, scores: Column) -> Column:

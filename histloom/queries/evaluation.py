@@ -313,7 +313,7 @@ def combined_score(spark, sf):
     from n a join n b on b.vec_id = a.vec_id + 1, range(1, 65) t(i)""",
 )
 def pair_features(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", V.unit(F.col("embedding")).alias("e"))
+    rows = texts(spark, sf, "embeddings", "vec_id", "embedding").select("vec_id", V.unit(F.col("embedding")).alias("e"))
     item = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("item"))
     features = V.pair_features(F.col("e"), F.col("item"))
     return each(rows.join(item, "vec_id"), features, ["vec_id"], item="x").withColumn("x", F.round("x", 6) + 0.0)

@@ -9,7 +9,7 @@ from histloom.functions.text import first_nonempty, usable_text
 from histloom.operators.lookups import each
 from histloom.operators.skew import nest
 from histloom.plans import interactions as P
-from histloom.queries.registry import query, table
+from histloom.queries.registry import query, table, texts
 from histloom.session import written
 
 
@@ -48,7 +48,7 @@ def actions(spark, sf):
     )
     details = F.when(k % 2 == 0, obj(k, *every)).otherwise(arr(obj(k, "title"), obj(k + 1, "title", "price")))
     viewed = F.concat(F.lit('{"product_details": '), details, F.lit("}"))
-    return table(spark, sf, "events").select(
+    return texts(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "value", "props").select(
         F.concat(F.col("user_id").cast("string"), F.lit("_"), F.date_format("ts", "yyyyMMdd")).alias("session_id"),
         F.col("ts").alias("timestamp"),
         F.when(kind.isin("click", "purchase", "view"), "click").otherwise(kind).alias("action_type"),

@@ -29,5 +29,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
-    """The key and the named columns of a text table, on all cores."""
+    """The key and the named columns of a table that takes much work per row, on all cores."""
     return balanced(table(spark, sf_dir, name).select(key, *columns), key)

@@ -11,7 +11,7 @@ from histloom.operators.lookups import each
 from histloom.operators.ordering import leave_last_out
 from histloom.operators.skew import nest
 from histloom.plans import signals as P
-from histloom.queries.registry import query, table
+from histloom.queries.registry import query, table, texts
 
 
 def news(spark, sf):
@@ -32,7 +32,7 @@ def news(spark, sf):
         F.lit(",c5.46:"), s(k % 6), F.lit(",c5.10:"), s(k % 4),
     )
     us = F.col("event_type").isin("click", "view", "error")
-    return table(spark, sf, "events").select(
+    return texts(spark, sf, "events", "event_id", "ts", "event_type", "value", "props").select(
         F.to_date("ts").alias("day"),
         F.when(F.col("event_type") != "error", gcam).alias("GCAM"),
         F.when(us, "1#United States#US#US#39.8").otherwise("1#France#FR#FR#46.0").alias("V2Locations"),
@@ -334,7 +334,7 @@ def answers(spark, sf):
         F.array(*[F.lit(str(i)) for i in items]),
         F.array(*[((user * 7 + i * 3) % 7).cast("int") for i in items]),
     )
-    return table(spark, sf, "customer").select(user.alias("user_id"), given.alias("answers"))
+    return texts(spark, sf, "customer", "c_custkey").select(user.alias("user_id"), given.alias("answers"))
 
 
 def _trait_sql(trait):

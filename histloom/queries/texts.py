@@ -111,15 +111,14 @@ def _found_sql(pattern):
     words = "' ' || lower(trim(regexp_replace(chunk, '[^\\p{L}\\p{N}_]+', ' ', 'g'))) || ' '"
     return f"""with {CHUNKS}, each as (select doc_id, len(c) n, unnest(range(0, len(c))) pos, unnest(c) chunk from pieces),
     hits as (select doc_id, n, pos, (pos - doc_id % n + n) % n step from each where regexp_matches({words}, '{pattern}'))
-    select doc_id, min_by(pos, step)::INT pos from hits group by doc_id"""
+    select p.doc_id, min_by(pos, step)::INT pos from pieces p left join hits h on h.doc_id = p.doc_id group by p.doc_id"""
 
 
 @query("find_chunk", _found_sql(" that.* of the.* "))
 def find_chunk(spark, sf):
     rows = docs(spark, sf).withColumn("c", D.chunks(F.col("text")))
     start = F.pmod(F.col("doc_id"), F.size("c"))
-    found = rows.select("doc_id", D.find_chunk(F.col("c"), "That* of, the *", start).alias("pos"))
-    return found.filter("pos is not null")
+    return rows.select("doc_id", D.find_chunk(F.col("c"), "That* of, the *", start).alias("pos"))
 
 
 # --- pages -----------------------------------------------------------------------------------

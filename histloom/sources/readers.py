@@ -93,12 +93,14 @@ def parse_lines(lines: DataFrame, schema: Schema, value: str = "value") -> DataF
     names = [f.name for f in fields]
     corrupt = "_corrupt_record"
     wide = T.StructType([*fields, T.StructField(corrupt, T.StringType())])
-    parsed = lines.filter(F.startswith(F.ltrim(F.col(value)), F.lit("{"))).withColumn(
-        "_p", F.from_json(value, wide, {"columnNameOfCorruptRecord": corrupt})
-    )
-    good = F.col(f"_p.{corrupt}").isNull() | valid_json(F.col(value))
+    record = F.from_json(value, wide, {"columnNameOfCorruptRecord": corrupt})
     rest = [c for c in lines.columns if c != value and c not in names]
-    return parsed.filter(good).select(*rest, *[F.col("_p")[n].alias(n) for n in names])
+    # the outer inline keeps the filter on the parsed record from parsing each line again
+    parsed = lines.filter(F.startswith(F.ltrim(F.col(value)), F.lit("{"))).select(
+        *rest, F.col(value).alias("_line"), F.inline_outer(F.array(record))
+    )
+    good = F.col(corrupt).isNull() | valid_json(F.col("_line"))
+    return parsed.filter(good).select(*rest, *names)
 
 
 def read_jsonl(spark: SparkSession, paths: Paths, schema: Schema) -> DataFrame:
@@ -137,19 +139,19 @@ def read_csv(spark: SparkSession, paths: Paths, schema: Schema, multiline: bool
 
 def read_product_meta(spark: SparkSession, paths: Paths) -> DataFrame:
     """Product metadata: price as text, `Brand` before `brand`, file order as `seq`."""
-    lines = numbered_lines(spark, paths).filter(valid_json(F.col("value")))
-
-    def field(name: str):
-        return F.get_json_object("value", f"$.{name}")
-
-    return lines.select(
-        field("parent_asin").alias("parent_asin"),
-        field("asin").alias("asin"),
-        field("title").alias("title"),
-        first_nonempty(field("Brand"), field("brand")).alias("brand"),
-        field("price").alias("price"),
-        field("main_category").alias("main_category"),
+    lines = numbered_lines(spark, paths).select(
         F.struct("file", "line_number").alias("seq"),
+        F.explode_outer(F.array(json_object(F.col("value")))).alias("_m"),
+    )
+    m = F.col("_m")
+    return lines.filter(m.isNotNull()).select(
+        get(m, "parent_asin").alias("parent_asin"),
+        get(m, "asin").alias("asin"),
+        get(m, "title").alias("title"),
+        first_nonempty(get(m, "Brand"), get(m, "brand")).alias("brand"),
+        get(m, "price").alias("price"),
+        get(m, "main_category").alias("main_category"),
+        "seq",
     )
 
 

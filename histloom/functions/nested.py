@@ -14,18 +14,26 @@ from histloom import constants as K
 _MAP = "map<string,string>"
 
 
-def _starts(c: Column, mark: str) -> Column:
-    return F.coalesce(F.startswith(F.ltrim(c), F.lit(mark)), F.lit(False))
+STRICT = {"allowSingleQuotes": "false"}
+
+
+def _within(c: Column, first: str, last: str) -> Column:
+    """Whether the text starts and ends with these marks, so that nothing follows the value."""
+    return F.coalesce(
+        F.startswith(F.ltrim(c, F.lit(K.SPACES)), F.lit(first))
+        & F.endswith(F.rtrim(c, F.lit(K.SPACES)), F.lit(last)),
+        F.lit(False),
+    )
 
 
 def json_object(c: Column) -> Column:
     """A JSON object as map of texts (nested values as JSON text); null for anything else."""
-    return F.when(_starts(c, "{"), F.from_json(c, _MAP))
+    return F.when(_within(c, "{", "}"), F.from_json(c, _MAP, STRICT))
 
 
 def json_list(c: Column) -> Column:
     """The elements of a JSON array as texts; an empty list for anything else."""
-    items = F.when(_starts(c, "["), F.from_json(c, "array<string>"))
+    items = F.when(_within(c, "[", "]"), F.from_json(c, "array<string>", STRICT))
     return F.coalesce(items, F.array().cast("array<string>"))
 
 
@@ -122,7 +130,10 @@ def survey_fields(c: Column) -> Column:
 
 
 def valid_json(c: Column) -> Column:
-    return F.try_parse_json(c).isNotNull()
+    """Whether the text is one JSON value. The parser stops after a first value; as the only
+    entry of a list it must not be followed by anything."""
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
 
 
 def survey_text(survey: Column) -> Column:

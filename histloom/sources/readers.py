@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from histloom.functions.nested import get, has, json_object, valid_json
+from histloom import constants as K
+from histloom.functions.nested import STRICT, get, has, json_object, valid_json
 from histloom.functions.text import first_nonempty, strip
 from histloom.operators.lookups import merged
 from histloom.plans.runs import without_attachments
@@ -87,20 +88,19 @@ def numbered_lines(spark: SparkSession, paths: Paths) -> DataFrame:
 def parse_lines(lines: DataFrame, schema: Schema, value: str = "value") -> DataFrame:
     """JSON objects from lines of text; blank and malformed lines are skipped.
 
-    A field of another type than the schema's is null, as its line is still good JSON.
+    A field of another type than the schema's is null, as its line is still good JSON. A line
+    is read as the list of its objects, which must be one: so text after the object is noticed.
+    The outer explode keeps the filter on the parsed list from parsing each line twice.
     """
     fields = _schema(schema)
     names = [f.name for f in fields]
-    corrupt = "_corrupt_record"
-    wide = T.StructType([*fields, T.StructField(corrupt, T.StringType())])
-    record = F.from_json(value, wide, {"columnNameOfCorruptRecord": corrupt})
     rest = [c for c in lines.columns if c != value and c not in names]
-    # the outer inline keeps the filter on the parsed record from parsing each line again
-    parsed = lines.filter(F.startswith(F.ltrim(F.col(value)), F.lit("{"))).select(
-        *rest, F.col(value).alias("_line"), F.inline_outer(F.array(record))
-    )
-    good = F.col(corrupt).isNull() | valid_json(F.col("_line"))
-    return parsed.filter(good).select(*rest, *names)
+    text = F.trim(F.col(value), F.lit(K.SPACES))
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(fields), STRICT)
+    objects = lines.filter(F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")))
+    parsed = objects.select(*rest, F.explode_outer(F.array(listed)).alias("_p"))
+    one = F.col("_p")[0]
+    return parsed.filter(F.size("_p") == 1).select(*rest, *[one[n].alias(n) for n in names])
 
 
 def read_jsonl(spark: SparkSession, paths: Paths, schema: Schema) -> DataFrame:

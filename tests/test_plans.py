@@ -36,6 +36,12 @@ def test_read_jsonl_skips_bad_lines(spark, tmp_path):
     assert sorted(map(tuple, rows), key=str) == sorted([(1, "$3"), (None, "4.5"), (None, None)], key=str)
 
 
+def test_lines_with_more_than_one_value_are_bad(spark, tmp_path):
+    lines = ['{"a": 1} x', '{"a": 2}{"a": 3}', "{'a': 4}", '{"a": 5} ', '{"a": 6, "p": "} {"}', '{"a": 7}, {"a": 8}']
+    rows = I.read_jsonl(spark, write_lines(tmp_path / "b.jsonl", lines), "a int, p string").collect()
+    assert sorted(r.a for r in rows) == [5, 6]
+
+
 def test_numbered_lines_over_many_splits(spark, tmp_path):
     lines = [f"line {i} " + "x" * (i % 50) for i in range(3000)]
     path = write_lines(tmp_path / "long.txt", lines)

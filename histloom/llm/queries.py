@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from histloom.llm import sql
+from histloom.llm import piece_codec, sql
 from histloom.llm.exact_dedup import exact_classes
 
+#: The vocabulary that the tokenizing query and the pipeline use.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -30,3 +34,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query("op2_exact_dedup", sql.EXACT_DEDUP)
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_classes(_table(spark, sf_dir, "documents"))
+
+
+@_query("op4_sentencepiece")
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return piece_codec.digests(piece_codec.encode_decode(docs, PIECES))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from histloom.llm import piece_codec, sql
+from histloom.llm import piece_codec, sql, toxicity
 from histloom.llm.exact_dedup import exact_classes
 
 #: The vocabulary that the tokenizing query and the pipeline use.
@@ -40,3 +40,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return piece_codec.digests(piece_codec.encode_decode(docs, PIECES))
+
+
+@_query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    weights = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.predictions(toxicity.score(docs, weights))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from histloom.llm import piece_codec, sql, toxicity
+from histloom.llm import piece_codec, sql, toxicity, url_trust
 from histloom.llm.exact_dedup import exact_classes
 
 #: The vocabulary that the tokenizing query and the pipeline use.
@@ -16,6 +16,11 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+URL_RULES = [
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+    ("block", "net/es/"), ("block", "net/fr/"),
+]
+
 
 def _query(name: str, oracle: str | None = None):
     def add(fn):
@@ -47,3 +52,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     weights = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     return toxicity.predictions(toxicity.score(docs, weights))
+
+
+@_query(
+    "op5_url_trust",
+    sql.url_trust(URL_RULES, url_trust.MASS, url_trust.ROUNDS, url_trust.DAMPING_PERCENT),
+)
+def op5_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_trust.rule_table(spark, URL_RULES)
+    return url_trust.judge(_table(spark, sf_dir, "pages"), rules)

@@ -11,3 +11,81 @@ select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size,
        doc_id = min(doc_id) over g as kept, text_sha256
 from t window g as (partition by text_sha256)
 """
+
+
+def url_trust(rules, mass: int, rounds: int, damping: int) -> str:
+    """Rules by longest fit, then trust and distrust over host edges, round by round."""
+    values = ", ".join(
+        f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}', '{r}')" for v, r in rules
+    )
+    steps = "".join(
+        f"""
+, s{i} as materialized (
+    select kind, host, sum(mass)::bigint as mass from (
+        select m.kind, m."to" as host, ((s.mass * m.weight // m.total) * {damping}) // 100 as mass
+        from moves m join s{i - 1} s on m.kind = s.kind and m.host = s.host
+        union all select kind, host, (mass * {100 - damping}) // 100 from s0
+    ) group by all
+)"""
+        for i in range(1, rounds + 1)
+    )
+    return rf"""
+with rules(rule_host, rule_path, verdict, rule) as (values {values}),
+u as (
+    select page_id, coalesce(html, '') as html,
+           case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest
+    from pages
+),
+p as (
+    select page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+    from u
+),
+best as (
+    select p.host, p.path, r.rule, r.verdict from (select distinct host, path from p) p join rules r
+    on (p.host = r.rule_host or ends_with(p.host, '.' || r.rule_host)) and starts_with(p.path, r.rule_path)
+    qualify row_number() over (partition by p.host, p.path order by length(rule_host) desc, length(rule_path) desc) = 1
+),
+judged as (
+    select p.page_id, p.host, p.path, b.rule, b.verdict as rule_verdict
+    from p left join best b on p.host = b.host and p.path = b.path
+),
+labels_of as (select distinct host, string_split(host, '.') as l from p),
+chain as (select unnest(range(1, len(l))) as i, l from labels_of),
+up as (
+    select distinct array_to_string(l[i:], '.') as src, array_to_string(l[i + 1:], '.') as dst
+    from chain where i + 1 < len(l)
+),
+links as (
+    select host as src, translate(unnest(regexp_extract_all(html,
+        '(?i)href\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as dst from p
+),
+edges as materialized (
+    select src, dst, count(*) as weight from (
+        select src, dst from links union all select src, dst from up union all select dst, src from up
+    ) where src <> dst and src <> '' and dst <> '' group by all
+),
+moves as materialized (
+    select 'trust' as kind, src as host, dst as "to", weight, (sum(weight) over (partition by src))::bigint as total from edges
+    union all
+    select 'distrust', dst, src, weight, (sum(weight) over (partition by dst))::bigint from edges
+),
+counts as (
+    select case when rule_verdict = 'allow' then 'trust' else 'distrust' end as kind, host, count(*) as n
+    from judged where rule_verdict is not null and host <> '' group by all
+),
+s0 as materialized (
+    select kind, host, (n * {mass} // (sum(n) over (partition by kind))::bigint)::bigint as mass from counts
+)
+{steps},
+m as (
+    select host, sum(case when kind = 'trust' then mass else 0 end)::bigint as trust,
+           sum(case when kind = 'distrust' then mass else 0 end)::bigint as distrust
+    from s{rounds} group by host
+)
+select j.page_id, j.host, j.path, j.rule,
+       coalesce(j.rule_verdict, case when coalesce(distrust, 0) > coalesce(trust, 0) then 'block' else 'allow' end) as verdict,
+       coalesce(trust, 0) as trust, coalesce(distrust, 0) as distrust
+from judged j left join m on j.host = m.host
+"""

@@ -4,8 +4,10 @@ The encoder keeps an agenda of adjacent symbol pairs, ordered by the score of th
 would make and then by position, and merges the best pair until no pair makes a piece. Symbols
 that are no piece fall back to their bytes. A text is first cut where no piece of the
 vocabulary can reach across (between a word and what follows it), which leaves the result as it
-is and lets repeated words be looked up. Each Arrow batch is also encoded by the sentencepiece
-library, and `agrees` says for each text whether both gave the same ids.
+is and lets repeated words be looked up. The words that an Arrow batch brings are also encoded
+by the sentencepiece library, and `agrees` says for each text whether both gave the same ids for
+all its words. `whole=True` compares the ids of whole texts as well, at the cost of encoding
+everything twice.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ SPACE = "▁"
 WORDS = re.compile(rf"{SPACE}*[^\W\d_²{SPACE}]+|{SPACE}*(?:[\W\d_²](?<!{SPACE}))+|{SPACE}+")
 #: If a piece holds signs of both kinds: only in front of spaces.
 SPACED = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 CACHED_LENGTH = 48
 #: Texts are handed to the library in groups of this many, whatever the size of an Arrow batch.
 TEXTS_AT_ONCE = 128
@@ -51,25 +53,31 @@ class PieceCodec:
                 self.pieces[piece] = (-lib.get_score(i), i)
         self.cut = self._cut()
         self._seen: dict[str, tuple[int, ...]] = {}
+        self._new_words: dict[str, tuple[int, ...]] = {}
+        self.wrong: set[str] = set()
 
     def _cut(self):
-        """The finest cut that no piece reaches across; None if even spaces are inside pieces."""
+        """The finest cut that no piece reaches across; None if there is none, or line ends merge."""
+        if any("\n" in p for p in self.pieces) or "\n" not in self.library.normalize("a\nb"):
+            return None
         for pattern in (WORDS, SPACED):
             if all(len(pattern.findall(p)) == 1 for p in self.pieces):
                 return pattern
         return None
 
-    def encode(self, text: str) -> list[int]:
+    def words(self, text: str) -> list[str]:
         shown = self.library.normalize(text)
-        words = self.cut.findall(shown) if self.cut else [shown]
-        seen = self._seen
+        return self.cut.findall(shown) if self.cut else [shown]
+
+    def encode(self, text: str) -> list[int]:
+        words, seen = self.words(text), self._seen
         try:
             return list(chain.from_iterable([seen[w] for w in words]))
         except KeyError:
             return list(chain.from_iterable([seen.get(w) or self._new(w) for w in words]))
 
     def _new(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.agenda(word))
+        ids = self._new_words[word] = tuple(self.agenda(word))
         if len(word) <= CACHED_LENGTH:
             if len(self._seen) >= CACHED_WORDS:
                 self._seen.clear()
@@ -111,8 +119,29 @@ class PieceCodec:
             return [self.bytes[b] for b in symbol.encode("utf-8")]
         return [self.unknown]
 
-    def check(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
-        return [a == b for a, b in zip(self.library.encode(texts, num_threads=1), ids)]
+    def check(self, texts: list[str], ids: list[list[int]], whole: bool) -> list[bool]:
+        """Whether the library agrees, for each text: on every word since the last call, and on
+        the ids of the whole text if asked."""
+        self._check_words()
+        agrees = [True] * len(texts)
+        if whole or self.cut is None:
+            agrees = [a == b for a, b in zip(self.library.encode(texts, num_threads=1), ids)]
+        if self.wrong:
+            agrees = [ok and self.wrong.isdisjoint(self.words(t)) for ok, t in zip(agrees, texts)]
+        return agrees
+
+    def _check_words(self) -> None:
+        """One call of the library for all new words, with line ends in between: no piece holds a
+        line end, so a word's ids are what stands between two of them."""
+        words, self._new_words = self._new_words, {}
+        if not words or self.cut is None:
+            return
+        end = self._ids("\n")
+        text = "".join("\n" + w.replace(SPACE, " ") for w in words)
+        want = [*self.agenda(SPACE), *chain.from_iterable([*end, *ids] for ids in words.values())]
+        if self.library.encode(text) != want:
+            one = lambda w: self.library.encode("\n" + w.replace(SPACE, " "))
+            self.wrong |= {w for w, ids in words.items() if one(w) != [*self.agenda(SPACE), *end, *ids]}
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids) if ids else ""
@@ -132,7 +161,7 @@ def _lists(rows: list[list[int]]) -> pa.Array:
 
 
 def encode_decode(
-    docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", whole: bool = False
 ) -> DataFrame:
     """id, ids (array of int), decoded (the library's text of those ids) and agrees.
 
@@ -158,7 +187,7 @@ def encode_decode(
                 ids = [own.encode(t) for t in texts]
                 columns = [
                     part.column(0), _lists(ids), pa.array([own.decode(i) for i in ids], pa.string()),
-                    pa.array(own.check(texts, ids), pa.bool_()),
+                    pa.array(own.check(texts, ids, whole), pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids", "decoded", "agrees"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from histloom.llm import piece_codec, sql, toxicity, url_trust
+from histloom.llm import chosen_path, piece_codec, sql, toxicity, url_trust
 from histloom.llm.exact_dedup import exact_classes
 
 #: The vocabulary that the tokenizing query and the pipeline use.
@@ -61,3 +61,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_trust.rule_table(spark, URL_RULES)
     return url_trust.judge(_table(spark, sf_dir, "pages"), rules)
+
+
+@_query("op7_chosen_path")
+def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_classes(_table(spark, sf_dir, "documents"), width=4)

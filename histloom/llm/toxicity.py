@@ -179,7 +179,7 @@ def fit(
     spread = F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(1_000_000))
     chosen = known.filter(spread < int(share * 1_000_000)) if share < 1 else known
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = texts.filter(F.col("_text").isNotNull()).join(chosen, "_id")
+    rows = texts.filter(F.col("_text").isNotNull()).join(F.broadcast(chosen), "_id")  # max_rows ids
     shard = F.pmod(F.xxhash64(F.lit("shard"), "_id"), F.lit(shards)).cast("int")
 
     def train(part: pd.DataFrame) -> pd.DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from histloom.llm import chosen_path, piece_codec, sql, toxicity, url_trust
+from histloom.llm import arc_warc, chosen_path, piece_codec, sql, toxicity, url_trust
 from histloom.llm.exact_dedup import exact_classes
 
 #: The vocabulary that the tokenizing query and the pipeline use.
@@ -66,3 +66,9 @@ def op5_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_chosen_path")
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_classes(_table(spark, sf_dir, "documents"), width=4)
+
+
+@_query("op8_arc_warc", sql.ARCHIVES)
+def op8_arc_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = arc_warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

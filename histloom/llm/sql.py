@@ -89,3 +89,18 @@ select j.page_id, j.host, j.path, j.rule,
        coalesce(trust, 0) as trust, coalesce(distrust, 0) as distrust
 from judged j left join m on j.host = m.host
 """
+
+
+ARCHIVES = """
+with h as (select page_id, sha1(coalesce(html, '')) as x, strlen(coalesce(html, ''))::bigint as n from pages),
+d as (
+    select page_id, x, n,
+           array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               (((('0x' || substr(x, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4))::integer) & 31) + 1), 1)), '') as digest
+    from h
+)
+select page_id, n as payload_bytes, digest as payload_digest,
+       case when page_id = min(page_id) over g then 'response' else 'revisit' end as record_type,
+       case when page_id <> min(page_id) over g then min(page_id) over g end as refers_to
+from d window g as (partition by x, n)
+"""

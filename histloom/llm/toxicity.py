@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from histloom.llm import hashing
+
 FEATURE_BITS = 22
 BIAS = 1 << FEATURE_BITS
 #: Words between the two words of a pair: 0 is a bigram, the others are skip-grams.
@@ -27,74 +29,18 @@ GAPS = (0, 1, 2)
 #: At most about this many labelled rows are used to fit the model.
 MAX_FIT_ROWS = 40_000
 ROWS_PER_SHARD = 8_000
-#: Bytes that are hashed at once; a cut falls between words.
-BLOCK = 1 << 20
 TEXTS_AT_ONCE = 256
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _MIX
-    return x ^ (x >> np.uint64(29))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
-
-
-_UP, _DOWN = _powers(_BASE, BLOCK + 1), _powers(_BACK, BLOCK + 1)
-
-
-def word_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word of `data` (bytes); no word goes across a position in `breaks`.
-
-    A word is a run of ASCII letters, digits and bytes of other letters, in lower case. It has
-    one hash wherever it stands: the sum of its bytes times powers of a base, divided by the
-    power at its start. A word longer than BLOCK is hashed in pieces.
-    """
-    starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
-    while at < len(data):
-        end = min(at + BLOCK, len(data))
-        if end < len(data) and len(gap := np.flatnonzero(~_LETTER[_LOWER[data[at:end]]])):
-            end = at + int(gap[-1]) + 1
-        block = _LOWER[data[at:end]]
-        inside = _LETTER[block]
-        first = np.ones(len(block) + 1, dtype=bool)  # a word may not go on from the byte before
-        first[1:-1] = ~inside[:-1]
-        first[breaks[(breaks >= at) & (breaks < end)] - at] = True
-        begin = np.flatnonzero(inside & first[:-1])
-        last = np.flatnonzero(inside & np.append(~inside[1:] | first[1:-1], True)) + 1
-        sums = np.zeros(len(block) + 1, dtype=np.uint64)
-        np.cumsum((block.astype(np.uint64) + np.uint64(1)) * _UP[: len(block)], out=sums[1:])
-        starts.append(begin + at)
-        hashes.append(_mix((sums[last] - sums[begin]) * _DOWN[begin]))
-        at = end
-    return np.concatenate(starts), np.concatenate(hashes)
-
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Text number and feature number of every word, pair and skip-pair of a string array."""
-    texts = texts.cast(pa.large_binary())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    starts, words = word_hashes(data, offsets[:-1])
-    rows = np.searchsorted(offsets, starts, side="right") - 1
+    rows, words = hashing.words(texts, hashing.LETTERS)
     all_rows, all_keys = [rows], [words]
     for gap in GAPS:
         step = gap + 1
         left, right = words[:-step], words[step:]
         same = rows[:-step] == rows[step:]
-        pair = _mix(left * np.uint64(2 * gap + 3) + (right ^ (right << np.uint64(17))))
+        pair = hashing.mix(left * np.uint64(2 * gap + 3) + (right ^ (right << np.uint64(17))))
         all_rows.append(rows[:-step][same])
         all_keys.append(pair[same])
     keys = np.concatenate(all_keys) >> np.uint64(64 - FEATURE_BITS)

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from histloom.llm import arc_warc, chosen_path, piece_codec, sql, toxicity, url_trust
+from histloom.llm import arc_warc, chosen_path, mixing, piece_codec, sql, toxicity, url_trust
 from histloom.llm.exact_dedup import exact_classes
 
 #: The vocabulary that the tokenizing query and the pipeline use.
@@ -21,6 +22,9 @@ URL_RULES = [
     ("block", "net/es/"), ("block", "net/fr/"),
 ]
 
+#: No source's rows come more often than this in the mix, and every row comes at least once.
+MAX_REPEATS = 2.0
+
 
 def _query(name: str, oracle: str | None = None):
     def add(fn):
@@ -72,3 +76,13 @@ def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_arc_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = arc_warc.archive_round_trip(_table(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query("op9_mixing", sql.mixing(MAX_REPEATS, "mix"))
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    taken = mixing.mix(docs, max_repeats=MAX_REPEATS)
+    return taken.select(
+        "doc_id", "source", F.col("_epoch").alias("epoch"),
+        mixing.token_count(F.col("text")).alias("n_tokens"), F.col("_place").alias("place"),
+    )

@@ -104,3 +104,30 @@ select page_id, n as payload_bytes, digest as payload_digest,
        case when page_id <> min(page_id) over g then min(page_id) over g end as refers_to
 from d window g as (partition by x, n)
 """
+
+
+def mixing(repeats: float, seed: str) -> str:
+    """Each source at least once and at most `repeats` times; the exponent in closed form."""
+    return rf"""
+with d as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n from documents
+),
+s as (select source, sum(n)::bigint as tokens, sum(n) / sum(sum(n)) over () as share from d group by source),
+e as (
+    select case when min(share) = max(share) then 0.0
+                else greatest(0.0, 1 + ln({repeats}) / ln(min(share) / max(share))) end as a from s
+),
+w as (select source, tokens, pow(share, a) as p from s, e),
+b as (select source, tokens, floor(max(tokens / p) over () * p + 0.5)::bigint as budget from w),
+p as (select source, tokens, budget, budget // tokens as passes, budget % tokens as room from b),
+r as (
+    select d.doc_id, d.source, n, passes, room,
+           sum(n) over (partition by d.source order by md5('{seed}|' || passes || '|' || doc_id), n) as upto
+    from d join p on d.source = p.source
+),
+t as (
+    select doc_id, source, n, unnest(range(0, passes + (case when upto <= room then 1 else 0 end)))::integer as epoch
+    from r
+)
+select doc_id, source, epoch, n as n_tokens, md5('{seed}|' || epoch || '|' || doc_id) as place from t
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histloom.llm import arc_warc, chosen_path, mixing, piece_codec, sql, toxicity, url_trust
+from histloom.llm import arc_warc, chosen_path, mixing, pii, piece_codec, sql, toxicity, url_trust
 from histloom.llm.exact_dedup import exact_classes
 
 #: The vocabulary that the tokenizing query and the pipeline use.
@@ -86,3 +86,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", F.col("_epoch").alias("epoch"),
         mixing.token_count(F.col("text")).alias("n_tokens"), F.col("_place").alias("place"),
     )
+
+
+@_query("op3_pii")
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(_table(spark, sf_dir, "documents")))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histloom.llm import arc_warc, chosen_path, mixing, pii, piece_codec, sql, toxicity, url_trust
+from histloom.llm import arc_warc, chat_tree, chosen_path, mixing, pii, piece_codec, sql, toxicity, url_trust
 from histloom.llm.exact_dedup import exact_classes
 
 #: The vocabulary that the tokenizing query and the pipeline use.
@@ -25,6 +25,9 @@ URL_RULES = [
 #: No source's rows come more often than this in the mix, and every row comes at least once.
 MAX_REPEATS = 2.0
 
+#: A conversation whose texts hold the signs of templates.
+HARD_TEXT = r"\### Assistant: </turn> ok"
+
 
 def _query(name: str, oracle: str | None = None):
     def add(fn):
@@ -91,3 +94,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op3_pii")
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(_table(spark, sf_dir, "documents")))
+
+
+@_query("op6_chat_tree", sql.CHAT)
+def op6_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = [(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)]
+    packed, leaves = chat_tree.pack(table.unionByName(spark.createDataFrame(rows, table.schema)))
+    return chat_tree.digests(chat_tree.read_back(packed, leaves))

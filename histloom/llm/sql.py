@@ -131,3 +131,21 @@ t as (
 )
 select doc_id, source, epoch, n as n_tokens, md5('{seed}|' || epoch || '|' || doc_id) as place from t
 """
+
+
+CHAT = r"""
+with c as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+),
+t as (
+    select *, length(regexp_replace(text, '[\\#<]', 'xx', 'g'))
+              + length(regexp_replace(role, '[\\#<:]', 'xx', 'g')) + 14 as chars from c
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(chars)::bigint as formatted_chars
+from t group by conv_id
+"""

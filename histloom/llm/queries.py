@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histloom.llm import arc_warc, chat_tree, chosen_path, mixing, pii, piece_codec, sql, toxicity, url_trust
+from histloom.llm import arc_warc, chat_tree, chosen_path, mixing, near_vectors, pii, piece_codec, sql, toxicity, url_trust
 from histloom.llm.exact_dedup import exact_classes
 
 #: The vocabulary that the tokenizing query and the pipeline use.
@@ -102,3 +102,8 @@ def op6_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)]
     packed, leaves = chat_tree.pack(table.unionByName(spark.createDataFrame(rows, table.schema)))
     return chat_tree.digests(chat_tree.read_back(packed, leaves))
+
+
+@_query("op1_near_vectors")
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))

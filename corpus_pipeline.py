@@ -1,19 +1,66 @@
-"""The corpus pipeline: stages of the training-data operators, one after the other."""
+"""The corpus pipeline: stages of the training-data operators, one after the other.
+
+Every stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns
+a DataFrame that is written as Parquet and read again as the next one's docs. All but the last
+return the columns of `docs`. Rows keep their doc_id; rows with a null id or text go through
+every stage like others, and an empty table stays empty.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from histloom.llm.exact_dedup import without_copies
+from histloom.llm import chosen_path, exact_dedup, mixing, piece_codec, toxicity
 from histloom.session import written
 
+TOXIC_SCORE = 0.3
+#: No source's rows come more often than this in the mix; every row comes at least once.
+MAX_REPEATS = 2.0
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that score TOXIC_SCORE or more. The model is trained on the labels of the
+    tables and the texts of `docs`; rows are scored where they are, so a repeated or null id does
+    not matter."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights = toxicity.fit(docs, labels)
+    return toxicity.with_score(docs, weights).filter(F.col("_score") < TOXIC_SCORE).drop("_score")
+
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_copies(docs)
+    """One row stays of each group of equal texts, that with the smallest id."""
+    return exact_dedup.without_copies(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row stays of each group of near copies (five-word shingles, similarity of 0.8 or
+    more), that with the smallest id. Rows without words or id are no copies and stay."""
+    classes = chosen_path.near_classes(docs)
+    dropped = classes.filter(~F.col("kept")).select(F.col("doc_id").alias("_drop_id")).distinct()
+    return docs.join(dropped, docs["doc_id"] == dropped["_drop_id"], "left_anti")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at tempered weights: every row comes once, and rows of small sources up to
+    MAX_REPEATS times."""
+    return mixing.mix(docs, max_repeats=MAX_REPEATS).drop("_epoch", "_place")
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and agrees per row of the mix."""
+    encoded = piece_codec.encode_decode(docs, PIECES)
+    return piece_codec.digests(encoded)
 
 
 STAGES = [
+    ("toxicity", toxicity_stage),
     ("exact dedup", exact_stage),
+    ("MinHash near-dedup", near_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("SentencePiece encoding and decoding", tokens_stage),
 ]
 
 #: Training and the tokenizer's library have no SQL; tests hold the pipeline against plain Python.

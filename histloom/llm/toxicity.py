@@ -143,20 +143,21 @@ def fit(
     return {r["key"]: r["weight"] for r in mean.collect()}
 
 
-def score(
-    docs: DataFrame, weights: dict[int, float], id_col: str = "doc_id", text_col: str = "text"
+def with_score(
+    docs: DataFrame, weights: dict[int, float], text_col: str = "text", into: str = "_score"
 ) -> DataFrame:
-    """id and score (0 to 1) of every row, from its whole text; null counts as empty.
+    """`docs`, all columns, with the score (0 to 1) of every row from its whole text.
 
-    An empty text has the score of the bias alone. Repeated rows are scored each. Other columns
-    are not read, so they cannot change a score.
+    A null text counts as empty, and an empty text has the score of the bias alone. Repeated
+    rows are scored each. No other column can change a score.
     """
     bias = weights.get(BIAS, 0.0)
     keys = np.array(sorted(k for k in weights if k != BIAS), dtype=np.int64)
     values = np.array([weights[int(k)] for k in keys])
     shared = docs.sparkSession.sparkContext.broadcast((keys, values))
-    kind = docs.select(id_col).schema[0].dataType
-    schema = T.StructType([T.StructField(id_col, kind), T.StructField("score", T.DoubleType())])
+    names = docs.columns
+    place = names.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = shared.value
@@ -165,16 +166,23 @@ def score(
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
-                rows, found = features(part.column(1))
+                rows, found = features(part.column(place).cast(pa.string()).fill_null(""))
                 used = table[found] != 0.0
                 once = np.unique(rows[used].astype(np.int64) << FEATURE_BITS | found[used])
                 total = np.bincount(once >> FEATURE_BITS, table[once & (BIAS - 1)], minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(_sigmoid(total + bias))], names=[id_col, "score"]
+                    [*part.columns, pa.array(_sigmoid(total + bias))], names=[*names, into]
                 )
 
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text")
-    return docs.select(f"`{id_col}`", text).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def score(
+    docs: DataFrame, weights: dict[int, float], id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """id and score of every row; see `with_score`. Other columns are not read."""
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("_text"))
+    return with_score(rows, weights, "_text", "score").select(id_col, "score")
 
 
 def predictions(scored: DataFrame, threshold: float = 0.3, id_col: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histloom.operators.skew import lookup_join, nest
+from histloom.operators.skew import PAGE_ROWS, lookup_join, nest
 
 ENTRY = ["product", "list", "value"]
 
@@ -56,15 +56,15 @@ def active(products: DataFrame, entries: DataFrame) -> DataFrame:
     return lookup_join(entries, live, ["product"], "left_semi", spread_by=["list", "value"])
 
 
-def entry_lists(entries: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """The ordered values of every product and list."""
+def entry_lists(entries: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
+    """The ordered values of every product and list, in pages of `max_rows`."""
     return nest(entries, ["product", "list"], ["seq", "pos", "value"], ["value"], "entries", max_rows).withColumn(
         "entries", F.transform("entries", lambda e: e["value"])
     )
 
 
-def thought_history(thoughts: DataFrame, run: str, order: str, text: str, max_rows: int = 100_000) -> DataFrame:
-    """The thoughts of each run in order, as a list of lines."""
+def thought_history(thoughts: DataFrame, run: str, order: str, text: str, max_rows: int = PAGE_ROWS) -> DataFrame:
+    """The thoughts of each run in order, as a list of lines, in pages of `max_rows` lines."""
     nested = nest(thoughts, [run], [order], [text], "thoughts", max_rows)
     lines = F.transform("thoughts", lambda t: F.concat(F.lit("- "), t[text]))
     return nested.select(run, "part", F.concat_ws("\n", lines).alias("history"))

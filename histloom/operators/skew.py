@@ -9,20 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1_000
 KEYLESS_SALTS = 4_096
-MAX_SPLIT_GROUPS = 1_000_000
+PAGE_ROWS = 100_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """The largest keys with more than `min_rows` rows, and how often that is (`salts`).
+    """The keys with more than `min_rows` rows, and how often that is (`salts`).
 
-    At most MAX_HOT_KEYS rows, so always small enough to broadcast. Ties end by key, so every
-    evaluation gives the same set.
+    There are at most rows / `min_rows` of them, so the table is small beside `df`; whether it
+    is small enough to broadcast is left to Spark's measurement.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_rows)
-    top = counts.orderBy(F.desc("_n"), *keys).limit(MAX_HOT_KEYS)
-    return top.select(*keys, F.ceil(F.col("_n") / min_rows).cast("int").alias("salts"))
+    return counts.select(*keys, F.ceil(F.col("_n") / min_rows).cast("int").alias("salts"))
 
 
 def _salt(columns: Sequence[Column], salts: int | Column) -> Column:
@@ -48,7 +46,7 @@ def lookup_join(
     every row to the same place.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(left, on, min_rows).withColumnRenamed("salts", "_salts"))
+    hot = hot_keys(left, on, min_rows).withColumnRenamed("salts", "_salts")
     spread = [F.col(c) for c in (spread_by or _hashable(left))]
     keyless = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     salt = (
@@ -85,20 +83,42 @@ def first_per_group(
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
-def with_part(df: DataFrame, keys: Sequence[str], row_id: Sequence[str], max_rows: int) -> DataFrame:
-    """Number the records that a group needs: 0 for a group of up to `max_rows` rows, else a
-    hash of the row id over ceil(rows / max_rows) parts. Every row stays.
+def paged(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], page_rows: int = PAGE_ROWS, into: str = "part"
+) -> DataFrame:
+    """Number the pages of every group: page p holds its rows p * `page_rows` up to the next
+    page in `order`, so pages are dense, in order, and full but for the last.
 
-    The sizes of the MAX_SPLIT_GROUPS largest groups are broadcast, a bounded table; a group
-    beyond them has less than that fraction of all rows and stays in one record.
+    `order` starts with a number or time and is unique within a group. The rows of a larger
+    group are ranked in slots of its first order column and shifted by the counts of the slots
+    before, so no task ranks such a group alone; a group of one page needs no rank. `df` is read
+    several times: hand in a table rather than the end of a long plan.
     """
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
-    big = F.broadcast(sizes.orderBy(F.desc("_n"), *keys).limit(MAX_SPLIT_GROUPS))
-    ids = [F.col(c) for c in row_id]
-    parts = F.ceil(F.col("_n") / max_rows)
-    part = F.coalesce(F.pmod(F.xxhash64(*ids), parts), F.lit(0)).cast("int")
-    return df.join(big, keys, "left").withColumn("part", part).drop("_n")
+    at = F.col(order[0]).cast("double")
+    sizes = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")
+    )
+    sized = df.join(sizes.filter(F.col("_n") > page_rows), keys, "left")
+    one = sized.filter(F.col("_n").isNull()).withColumn(into, F.lit(0))
+    share = (F.coalesce(at, F.col("_lo")) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
+    slot = F.floor(share * F.ceil(F.col("_n") / page_rows) * 4).alias("_slot")
+    large = sized.filter(F.col("_n").isNotNull()).select("*", slot)
+    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        large.groupBy(*keys, "_slot")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select(*keys, "_slot", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    )
+    inside = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy(*order))
+    rank = F.col("_start") + F.col("_rn") - 1
+    pages = (
+        large.withColumn("_rn", inside)
+        .join(starts, [*keys, "_slot"])
+        .withColumn(into, F.floor(rank / page_rows).cast("int"))
+    )
+    helpers = ["_n", "_lo", "_hi", "_slot", "_rn", "_start"]
+    return one.drop(*helpers).unionByName(pages.drop(*helpers))
 
 
 def nest(
@@ -107,18 +127,15 @@ def nest(
     order: Sequence[str],
     fields: Sequence[str | Column],
     into: str,
-    max_rows: int = 100_000,
+    max_rows: int = PAGE_ROWS,
 ) -> DataFrame:
-    """Collect rows to one ordered array per group; a group over `max_rows` becomes several
-    records with a `part` number, so that no record or task holds an unbounded group.
-
-    Rows are read twice, once to count them: hand in a table (see `session.written`) rather
-    than the end of a long plan.
-    """
+    """Collect rows to ordered arrays, one record per group and page (see `paged`): `part` 0 has
+    the first `max_rows` rows of the group, and so on. No record holds an unbounded group, and
+    the arrays of a group in the order of `part` are the whole group in order."""
     keys = list(keys)
     item = F.struct(F.struct(*order).alias("_o"), F.struct(*fields).alias("_v"))
     return (
-        with_part(df, keys, order, max_rows)
+        paged(df, keys, order, max_rows)
         .groupBy(*keys, "part")
         .agg(F.array_sort(F.collect_list(item)).alias(into))
         .withColumn(into, F.transform(into, lambda x: x["_v"]))

@@ -12,7 +12,7 @@ from histloom.functions import nested as N
 from histloom.functions.text import bullet, first_nonempty, section_line, usable_text
 from histloom.operators.lookups import each
 from histloom.operators.ordering import keep_first
-from histloom.operators.skew import lookup_join, nest
+from histloom.operators.skew import PAGE_ROWS, lookup_join, nest
 
 
 def interaction_actions(actions: DataFrame) -> DataFrame:
@@ -100,29 +100,36 @@ def interview_personas(users: DataFrame) -> DataFrame:
     )
 
 
-def user_records(users: DataFrame, rows: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Nested users: persona and ordered interactions. Users without interactions drop out; a
-    user with more than `max_rows` interactions gets several records, told apart by `part`."""
+def user_records(users: DataFrame, rows: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
+    """Nested users: persona and ordered interactions, in pages of `max_rows` numbered by `part`.
+    Users without interactions drop out."""
     fields = ["session_id", "asin", "title", "price", "options", "type"]
     nested = nest(rows, ["user_id"], ["seq", "pos"], fields, "interactions", max_rows)
     return nested.join(interview_personas(users), "user_id")
 
 
-def sections(items: Column, kinds: str | list[str] | None = None) -> Column:
-    """The items of a nested user as text, by type under fixed headings; None takes all types."""
-    wanted = list(K.SECTION_HEADINGS) if kinds is None else [kinds] if isinstance(kinds, str) else kinds
+def section_pages(
+    users: DataFrame, rows: DataFrame, kinds: list[str] | None = None, max_rows: int = PAGE_ROWS
+) -> DataFrame:
+    """Interactions as text under fixed headings, by type: user_id, section (its number), part, text.
+
+    A section is written in pages of `max_rows` lines, and its heading is on the first page only.
+    All pages of a user in order, joined by a line end within a section and an empty line
+    between sections, are the user's text. Types without interactions have no section.
+    """
+    wanted = [k for k in K.SECTION_HEADINGS if kinds is None or k in kinds]
+    number = F.array_position(F.array(*[F.lit(k) for k in K.SECTION_HEADINGS]), F.col("type")).cast("int")
+    chosen = rows.filter(F.col("type").isin(wanted)).withColumn("section", number - 1)
+    nested = nest(chosen, ["user_id", "section"], ["seq", "pos"], ["title", "price"], "items", max_rows)
 
     def shown(c: Column) -> Column:
         return F.coalesce(c, F.lit("None"))
 
-    def section(kind: str, heading: str) -> Column:
-        chosen = F.filter(items, lambda i: i["type"] == kind)
-        lines = F.transform(chosen, lambda i: bullet(shown(i["title"]), shown(i["price"])))
-        text = F.concat(F.lit(heading + "\n"), F.concat_ws("\n", lines))
-        return F.when(F.size(chosen) > 0, text)
-
-    parts = [section(k, h) for k, h in K.SECTION_HEADINGS.items() if k in wanted]
-    return F.concat_ws("\n\n", *parts)
+    lines = F.concat_ws("\n", F.transform("items", lambda i: bullet(shown(i["title"]), shown(i["price"]))))
+    headings = F.array(*[F.lit(h + "\n") for h in K.SECTION_HEADINGS.values()])
+    heading = F.when(F.col("part") == 0, headings[F.col("section")]).otherwise(F.lit(""))
+    text = nested.select("user_id", "section", "part", F.concat(heading, lines).alias("text"))
+    return text.join(interview_personas(users).select("user_id"), "user_id", "left_semi")
 
 
 def purchase_lines(items: Column) -> Column:
@@ -132,8 +139,9 @@ def purchase_lines(items: Column) -> Column:
     return F.concat_ws("\n", F.transform(named, lambda i: bullet(i["title"], price(i))))
 
 
-def user_json(personas: DataFrame, sessions: DataFrame, bought: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """One JSON document per user (several for a user with very many purchases) with counts."""
+def user_json(personas: DataFrame, sessions: DataFrame, bought: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
+    """A JSON document for each page of `max_rows` purchases of each user. The counts are those
+    of the whole user on every page; a user without purchases has one page."""
     counts = sessions.select("user_id", "session_id").distinct().groupBy("user_id").agg(
         F.count(F.lit(1)).alias("num_sessions")
     )

@@ -213,54 +213,89 @@ def interaction_counts(spark, sf):
     return P.interaction_counts(rows(spark, sf))
 
 
-@query(
-    "user_interactions",
-    f"""with {ACTIONS_SQL} select user_id, 0 part, gold_persona,
+def _page(by: str, rows_per_page: int | None) -> str:
+    if rows_per_page is None:
+        return "0"
+    return f"((row_number() over (partition by {by} order by seq, pos) - 1) // {rows_per_page})::INT"
+
+
+def _user_interactions_sql(rows_per_page=None):
+    return f"""with {ACTIONS_SQL} select user_id, part, gold_persona,
     string_agg(session_id || '|' || asin || '|' || title || '|' || price || '|' || type, ';' order by seq, pos) items
-    from kept join personas using (user_id) group by user_id, gold_persona""",
-)
-def user_interactions(spark, sf):
+    from (select *, {_page('user_id', rows_per_page)} part from kept) join personas using (user_id) group by user_id, part, gold_persona"""
+
+
+def _user_interactions(spark, sf, **pages):
     item = lambda i: F.concat_ws("|", i["session_id"], i["asin"], i["title"], i["price"], i["type"])
-    records = P.user_records(users(spark, sf), written(rows(spark, sf), "interactions"))
+    records = P.user_records(users(spark, sf), written(rows(spark, sf), "interactions"), **pages)
     return records.select(
         "user_id", "part", "gold_persona", F.concat_ws(";", F.transform("interactions", item)).alias("items")
     )
 
 
-def _sections_sql(kinds):
-    head = {"purchase": "**Purchased Products:**", "cart": "**Items Added to Cart (but not bought):**", "click": "**Clicked / Viewed Items:**"}
-    parts = [
-        f"case when count(*) filter (where type = '{k}') > 0 then '{head[k]}' || chr(10) || "
-        f"string_agg('- ' || title || ' (' || price || ')', chr(10) order by seq, pos) filter (where type = '{k}') end"
-        for k in kinds
-    ]
-    return f"""with {ACTIONS_SQL} select user_id, 0 part, concat_ws(chr(10) || chr(10), {', '.join(parts)}) as text
-    from kept join personas using (user_id) group by user_id"""
+@query("user_interactions", _user_interactions_sql())
+def user_interactions(spark, sf):
+    return _user_interactions(spark, sf)
+
+
+@query("user_interactions_paged", _user_interactions_sql(3))
+def user_interactions_paged(spark, sf):
+    return _user_interactions(spark, sf, max_rows=3)
+
+
+def _sections_sql(kinds, rows_per_page=None):
+    heads = {"purchase": "**Purchased Products:**", "cart": "**Items Added to Cart (but not bought):**", "click": "**Clicked / Viewed Items:**"}
+    number = " ".join(f"when '{k}' then {i}" for i, k in enumerate(heads))
+    head = " ".join(f"when '{k}' then '{h}' || chr(10)" for k, h in heads.items())
+    wanted = ", ".join(f"'{k}'" for k in kinds)
+    return f"""with {ACTIONS_SQL} select user_id, (case type {number} end)::INT section, part,
+    (case when part = 0 then case type {head} end else '' end)
+    || string_agg('- ' || title || ' (' || price || ')', chr(10) order by seq, pos) as text
+    from (select *, {_page('user_id, type', rows_per_page)} part from kept where type in ({wanted}))
+    join personas using (user_id) group by user_id, type, part"""
+
+
+def _sections(spark, sf, **how):
+    return P.section_pages(users(spark, sf), written(rows(spark, sf), "interactions"), **how)
 
 
 @query("interaction_sections", _sections_sql(["purchase", "cart", "click"]))
 def interaction_sections(spark, sf):
-    records = P.user_records(users(spark, sf), written(rows(spark, sf), "interactions"))
-    return records.select("user_id", "part", P.sections(F.col("interactions")).alias("text"))
+    return _sections(spark, sf)
 
 
 @query("interaction_sections_some", _sections_sql(["purchase", "click"]))
 def interaction_sections_some(spark, sf):
-    records = P.user_records(users(spark, sf), written(rows(spark, sf), "interactions"))
-    return records.select("user_id", "part", P.sections(F.col("interactions"), ["purchase", "click"]).alias("text"))
+    return _sections(spark, sf, kinds=["purchase", "click"])
 
 
-@query(
-    "purchase_lines",
-    f"""with {ACTIONS_SQL} select user_id, 0 part, coalesce(string_agg('- ' || title || ' ($' || price || ')', chr(10) order by seq, pos)
-    filter (where asin <> '0000000000'), '') as text from items where type = 'purchase' group by user_id""",
-)
-def purchase_lines(spark, sf):
+@query("interaction_sections_paged", _sections_sql(["purchase", "cart", "click"], 2))
+def interaction_sections_paged(spark, sf):
+    return _sections(spark, sf, max_rows=2)
+
+
+def _purchase_lines_sql(rows_per_page=None):
+    return f"""with {ACTIONS_SQL} select user_id, part, coalesce(string_agg('- ' || title || ' ($' || price || ')', chr(10) order by seq, pos)
+    filter (where asin <> '0000000000'), '') as text
+    from (select *, {_page('user_id', rows_per_page)} part from items where type = 'purchase') group by user_id, part"""
+
+
+def _purchase_lines(spark, sf, **pages):
     bought = written(P.purchases(sessions(spark, sf), actions(spark, sf).drop("user_id")), "purchases")
-    nested = nest(bought, ["user_id"], ["seq", "pos"], ["asin", "title", "price"], "items")
+    nested = nest(bought, ["user_id"], ["seq", "pos"], ["asin", "title", "price"], "items", **pages)
     return nested.select("user_id", "part", P.purchase_lines(F.col("items")).alias("text"))
 
 
+@query("purchase_lines", _purchase_lines_sql())
+def purchase_lines(spark, sf):
+    return _purchase_lines(spark, sf)
+
+
+@query("purchase_lines_paged", _purchase_lines_sql(3))
+def purchase_lines_paged(spark, sf):
+    return _purchase_lines(spark, sf, max_rows=3)
+
+
 @query(
     "product_details",
     r"""select event_id seq, case when k % 2 = 0 then 'A' || lpad(k::VARCHAR, 9, '0') else '' end asin,

@@ -100,6 +100,16 @@ def thought_history(spark, sf):
     return G.thought_history(table(spark, sf, "conversations"), "conv_id", "turn", "text")
 
 
+@query(
+    "thought_history_paged",
+    """select conv_id, part, string_agg('- ' || "text", chr(10) order by turn) history
+    from (select *, ((row_number() over (partition by conv_id order by turn) - 1) // 2)::INT part from conversations)
+    group by conv_id, part""",
+)
+def thought_history_paged(spark, sf):
+    return G.thought_history(table(spark, sf, "conversations"), "conv_id", "turn", "text", max_rows=2)
+
+
 # --- enrichment ------------------------------------------------------------------------------
 def _backwards(text: str) -> str:
     if len(text) % 7 == 0:

@@ -262,10 +262,12 @@ def test_bad_answers(spark):
 
 def test_sections(spark):
     items = [("a", "2", "click"), ("b", None, "purchase"), ("c", "3", "other"), ("d", "4", "cart"), (None, "5", "purchase")]
-    df = spark.createDataFrame([([(t, p, k) for t, p, k in items],)], "i array<struct<title:string,price:string,type:string>>")
-    text = df.select(X.sections(F.col("i")).alias("x"), X.sections(F.col("i"), "cart").alias("c"), X.sections(F.col("i"), []).alias("n")).first()
-    assert text.x == "**Purchased Products:**\n- b (None)\n- None (5)\n\n**Items Added to Cart (but not bought):**\n- d (4)\n\n**Clicked / Viewed Items:**\n- a (2)"
-    assert text.c == "**Items Added to Cart (but not bought):**\n- d (4)" and text.n == ""
+    rows = spark.createDataFrame([("u", n, 0, *i) for n, i in enumerate(items)], "user_id string, seq long, pos int, title string, price string, type string")
+    users = spark.createDataFrame([("u", "x" * 200)], "user_id string, interview_transcript_processed string")
+    pages = {(r.section, r.part): r.text for r in X.section_pages(users, rows, max_rows=1).collect()}
+    assert pages == {(0, 0): "**Purchased Products:**\n- b (None)", (0, 1): "- None (5)", (1, 0): "**Items Added to Cart (but not bought):**\n- d (4)", (2, 0): "**Clicked / Viewed Items:**\n- a (2)"}
+    assert [r.text for r in X.section_pages(users, rows, ["cart"]).collect()] == [pages[1, 0]]
+    assert X.section_pages(users, rows, []).count() == 0
 
 
 def test_interactions_collapse_missing_ids(spark):

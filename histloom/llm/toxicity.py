@@ -30,6 +30,8 @@ GAPS = (0, 1, 2)
 MAX_FIT_ROWS = 40_000
 ROWS_PER_SHARD = 8_000
 TEXTS_AT_ONCE = 256
+#: Beyond this, the logistic function is 0 or 1 to the last digit that matters.
+FAR = 35.0
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +91,7 @@ class Ftrl:
 
 
 def _sigmoid(x):
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0)))
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -FAR, FAR)))
 
 
 def held_out(id_col: str | Column = "doc_id", folds: int = 4, fold: int = 2) -> Column:
@@ -111,7 +113,7 @@ def fit(
 
     With more than `max_rows` such rows, about that many are used, chosen by a hash of the id.
     Rows without id, label or text teach nothing. An id with several labels counts as toxic if
-    one of them says so. Without any row left, the weights are empty and every score is 0.5.
+    one of them says so. Without a toxic row to learn from, every score is 0.
     """
     known = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
@@ -119,7 +121,9 @@ def fit(
         .groupBy("_id")
         .agg(F.max("_y").alias("_y"))
     )
-    total = known.count()
+    total, toxic = known.agg(F.count(F.lit(1)), F.sum("_y")).first()
+    if not toxic:
+        return {BIAS: -FAR}
     share = min(1.0, max_rows / total) if total else 1.0
     shards = max(1, round(total * share / ROWS_PER_SHARD))
     spread = F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(1_000_000))
@@ -140,7 +144,7 @@ def fit(
 
     learned = rows.withColumn("shard", shard).groupBy("shard").applyInPandas(train, "key long, weight double")
     mean = learned.groupBy("key").agg((F.sum("weight") / shards).alias("weight"))
-    return {r["key"]: r["weight"] for r in mean.collect()}
+    return {r["key"]: r["weight"] for r in mean.collect()} or {BIAS: -FAR}
 
 
 def with_score(

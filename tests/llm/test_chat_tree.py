@@ -69,7 +69,8 @@ def test_shared_turns_are_written_once_depth_first(packed):
         at = node["end"]
         stack = stack[: node["depth"]]
         assert len(stack) == node["depth"]
-        assert [tuple(a) for a in node["attends"]] == [(s["start"], s["end"]) for s in stack]
+        covered = [x for a, b in node["attends"] for x in range(a, b)]
+        assert covered == [x for s in stack for x in range(s["start"], s["end"])]
         assert node["position"] == sum(len(s["text"]) for s in stack)
         stack.append(node)
 
@@ -83,6 +84,15 @@ def test_many_conversations_share_a_first_turn(spark):
     assert chat_tree.read_back(nodes, leaves).filter("size(turns) = 3").count() == 3000
 
 
+def test_a_long_conversation_has_few_intervals(spark):
+    rows = [(c, t, "user", f"turn {t}" if t < 700 + c else f"turn {t} of {c}") for c in range(3) for t in range(800)]
+    nodes, leaves = chat_tree.pack(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert nodes.count() == len({tuple(x[3] for x in rows[c * 800 : c * 800 + t + 1]) for c in range(3) for t in range(800)})
+    assert max(len(r["attends"]) for r in nodes.collect()) <= 4
+    got = chat_tree.digests(chat_tree.read_back(nodes, leaves)).collect()
+    assert sorted(map(tuple, got), key=str) == plain(rows)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     nodes, leaves = chat_tree.pack(docs)

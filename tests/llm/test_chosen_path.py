@@ -75,13 +75,16 @@ def near_texts(seed, groups, copies, shared):
 
 @pytest.mark.parametrize("seed,groups,copies,shared", [(1, 120, [1, 2, 3, 6], 0), (2, 150, [1, 2], 1), (3, 2, [150], 0)])
 def test_near_copies_and_shared_passages(spark, monkeypatch, seed, groups, copies, shared):
-    monkeypatch.setattr(chosen_path, "SMALL_NODE", 8)
+    monkeypatch.setattr(chosen_path, "EXHAUSTIVE", 8)
+    monkeypatch.setattr(chosen_path, "BLOCK_ROWS", 4)
     rows = near_texts(seed, groups, copies, shared)
     assert found(spark.createDataFrame(rows, "doc_id long, text string"), 4) == plain(rows, 4)
 
 
-def test_nodes_that_stay_open_are_compared_in_full(spark, monkeypatch):
-    monkeypatch.setattr(chosen_path, "SMALL_NODE", 4)
+@pytest.mark.parametrize("exhaustive,block", [(2048, 16), (4, 8)])
+def test_nodes_that_stay_open_are_compared_in_full(spark, monkeypatch, exhaustive, block):
+    monkeypatch.setattr(chosen_path, "EXHAUSTIVE", exhaustive)
+    monkeypatch.setattr(chosen_path, "BLOCK_ROWS", block)
     monkeypatch.setattr(chosen_path, "MAX_LEVELS", 1)
     rows = near_texts(4, 3, [40], 0)
     assert found(spark.createDataFrame(rows, "doc_id long, text string"), 4) == plain(rows, 4)

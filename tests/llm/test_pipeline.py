@@ -87,7 +87,7 @@ def test_clean_documents_stay(spark, stages):
 
 def test_odd_rows_and_empty_table(spark):
     sf = "/root/testdata/sf0.001"
-    long = "lang text " * 20_000
+    long = " ".join(f"w{i % 3000}" for i in range(30_000))
     rows = [
         (1, None, None, None, None), (2, "", "en", "a", 0), (3, "a b", "en", "a", 3), (4, "a  b", "en", "b", 4),
         (None, "no id", "en", "b", 5), (5, long, "de", "c", len(long)), (6, long + "x", "de", None, 0), (3, "a b", "en", "a", 3),

@@ -3,20 +3,22 @@
 Each text is its set of shingles; texts with equal sets are one class. In each of several
 independent trees, every class goes down two branches per level, each named by one of its
 minwise values: which of them a node uses is drawn from the node itself. Classes that share a
-path meet in a node. A small node is compared exhaustively. In a large one, a few pivots are
-compared with all others, and the rest branches on. Every candidate pair is confirmed on the
-full sets, so no link is wrong; a pair of similarity s survives a level with probability
-1 - (1 - s)**2, and with TREES trees a pair at 0.8 is lost in about one case in 10**4.
-
-Only the components matter, so a node is closed as soon as all its members are connected by
-confirmed links: a group of thousands of near copies ends after one or two levels instead of
-being compared pair by pair. Nodes that are still open after MAX_LEVELS compare each member
-outside their largest component with all the others, without a limit.
+path meet in a node. A node of up to EXHAUSTIVE members is compared exhaustively, block against
+block: sketches decide which pairs are worth it, full sets which are links. In a larger node a
+few pivots are compared with all others, and the rest branches on. A pair of similarity s
+survives a level with probability 1 - (1 - s)**2, and with TREES trees a pair at 0.8 is lost in
+about one case in 10**4.
+
+Only the components matter, so pairs that confirmed links connect already are not compared. A
+group of any number of near copies becomes one component by its pivots; what is left are the few
+members outside of it, which are compared with all members of their node. A pair that meets in
+several nodes of the first level is compared in one of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,11 @@ SIMILARITY = (80, 100)
 TREES = 4
 BRANCHES = 2
 MINWISE = 64
-#: Nodes up to this many members are compared exhaustively.
-SMALL_NODE = 24
+#: A node is compared exhaustively if at most this many members are outside its largest component.
+EXHAUSTIVE = 2048
+BLOCK_ROWS = 256
 PIVOTS = 3
-MAX_LEVELS = 12
+MAX_LEVELS = 8
 #: Pairs whose sketches agree in less than this share of places are not looked at; at a
 #: similarity of 0.8 that is five standard deviations below what is expected.
 SKETCH_SHARE = 0.55
@@ -138,89 +141,182 @@ def next_nodes(members: DataFrame, classes: DataFrame) -> DataFrame:
     return below.select(F.explode(paths).alias("node"), "cls").distinct()
 
 
-def _open(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """node, cls, label and size of the nodes whose members are not all connected yet."""
+def _members(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """node, cls, label (the component so far), and of the node: size, top (the label of its
+    largest component) and out (how many members are not of it). Nodes whose members are all
+    connected are left out."""
     if labels is None:
         named = nodes.withColumn("label", F.col("cls"))
     else:
         known = labels.select(F.col("id").alias("cls"), F.col("root").alias("label"))
         named = nodes.join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    sizes = named.groupBy("node").agg(
-        F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    counts = named.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+    shapes = counts.groupBy("node").agg(
+        F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("n")
     )
-    return named.join(sizes.filter("lo <> hi").select("node", "size"), "node")
+    shapes = shapes.select("node", "size", "top", (F.col("size") - F.col("n")).alias("out")).filter("out > 0")
+    return named.join(shapes, "node")
 
 
 def _likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=-1)
 
 
-def _forest(labels: list[bytes], shares: np.ndarray, left: np.ndarray, right: np.ndarray, spanning: bool):
-    """Of the likely pairs in falling order: those that connect something new, or the others."""
-    root = {x: x for x in labels}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for k in np.argsort(-shares, kind="stable"):
-        a, b = labels[left[k]], labels[right[k]]
-        if a == b:
-            continue
-        if not spanning:
-            yield left[k], right[k]
-        elif (a := find(a)) != (b := find(b)):
-            root[max(a, b)] = min(a, b)
-            yield left[k], right[k]
-
-
-def small_pairs(members: DataFrame, bits: DataFrame, spanning: bool) -> DataFrame:
-    """Likely pairs (a, b) in small nodes between members that are not connected yet: those of a
-    spanning forest, the most similar first, or all."""
-    listed = (
-        members.filter(F.col("size") <= SMALL_NODE)
-        .join(bits, "cls")
-        .groupBy("node")
-        .agg(F.collect_list(F.struct("cls", "label", "bits")).alias("m"))
-        .select("m")
+_ROW = {
+    "node": pa.int64(), "i": pa.int32(), "j": pa.int32(), "block": pa.int32(), "cls": pa.binary(),
+    "label": pa.binary(), "bits": pa.binary(), "met": pa.list_(pa.int64()),
+}
+_ROW_SCHEMA = "node long, i int, j int, block int, cls binary, label binary, bits binary, met array<long>"
+
+
+def node_blocks(members: DataFrame, sketch: DataFrame, met: DataFrame) -> DataFrame:
+    """The rows of every pair of blocks (i, j) to compare, sorted so that they come together.
+
+    Blocks hold the members outside the largest component of a node first, then those in it; no
+    pair of blocks is within the largest component.
+    """
+    outside = F.col("label") != F.col("top")
+    first = F.ceil(F.col("out") / BLOCK_ROWS).cast("int")
+    second = F.ceil((F.col("size") - F.col("out")) / BLOCK_ROWS).cast("int")
+    spread = F.xxhash64("cls")
+    block = F.when(outside, F.pmod(spread, first)).otherwise(first + F.pmod(spread, second)).cast("int")
+    others = F.when(outside, F.sequence(F.lit(0), first + second - 1)).otherwise(F.sequence(F.lit(0), first - 1))
+    return (
+        members.select("node", "cls", "label", block.alias("block"), F.explode(others).alias("other"))
+        .join(sketch.join(met, "cls", "left"), "cls")
+        .select(
+            "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
+            "cls", "label", "bits", F.coalesce("met", F.array().cast("array<long>")).alias("met"),
+        )
+        .repartition("node", "i", "j")
+        .sortWithinPartitions("node", "i", "j", "block")
     )
 
+
+def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
+    """Rows that agree in node, i and j, as tuples of their `width` columns."""
+    last, held = None, []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in range(min(width, len(_ROW)))]
+        if width > len(_ROW):  # full sets stay arrays
+            ends, values = batch.column(len(_ROW)).offsets.to_numpy(), batch.column(len(_ROW)).values.to_numpy()
+            columns.append([values[a:b].copy() for a, b in zip(ends[:-1], ends[1:])])
+        for row in zip(*columns):
+            if row[:3] != last and held:
+                yield held
+                held = []
+            last = row[:3]
+            held.append(row)
+    if held:
+        yield held
+
+
+def _pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the likely pairs of one pair of blocks that are not connected, and that have not
+    met in a node before this one."""
+    node, i, j = rows[0][:3]
+    if len(rows) < 2:
+        return np.zeros(0, int), np.zeros(0, int)
+    grid = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+    if i == j:
+        left, right = np.triu_indices(len(rows), 1)
+        some = _likely(grid[left], grid[right]) >= SKETCH_SHARE if len(rows) < 64 else None
+        if some is None:
+            whole = np.stack([_likely(g, grid) for g in grid])
+            some = whole[left, right] >= SKETCH_SHARE
+        left, right = left[some], right[some]
+    else:
+        block = np.array([r[3] for r in rows])
+        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(a) or not len(b):
+            return np.zeros(0, int), np.zeros(0, int)
+        x, y = np.nonzero(np.stack([_likely(grid[k], grid[b]) for k in a]) >= SKETCH_SHARE)
+        left, right = a[x], b[y]
+    keep = [
+        k for k, (x, y) in enumerate(zip(left, right))
+        if rows[x][5] != rows[y][5] and min(set(rows[x][7]) & set(rows[y][7]), default=node) == node
+    ]
+    return left[keep], right[keep]
+
+
+def likely_members(blocks: DataFrame) -> DataFrame:
+    """The rows of `node_blocks` that have a likely partner in their pair of blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for node in batch.column(0).to_pylist():
-                node.sort(key=lambda m: m["cls"])
-                grid = np.frombuffer(b"".join(m["bits"] for m in node), np.uint8).reshape(len(node), -1)
-                left, right = np.triu_indices(len(node), 1)
-                shares = _likely(grid[left], grid[right])
-                some = np.flatnonzero(shares >= SKETCH_SHARE)
-                names = [m["label"] for m in node]
-                for i, j in _forest(names, shares[some], left[some], right[some], spanning):
-                    a.append(node[i]["cls"])
-                    b.append(node[j]["cls"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        out: list[tuple] = []
+        for rows in _groups(batches, len(_ROW)):
+            left, right = _pairs(rows)
+            out += [rows[k] for k in np.union1d(left, right)]
+            if len(out) >= 4096:
+                yield _batch(out)
+                out = []
+        yield _batch(out)
+
+    return blocks.mapInArrow(run, _ROW_SCHEMA)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * len(_ROW)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, _ROW.values())], names=list(_ROW))
+
+
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets."""
+    if len(left) > 64:
+        names, column = np.unique(np.concatenate(sets), return_inverse=True)
+        if len(sets) * len(names) <= 1 << 24:
+            table = np.zeros((len(sets), len(names)), dtype=np.float32)
+            table[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), column] = 1.0
+            return (table @ table.T)[left, right].astype(np.int64)
+    return np.array(
+        [np.isin(*sorted((sets[x], sets[y]), key=len), assume_unique=True, kind="sort").sum() for x, y in zip(left, right)],
+        dtype=np.int64,
+    )
 
-    return listed.mapInArrow(run, "a binary, b binary")
 
+def block_links(likely: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """a, b: links found on the full sets of `likely_members`. Within a pair of blocks, only
+    those that connect something new."""
+    num, den = similarity
+    filled = likely.join(sets, "cls").select(*_ROW, "shingles")
+    filled = filled.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "block")
 
-def pivot_pairs(members: DataFrame, bits: DataFrame, last: bool) -> DataFrame:
-    """Likely pairs (a, b) of pivots and the members of their large node that are not connected
-    with them. Pivots are PIVOTS members drawn by hash, or, at the last level, all members that
-    are not of the largest component."""
-    large = members.filter(F.col("size") > SMALL_NODE)
-    if last:
-        counts = large.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-        top = counts.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
-        pivots = large.join(top, "node").filter("label <> top").select("node", "cls", "label")
-    else:
-        drawn = [
-            F.min_by(F.struct("cls", "label"), F.xxhash64(F.lit(i), "node", "cls")).alias(f"p{i}")
-            for i in range(PIVOTS)
-        ]
-        picked = large.groupBy("node").agg(*drawn)
-        each = F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])))
-        pivots = picked.select("node", each.alias("p")).select("node", "p.cls", "p.label")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, len(_ROW) + 1):
+            left, right = _pairs(rows)
+            sets = [r[8] for r in rows]
+            sizes = np.array([len(s) for s in sets])
+            both = _overlaps(sets, left, right)
+            good = den * both >= num * (sizes[left] + sizes[right] - both)
+            root = {r[5]: r[5] for r in rows}
+
+            def find(x):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            a, b = [], []
+            for x, y in zip(left[good], right[good]):
+                p, q = find(rows[x][5]), find(rows[y][5])
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    a.append(rows[x][4])
+                    b.append(rows[y][4])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return filled.mapInArrow(run, "a binary, b binary")
+
+
+def pivot_pairs(large: DataFrame, bits: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) of PIVOTS members of each node, drawn by hash, and the members that
+    are not connected with them."""
+    drawn = [
+        F.min_by(F.struct("cls", "label"), F.xxhash64(F.lit(i), "node", "cls")).alias(f"p{i}") for i in range(PIVOTS)
+    ]
+    picked = large.groupBy("node").agg(*drawn)
+    each = F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])))
+    pivots = picked.select("node", each.alias("p")).select("node", "p.cls", "p.label")
     pivots = pivots.join(bits, "cls").select(
         "node", F.col("cls").alias("a"), F.col("label").alias("a_label"), F.col("bits").alias("a_bits")
     )
@@ -242,20 +338,20 @@ def pivot_pairs(members: DataFrame, bits: DataFrame, last: bool) -> DataFrame:
             keep = pa.array(_likely(*grids) >= SKETCH_SHARE)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    return rows.mapInArrow(run, "a binary, b binary").select(*ends).distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs whose full sets are similar enough: den * intersection >= num * union.
+    """The distinct pairs whose full sets are similar enough: den * intersection >= num * union.
 
     A set is sent once per CHUNK partners. A task reads its groups one after the other, sorted,
     so it holds a few sets at a time.
     """
     num, den = similarity
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-    sizes = ordered.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).alias("chunk")
-    chunked = ordered.join(sizes, "a").select("a", chunk, "b")
+    chunked = pairs.join(sizes, "a").select("a", chunk, "b")
     lead = chunked.select("a", "chunk", F.col("a").alias("cls"), F.lit(0).alias("part")).distinct()
     asked = lead.union(chunked.select("a", "chunk", F.col("b"), F.lit(1)))
     filled = asked.join(sets, "cls").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "part")
@@ -295,46 +391,43 @@ def link_classes(
     nodes = first_nodes(classes)
     shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
     nodes = written(nodes.join(shared, "node"), "nodes")
-    meeting = nodes.select("cls").distinct()
     classes = written(
-        classes.join(meeting, "cls", "left_semi").groupBy("cls").agg(
+        classes.join(nodes.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(
             F.min("_id").alias("_id"), F.first("mins").alias("mins"), F.first("bits").alias("bits")
         ),
         "classes",
     )
     bits = classes.select("cls", "bits")
-    labels, links, sets = None, None, None
-    crossing: DataFrame | None = None
-    for level in range(1, MAX_LEVELS + 1):
-        last = level == MAX_LEVELS
-        members = written(_open(nodes, labels), "members")
-        pairs = small_pairs(members, bits, spanning=True).union(pivot_pairs(members, bits, last))
-        if crossing is not None:
-            pairs = pairs.union(crossing)
-        pairs = written(pairs.distinct(), "pairs")
-        if sets is None:
-            large = members.filter(F.col("size") > SMALL_NODE).select("cls")
-            needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(large).distinct()
-            ids = classes.join(needed, "cls", "left_semi").select(F.col("_id").alias("_set_id"))
-            chosen = texts.join(ids, F.col("_id").eqNullSafe(F.col("_set_id")), "left_semi")
-            all_sets = full_sets(chosen, width).join(needed, "cls", "left_semi")
-            sets = written(all_sets.dropDuplicates(["cls"]), "sets")
-        new = written(confirm(pairs, sets, similarity), "confirmed")
-        links = new if links is None else links.union(new)
+    members = written(_members(nodes, None), "members")
+    large = members.filter(F.col("size") > EXHAUSTIVE)
+    small = members.filter(F.col("size") <= EXHAUSTIVE)
+    met = small.groupBy("cls").agg(F.collect_list("node").alias("met"))
+    likely = written(likely_members(node_blocks(small.filter(F.col("out") <= EXHAUSTIVE), bits, met)), "likely")
+    needed = likely.select("cls").union(large.select("cls")).distinct()
+    ids = classes.join(needed, "cls", "left_semi").select(F.col("_id").alias("_set_id"))
+    chosen = texts.join(ids, F.col("_id").eqNullSafe(F.col("_set_id")), "left_semi")
+    sets = full_sets(chosen, width).join(needed, "cls", "left_semi").dropDuplicates(["cls"])
+    sets = written(sets, "sets")
+    new, labels = block_links(likely, sets, similarity), None
+    for level in range(1, MAX_LEVELS + 2):
+        hot = not large.isEmpty()
+        if hot:
+            new = new.union(confirm(pivot_pairs(large, bits), sets, similarity))
+        new = written(new, "links")
         if not new.isEmpty():
-            labels = written(components(links), "labels")
-            links = labels.select(F.col("id").alias("a"), F.col("root").alias("b"))
-        still = written(_open(members.select("node", "cls"), labels), "open")
-        crossing = small_pairs(still, bits, spanning=False)
-        if last:
-            break
-        large = still.filter(F.col("size") > SMALL_NODE)
-        if large.isEmpty():
+            old = [] if labels is None else [labels.select(F.col("id").alias("a"), F.col("root").alias("b"))]
+            labels = written(components(reduce(DataFrame.union, old, new)), "labels")
+        if not hot:
             break
-        nodes = next_nodes(large, classes)
-    rest = written(confirm(crossing, sets, similarity), "confirmed")
-    if not rest.isEmpty():
-        labels = components(links.union(rest))
+        still = written(_members(large.select("node", "cls"), labels), "open")
+        done = F.lit(True) if level == MAX_LEVELS else F.col("out") <= EXHAUSTIVE
+        compared = still.filter(done)
+        below = _members(next_nodes(still.filter(~done), classes), labels)
+        below = written(below, "members")
+        small = below.filter(F.col("size") <= EXHAUSTIVE)
+        large = below.filter(F.col("size") > EXHAUSTIVE)
+        likely = likely_members(node_blocks(compared.unionByName(small), bits, met))
+        new = block_links(written(likely, "likely"), sets, similarity)
     return labels
 
 

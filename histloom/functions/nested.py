@@ -130,10 +130,11 @@ def survey_fields(c: Column) -> Column:
 
 
 def valid_json(c: Column) -> Column:
-    """Whether the text is one JSON value. The parser stops after a first value; as the only
-    entry of a list it must not be followed by anything."""
+    """Whether the text is one JSON value; blank text is none. The parser stops after a first
+    value; as the only entry of a list it must not be followed by anything."""
     listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    return listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    blank = F.trim(c, F.lit(K.SPACES)) == ""
+    return ~blank & listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
 
 
 def survey_text(survey: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from histloom import constants as K
 from histloom.functions.nested import valid_json
 from histloom.functions.text import normalize_text, strip
+from histloom.operators.skew import lookup_join
 
-MAX_RULES = 10_000
-_ENTITIES = json.dumps({f"&{name};": chr(code) for name, code in name2codepoint.items() if name != "amp"})
-_AMPERSANDS = ["&amp;", "&#38;", "&#x26;", "&#X26;"]
+GRAM = 8
+_ENTITIES = json.dumps({f"&{name}": text for name, text in html5.items() if name.endswith(";") and text != "&"})
+_AMPERSANDS = ["&amp;", "&AMP;", "&#38;", "&#x26;", "&#X26;"]
 _TAG = "(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 
 
@@ -95,24 +96,38 @@ def linked_data(html: Column) -> Column:
 
 
 def url_rules(statuses: dict[str, str], blocked: Iterable[str] = ()) -> Column:
-    """URL rules in order of entry; the block list overrides."""
+    """URL rules in order of entry; the block list overrides. They become part of the plan: hand
+    long lists to `allowed_by_table` as a table."""
     merged = {**statuses, **{url: "blocked" for url in blocked}}
-    if len(merged) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} URL rules: pass them as a table")
     rows = [F.struct(F.lit(u).alias("url"), F.lit(s).alias("status")) for u, s in merged.items()]
     return F.array(*rows) if rows else F.array().cast("array<struct<url:string,status:string>>")
 
 
-def rules_of_table(rules: DataFrame) -> Column:
-    """The rules of a table (url, status, ord) as one value; add it as a column for `url_allowed`.
+def allowed_by_table(pages: DataFrame, url: str, row_id: str, rules: DataFrame) -> DataFrame:
+    """`pages` with `allowed`, by a table of rules (url, status, ord) of any size.
 
-    The latest status of a URL counts, at the place where the URL came first. The number of
-    rules is checked when the query runs.
+    The latest status of a rule's URL counts, at the place where the URL came first. The rule for
+    exactly the page's URL decides, else the first rule whose text is part of it, else it is
+    allowed. Exact rules are found by equality. For the others, the last GRAM characters of a
+    rule must be a piece of the page's URL: pieces and rules meet by equality, and only pairs
+    that do are compared in full. Rules shorter than GRAM are looked up by their whole length.
     """
     merged = rules.groupBy("url").agg(F.min("ord").alias("ord"), F.max_by("status", "ord").alias("status"))
-    listed = F.array_sort(F.collect_list(F.struct("ord", "url", "status")))
-    checked = F.when(F.count(F.lit(1)) > MAX_RULES, F.raise_error(F.lit("too many URL rules"))).otherwise(listed)
-    return merged.agg(checked.alias("rules")).scalar()
+    size = F.least(F.length("url"), F.lit(GRAM))
+    known = merged.select(F.col("url").alias("_rule"), "ord", "status", F.right(F.col("url"), size).alias("_gram"), size.alias("_size"))
+    sizes = known.agg(F.collect_set("_size").alias("s")).scalar()  # at most GRAM + 1 numbers
+    at = F.col(url)
+    starts = lambda n: F.when(F.length(at) >= n, F.sequence(F.lit(1), F.length(at) - n + 1))
+    pieces = F.transform(F.col("_sizes"), lambda n: F.transform(starts(n), lambda i: F.substring(at, i, n)))
+    distinct = pages.select(url).filter(at.isNotNull()).distinct().withColumn("_sizes", sizes)
+    grams = distinct.select(url, F.explode(F.array_distinct(F.flatten(F.filter(pieces, lambda p: p.isNotNull())))).alias("_gram"))
+    partly = (
+        grams.join(known, "_gram").filter(F.contains(at, F.col("_rule")))
+        .groupBy(url).agg(F.min_by("status", "ord").alias("_partly"), F.max(F.when(F.col("_rule") == at, F.col("status"))).alias("_exact"))
+    )
+    status = F.coalesce("_exact", "_partly")
+    found = lookup_join(pages, partly, [url], "left", spread_by=[row_id])
+    return found.withColumn("allowed", F.coalesce(status == "allowed", F.lit(True))).drop("_exact", "_partly")
 
 
 def url_allowed(url: Column, rules: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +100,11 @@ def enrich_or_keep(rows: DataFrame, key: str, text: str, value: str, fn: Callabl
     return enrich(rows.filter(~has), key, text, fn, **how).unionByName(skipped)
 
 
+def _answer(value: Column) -> Column:
+    found = json_in_text(value)
+    return F.when(F.size(found) > 0, found)
+
+
 def two_pass(
     posts: DataFrame,
     describe: Callable[[str], str],
@@ -109,23 +114,24 @@ def two_pass(
 ) -> DataFrame:
     """One call per user on all posts, one per user and community on the posts there.
 
-    `posts` has user_id, subreddit, pos, post. The result has one row per user and community
-    with the user's description (a JSON object, `unknown` fields if there is none) and the
-    vector of the community. A community whose answer holds no JSON is left out.
+    `posts` has user_id, subreddit, first_seq, pos, post; a user's texts go by community in the
+    order of the first post there. The result has one row per user and community with the user's
+    description (a JSON object, `unknown` fields if there is none) and the vector of the
+    community. A community whose answer holds no JSON is left out. An empty object is no answer.
     """
-    order = ["subreddit", "pos"]
+    order = ["first_seq", "pos"]
     people = corpus(posts, ["user_id"], order, "post", user_chars)
     both = F.concat_ws("\u0001", F.col("user_id").cast("string"), "subreddit")
     places = corpus(posts, ["user_id", "subreddit"], ["pos"], "post", community_chars)
     fields = ["age", "gender", "occupation", "location"]
     unknown = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.lit("unknown")] * 4))
     described = enrich(people, "user_id", "corpus", describe).select(
-        "user_id", F.coalesce(json_in_text(F.col("value")), unknown).alias("anchor_demographics")
+        "user_id", F.coalesce(_answer(F.col("value")), unknown).alias("anchor_demographics")
     )
     rated = enrich(places.withColumn("_key", both), "_key", "corpus", rate).select(
         F.split("_key", "\u0001")[0].cast(posts.schema["user_id"].dataType).alias("user_id"),
         F.split("_key", "\u0001")[1].alias("subreddit"),
-        json_in_text(F.col("value")).alias("_map"),
+        _answer(F.col("value")).alias("_map"),
     )
     vector = F.transform_values("_map", lambda k, v: v.try_cast("double"))
     return (

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histloom.functions.text import usable_text
 from histloom.operators.skew import lookup_join
 
 
@@ -43,13 +42,14 @@ def with_product(rows: DataFrame, products: DataFrame, on: str) -> DataFrame:
 
 
 def with_persona(users: DataFrame, personas: DataFrame) -> DataFrame:
-    """Users with their persona; those without a usable one drop out."""
-    return users.join(personas.filter(usable_text(F.col("persona"))), "user_id")
+    """Users with their persona; those with a missing or empty one drop out. A user may have
+    very many rows, but only one persona."""
+    return lookup_join(users, personas.filter(F.col("persona") != ""), ["user_id"], "inner")
 
 
 def not_done(rows: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is not done yet."""
-    return rows.join(done.select(*on).distinct(), list(on), "left_anti")
+    return lookup_join(rows, done.select(*on).distinct(), on, "left_anti")
 
 
 def merged(parts: Sequence[DataFrame]) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,34 +86,41 @@ def first_distinct(df: DataFrame, category: str, user: str, seq: str, n: int) ->
 
 def keep_first(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str]) -> DataFrame:
     """One row per key, the first in `order`. `order` must be unique within a key."""
-    return _keep(df, keys, order, F.min_by)
+    return _keep(df, keys, [F.col(o).asc() for o in order])
 
 
 def keep_last(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str]) -> DataFrame:
     """One row per key, the last in `order`: a later row overwrites an earlier one."""
-    return _keep(df, keys, order, F.max_by)
+    return _keep(df, keys, [F.col(o).desc() for o in order])
 
 
-def _keep(df: DataFrame, keys, order, pick) -> DataFrame:
-    keyed = [(F.col(k) if isinstance(k, str) else k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    row = F.struct(*df.columns).alias("_row")
-    at = F.struct(*order).alias("_at")
-    return (
-        df.select(*keyed, row, at)
-        .groupBy(*[f"_k{i}" for i in range(len(keyed))])
-        .agg(pick("_row", "_at").alias("_row"))
-        .select("_row.*")
-    )
+def _keep(df: DataFrame, keys, order) -> DataFrame:
+    """The row of rank 1 per key. Spark drops other rows before the shuffle, so a hot key sends
+    one row per map task."""
+    w = Window.partitionBy(*[F.col(k) if isinstance(k, str) else k for k in keys]).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+def _stretches(df: DataFrame, seq: str, parts: int) -> DataFrame:
+    """`df` with `_b`, the number of the stretch of about equal size that `seq` lies in. The
+    bounds are quantiles of the column, so they follow its values however sparse these are."""
+    cuts = sorted(set(df.approxQuantile(seq, [i / parts for i in range(1, parts)], 0.25 / parts)))
+    if not cuts:
+        return df.withColumn("_b", F.lit(0))
+    bounds = [float("-inf"), *cuts, float("inf")]
+    placed = df.withColumn("_x", F.col(seq).cast("double"))
+    return Bucketizer(splits=bounds, inputCol="_x", outputCol="_b").transform(placed).drop("_x")
 
 
-def row_index(df: DataFrame, seq: str, into: str = "row_index", width: int = 1_000_000) -> DataFrame:
-    """A dense index from 0 in the order of a unique, non-negative integer column.
+def row_index(df: DataFrame, seq: str, into: str = "row_index", parts: int = 1024) -> DataFrame:
+    """A dense index from 0 in the order of a unique numeric column.
 
-    Rows are numbered inside stretches of `width` values, which hold at most `width` rows each,
-    and shifted by the count of the rows before; there is no sort of the whole table in one task.
+    Rows are numbered inside `parts` stretches of about equal size and shifted by the count of
+    the rows before; there is no sort of the whole table in one task. `df` is read once more, for
+    the quantiles that bound the stretches.
     """
-    cut = df.withColumn("_b", F.floor(F.col(seq) / width))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cut = _stretches(df, seq, parts)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per stretch
     offsets = (
         cut.groupBy("_b")
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -140,13 +148,42 @@ def draw_key(seed: int, row_id: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string")))
 
 
+def _key_of_rank(keyed: DataFrame, rank: Column) -> DataFrame:
+    """One row, `_h`: the key that stands at `rank` (an expression of `_all`, the number of rows)
+    in the order of the column `_h` of `keyed`; no row if there is none.
+
+    It is found by counting rows per leading digits (at most 16**HASH_DIGITS buckets) and ranking
+    the rows of the single bucket in which the rank falls; the table is not sorted.
+    """
+    heads = keyed.select("_h", F.left("_h", F.lit(HASH_DIGITS)).alias("_b"))
+    running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    upto, size = F.col("_upto"), F.col("_n")
+    bucket = (
+        heads.groupBy("_b")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_upto", F.sum("_n").over(running))
+        .withColumn("_all", F.sum("_n").over(Window.partitionBy()))
+        .withColumn("_want", rank)
+        .filter((upto >= F.col("_want")) & (upto - size < F.col("_want")))
+        .select("_b", (F.col("_want") - upto + size).alias("_need"))
+    )
+    inside = Window.partitionBy("_b").orderBy("_h")
+    ranked = heads.join(F.broadcast(bucket), "_b").withColumn("_rn", F.row_number().over(inside))  # one bucket
+    return ranked.filter(F.col("_rn") == F.col("_need")).select("_h")
+
+
 def uniform_sample(
     df: DataFrame, row_id: str, k: int, seed: int, seq: str | None = None, max_rows: int | None = None
 ) -> DataFrame:
-    """`k` rows drawn without replacement, from the first `max_rows` rows by `seq` if given."""
+    """`k` rows drawn without replacement, from the first `max_rows` rows by `seq` if given.
+
+    The rows up to the k-th key of the random order are taken where they are; `row_id` is unique.
+    """
     if max_rows is not None:
         df = df.orderBy(seq).limit(max_rows)
-    return df.orderBy(draw_key(seed, F.col(row_id)), row_id).limit(k)
+    keyed = df.withColumn("_h", draw_key(seed, F.col(row_id)))
+    last = _key_of_rank(keyed, F.least(F.col("_all"), F.lit(k)))
+    return keyed.filter(F.col("_h") <= last.scalar()).drop("_h")
 
 
 def stratified_sample(
@@ -167,29 +204,11 @@ def share_split(
 ) -> DataFrame:
     """Split at random with exact sizes: ceil(share x rows) rows are `names[1]`, the rest `names[0]`.
 
-    The cut is one md5 value. It is found by counting rows per leading digits (at most 16**4
-    buckets) and ranking the rows of the single bucket in which the wanted count falls, so the
-    table is read three times but never shuffled or sorted.
+    The cut is one md5 value, so the table is read a few times but never shuffled or sorted.
     """
     keyed = df.withColumn("_h", draw_key(seed, F.col(row_id)))
-    heads = keyed.select("_h", F.left("_h", F.lit(HASH_DIGITS)).alias("_b"))
-    running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = (
-        heads.groupBy("_b")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(running))
-        .withColumn("_want", F.ceil(F.sum("_n").over(Window.partitionBy()) * share))
-        .filter((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
-        .select("_b", (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_need"))
-    )
-    inside = Window.partitionBy("_b").orderBy("_h")
-    cut = (
-        heads.join(F.broadcast(buckets), "_b")
-        .withColumn("_rn", F.row_number().over(inside))
-        .filter(F.col("_rn") == F.col("_need"))
-        .select("_h")
-    )
-    held = F.coalesce(F.col("_h") <= cut.scalar(), F.lit(False))
+    last = _key_of_rank(keyed, F.ceil(F.col("_all") * share))
+    held = F.coalesce(F.col("_h") <= last.scalar(), F.lit(False))
     return keyed.withColumn("split", F.when(held, names[1]).otherwise(names[0])).drop("_h")
 
 

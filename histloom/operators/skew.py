@@ -76,7 +76,7 @@ def first_per_group(
     """
     keys = [F.col(k) if isinstance(k, str) else k for k in keys]
     if n > 50:
-        part = _salt([F.col(c) for c in _hashable(df)], 128 if n <= 1000 else 4096)
+        part = _salt([F.col(c) for c in _hashable(df)], 128)
         pre = Window.partitionBy(*keys, part).orderBy(*order)
         df = df.withColumn(rank, F.row_number().over(pre)).filter(F.col(rank) <= n).drop(rank)
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histloom import constants as K
 from histloom.functions.text import first_nonempty
-from histloom.operators.skew import first_per_group, lookup_join
+from histloom.operators.skew import PAGE_ROWS, first_per_group, lookup_join, nest
 
 
 def named_posts(posts: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def community_posts(
     per_community: int = K.POSTS_PER_COMMUNITY,
     min_chars: int = K.MIN_POST_CHARS,
 ) -> DataFrame:
-    """The first long posts of users who have enough of them in enough communities.
+    """The first long posts of users who have enough of them in enough communities, and the
+    place of the user's first post of any length there (`first_seq`).
 
     A post is long with more than `min_chars` characters. A community counts with
     `per_community` long posts, a user with `min_communities` such communities; that already
@@ -56,19 +57,18 @@ def community_posts(
     users = full.groupBy("author").agg(F.count(F.lit(1)).alias("_n")).filter(
         F.col("_n") >= min_communities
     )
-    return full.join(users.select("author"), "author", "left_semi").select(
-        "author", "subreddit", F.transform("posts", lambda p: p["post"]).alias("posts")
+    seen = named_posts(posts).groupBy("author", "subreddit").agg(F.min("seq").alias("first_seq"))
+    return full.join(users.select("author"), "author", "left_semi").join(seen, ["author", "subreddit"]).select(
+        "author", "subreddit", "first_seq", F.transform("posts", lambda p: p["post"]).alias("posts")
     )
 
 
-def community_users(rows: DataFrame) -> DataFrame:
-    """Nested users: their communities and posts. One entry per community, a few posts each."""
-    history = F.array_sort(F.collect_list(F.struct("subreddit", "posts")))
-    return (
-        rows.groupBy(F.col("author").alias("user_id"))
-        .agg(history.alias("history"))
-        .select("user_id", F.transform("history", lambda h: h["subreddit"]).alias("subreddits"), "history")
-    )
+def community_users(rows: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
+    """Nested users: their communities, in the order of the user's first post there, and a few
+    posts each; in pages of `max_rows` communities numbered by `part`."""
+    paged = nest(rows, ["author"], ["first_seq"], ["subreddit", "posts"], "history", max_rows)
+    subreddits = F.transform("history", lambda h: h["subreddit"]).alias("subreddits")
+    return paged.select(F.col("author").alias("user_id"), "part", subreddits, "history")
 
 
 def corpus(
@@ -76,12 +76,18 @@ def corpus(
 ) -> DataFrame:
     """The texts of each group in order, joined and cut to `max_chars` characters.
 
-    Each text adds at least the separator, so the first `max_chars` + 1 texts decide the
-    result; only those, cut as well, are ever brought together.
+    `order` is unique within a group. Each text adds at least the separator, so the first
+    `max_chars` + 1 texts decide the result. Their lengths alone are ranked and added up, and
+    texts are only fetched, cut, up to where the result is full.
     """
-    slim = df.select(*keys, *order, F.left(F.coalesce(F.col(text), F.lit("")), F.lit(max_chars)).alias("_t"))
-    first = first_per_group(slim, keys, [F.col(o) for o in order], max_chars + 1, "_rn")
-    return first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_rn", "_t"))).alias("_all")).select(
+    cut = F.left(F.coalesce(F.col(text), F.lit("")), F.lit(max_chars))
+    lengths = df.select(*keys, *order, F.length(cut).alias("_len"))
+    first = first_per_group(lengths, keys, [F.col(o) for o in order], max_chars + 1, "_rn")
+    so_far = Window.partitionBy(*keys).orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("_len") + len(sep)).over(so_far), F.lit(0))
+    wanted = first.withColumn("_before", before).filter(F.col("_before") < max_chars).select(*keys, *order, "_rn")
+    rows = df.select(*keys, *order, cut.alias("_t")).join(wanted, [*keys, *order])
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_rn", "_t"))).alias("_all")).select(
         *keys,
         F.left(F.concat_ws(sep, F.transform("_all", lambda x: x["_t"])), F.lit(max_chars)).alias("corpus"),
     )

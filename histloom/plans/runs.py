@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histloom.functions.text import answers_match, first_nonempty
+from histloom.operators.skew import lookup_join
 
 
 def without_attachments(tasks: DataFrame) -> DataFrame:
@@ -24,7 +25,8 @@ def result_records(tasks: DataFrame, outcomes: DataFrame) -> DataFrame:
     columns of the outcomes, such as a run id, stay."""
     error = F.col("error")
     more = [c for c in outcomes.columns if c not in ("task_id", "system_answer", "execution_time", "error")]
-    return tasks.join(outcomes, "task_id").select(
+    runs = lookup_join(outcomes, tasks, ["task_id"], "inner")
+    return runs.select(
         *more,
         "task_id",
         "question",

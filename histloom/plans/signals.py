@@ -1,7 +1,7 @@
 """Daily news signals: extraction, seven-day means, and vectors joined to users by date.
 
 Every table keyed by day has one row per calendar day, a few ten thousand for a century, so
-those sides are broadcast. Window means are taken once per distinct date, not once per user.
+Spark measures them as small and broadcasts them. Window means are taken once per distinct date, not once per user.
 """
 
 from __future__ import annotations
@@ -27,11 +27,15 @@ def missing_dates(needed: DataFrame, held: DataFrame, day: str = "day") -> DataF
     return needed.select(day).distinct().join(held.select(day).distinct(), day, "left_anti")
 
 
+def usable_news(news: DataFrame) -> DataFrame:
+    """News rows of the wanted place that have signals."""
+    return news.filter(F.col("V2Locations").contains(K.LOCATION_MARK) & F.col("GCAM").isNotNull())
+
+
 def news_of_days(news: DataFrame, days: DataFrame) -> DataFrame:
-    """Usable news rows of the given days. With `day` as partition column, the broadcast of the
-    days also prunes the files to read."""
-    usable = F.col("V2Locations").contains(K.LOCATION_MARK) & F.col("GCAM").isNotNull()
-    return news.join(F.broadcast(days), "day", "left_semi").filter(usable)
+    """Usable news rows of the given days. With `day` as partition column, Spark also prunes the
+    files to read by the days."""
+    return usable_news(news).join(days, "day", "left_semi")
 
 
 def extracted(news: DataFrame) -> DataFrame:
@@ -51,7 +55,7 @@ def daily_signals(news: DataFrame) -> DataFrame:
 
 def _with_window(dates: DataFrame, daily: DataFrame, date: str, days: int) -> DataFrame:
     spread = dates.select(date).distinct().withColumn("day", F.explode(days_around(F.col(date), days)))
-    return spread.join(F.broadcast(daily), "day")
+    return spread.join(daily, "day")
 
 
 def window_rows(
@@ -59,7 +63,7 @@ def window_rows(
 ) -> DataFrame:
     """Every user row with each daily row within `days` of its date; missing days give no row."""
     near = users.withColumn("day", F.explode(days_around(F.col(date), days)))
-    return near.join(F.broadcast(daily), "day")
+    return near.join(daily, "day")
 
 
 def mean_of_daily_means(
@@ -91,19 +95,30 @@ def date_vectors(signals: DataFrame, date: str = "day") -> DataFrame:
     return signals.select(F.col(date).alias("date"), signal_vector().alias("vector"))
 
 
+def newest(rows: DataFrame, key: str = "date", version: str = "version") -> DataFrame:
+    """One row per key with its vector: that of the highest version, if rows have one. Of equal
+    versions the one whose entries sort last counts, so the choice does not depend on row order."""
+    entries = F.array_sort(F.map_entries("vector")).alias("entries")
+    order = [F.col(version)] if version in rows.columns else []
+    top = rows.groupBy(key).agg(F.max(F.struct(*order, entries)).alias("_o"))
+    return top.select(key, F.map_from_entries("_o.entries").alias("vector"))
+
+
 def upsert_cache(cache: DataFrame, fresh: DataFrame, key: str = "date") -> DataFrame:
-    """The cache with fresh rows in place of old ones; fresh rows without a vector are left out."""
-    new = fresh.filter(F.col("vector").isNotNull())
+    """The cache with fresh rows in place of old ones, one row per key; fresh rows without a
+    vector are left out."""
+    new, cache = newest(fresh.filter(F.col("vector").isNotNull()), key), newest(cache, key)
     return cache.join(new.select(key), key, "left_anti").unionByName(new)
 
 
 def attach_vectors(users: DataFrame, fresh: DataFrame, cache: DataFrame) -> DataFrame:
     """Each user with the vector of the date: fresh, else cached, else the flat prior.
 
-    A date that was computed but has no signal gets the prior, whatever the cache holds.
+    A date that was computed but has no signal gets the prior, whatever the cache holds. Of
+    several rows for a date the newest counts.
     """
-    new = F.broadcast(fresh.select("date", F.col("vector").alias("_fresh"), F.lit(True).alias("_known")))
-    old = F.broadcast(cache.select("date", F.col("vector").alias("_cached")))
+    new = newest(fresh).select("date", F.col("vector").alias("_fresh"), F.lit(True).alias("_known"))
+    old = newest(cache).select("date", F.col("vector").alias("_cached"))
     found = F.when(F.col("_known"), F.col("_fresh")).otherwise(F.col("_cached"))
     return (
         users.join(new, "date", "left")
@@ -120,7 +135,7 @@ def attach_window_vectors(users: DataFrame, daily: DataFrame, date: str = "date"
     signals are 0.
     """
     means = mean_of_daily_means(users, daily, date).filter(F.col("val_power").isNotNull())
-    vectors = F.broadcast(means.select(date, signal_vector().alias("_v"), F.lit(True).alias("_known")))
+    vectors = means.select(date, signal_vector().alias("_v"), F.lit(True).alias("_known"))
     value = F.when(F.col("_known"), F.col("_v")).otherwise(flat_prior())
     return users.join(vectors, date, "left").withColumn("psych_vector", value).drop("_v", "_known")
 

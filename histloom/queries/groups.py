@@ -78,14 +78,32 @@ def chameleon_users(spark, sf):
     return rows.select("author", "subreddit", F.posexplode("posts").alias("pos", "post"))
 
 
+def _community_users_sql(rows_per_page=None):
+    page = "0" if rows_per_page is None else f"((row_number() over (partition by author order by first_seq) - 1) // {rows_per_page})::INT"
+    return f"""with {POSTS_SQL}, seen as (select author, subreddit, min(seq) first_seq from named group by all),
+    mine as (select f.*, first_seq, string_agg(post, '|' order by rn) posts from full_subs f join seen using (author, subreddit)
+      join ranked r using (author, subreddit) where rn <= 5 and author in (select author from chosen) group by all)
+    select author user_id, part, string_agg(subreddit || '=' || posts, ',' order by first_seq) history
+    from (select *, {page} part from mine) group by all"""
+
+
+def _community_users(spark, sf, **pages):
+    nested = C.community_users(C.community_posts(posts(spark, sf)), **pages)
+    entry = lambda h: F.concat(h["subreddit"], F.lit("="), F.concat_ws("|", h["posts"]))
+    return nested.select("user_id", "part", F.concat_ws(",", F.transform("history", entry)).alias("history"))
+
+
 @query(
     "community_users",
-    f"""with {POSTS_SQL} select f.author user_id, string_agg(f.subreddit, ',' order by f.subreddit) subreddits
-    from full_subs f semi join chosen c on c.author = f.author group by f.author""",
+    _community_users_sql(),
 )
 def community_users(spark, sf):
-    nested = C.community_users(C.community_posts(posts(spark, sf)))
-    return nested.select("user_id", F.concat_ws(",", "subreddits").alias("subreddits"))
+    return _community_users(spark, sf)
+
+
+@query("community_users_paged", _community_users_sql(2))
+def community_users_paged(spark, sf):
+    return _community_users(spark, sf, max_rows=2)
 
 
 @query(
@@ -113,16 +131,17 @@ def item_key(c):
 def session_rows(spark, sf):
     """Sessions from orders: the items as text, sorted by line, some ids unknown, some too short."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    quoted = lambda x: F.concat(F.lit("'"), item_key(x["l_partkey"]), F.lit("'"))
+    shown = lambda x: F.when(x["l_suppkey"] % 4 == 0, x["l_partkey"] + 500_000_000).otherwise(x["l_partkey"])
+    quoted = lambda x: F.concat(F.lit("'"), item_key(shown(x)), F.lit("'"))
     items = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("a"))
     text = F.concat(F.lit("["), F.concat_ws(" ", F.transform("a", quoted)), F.lit(" 'B12']"))
     return items.select(F.col("l_orderkey").alias("session_id"), text.alias("prev_items"))
 
 
 def session_products(spark, sf):
-    """Products from parts; every fourth id is absent, every third is there twice."""
+    """Products from parts; every third is there twice."""
     key = F.col("p_partkey")
-    rows = table(spark, sf, "part").filter(key % 4 != 0)
+    rows = table(spark, sf, "part")
 
     def version(df, n):
         return df.select(
@@ -139,7 +158,8 @@ def session_products(spark, sf):
 
 SESSIONS_SQL = """
 lines as (
-  select l_orderkey session_id, l_partkey,
+  select l_orderkey session_id, l_partkey, l_suppkey % 4 = 0 as unknown,
+         l_partkey + case when l_suppkey % 4 = 0 then 500000000 else 0 end shown,
          row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 pos
   from lineitem
 ), found as (
@@ -147,13 +167,13 @@ lines as (
          p_name || case when l_partkey % 3 = 0 then ' v1' else ' v0' end title,
          case when l_partkey % 5 <> 0 then p_brand end brand, p_retailprice price,
          case when l_partkey % 2 = 0 then 'UK' when l_partkey % 7 = 0 then 'GB' else 'DE' end locale
-  from lines join part on p_partkey = l_partkey where l_partkey % 4 <> 0
+  from lines join part on p_partkey = l_partkey where not unknown
 )"""
 
 
 @query(
     "parse_items",
-    f"with {SESSIONS_SQL} select session_id, string_agg('B' || lpad(l_partkey::VARCHAR, 9, '0'), ',' order by pos) items from lines group by session_id",
+    f"with {SESSIONS_SQL} select session_id, string_agg('B' || lpad(shown::VARCHAR, 9, '0'), ',' order by pos) items from lines group by session_id",
 )
 def parse_items(spark, sf):
     rows = session_rows(spark, sf)
@@ -191,10 +211,10 @@ def available_columns(spark, sf):
 
 @query(
     "numbered_sessions",
-    "select row_number() over (order by o_orderkey) - 1 session_id, o_orderstatus from orders where o_orderkey % 3 = 0",
+    "select row_number() over (order by o_orderkey) - 1 session_id, o_orderstatus from orders",
 )
 def numbered_sessions(spark, sf):
-    rows = table(spark, sf, "orders").filter("o_orderkey % 3 = 0")
+    rows = table(spark, sf, "orders")
     return Z.numbered_sessions(rows.select(F.col("o_orderkey").alias("seq"), "o_orderstatus"))
 
 
@@ -220,12 +240,15 @@ def semi_needed_items(spark, sf):
 
 @query(
     "left_enrich_product",
-    """select l_orderkey, l_linenumber, l_partkey, l_extendedprice, p_name title, p_brand brand
-    from lineitem left join (select * from part where p_partkey % 3 <> 0) on p_partkey = l_partkey""",
+    """with l as (select *, case when l_linenumber = 3 then -l_partkey else l_partkey end item from lineitem)
+    select l_orderkey, l_linenumber, item l_partkey, l_extendedprice, p_name title, p_brand brand
+    from l left join part on p_partkey = item""",
 )
 def left_enrich_product(spark, sf):
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    products = table(spark, sf, "part").filter("p_partkey % 3 <> 0").select(
+    """Third lines name an item that no product has."""
+    item = F.when(F.col("l_linenumber") == 3, -F.col("l_partkey")).otherwise(F.col("l_partkey"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", item.alias("l_partkey"), "l_extendedprice")
+    products = table(spark, sf, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.struct(F.col("p_name").alias("title"), F.col("p_brand").alias("brand")).alias("product")
     )
     return L.with_product(lines, products, "l_partkey").select("*", "product.title", "product.brand").drop("product")
@@ -233,13 +256,14 @@ def left_enrich_product(spark, sf):
 
 @query(
     "inner_persona",
-    """select d.doc_id, left("text", 40) persona, quality from labels l join documents d on d.doc_id = l.doc_id
-    where d.doc_id % 4 <> 0""",
+    """select d.doc_id, case when d.doc_id % 4 = 1 then 'None' else "text" end persona, quality
+    from labels l join documents d on d.doc_id = l.doc_id where d.doc_id % 4 not in (0, 2) and "text" <> ''""",
 )
 def inner_persona(spark, sf):
-    personas = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("user_id"), F.when(F.col("doc_id") % 4 != 0, F.left("text", F.lit(40))).otherwise("").alias("persona")
-    )
+    """A quarter of the personas is empty, a quarter missing, and a quarter is the word None."""
+    kind = F.col("doc_id") % 4
+    persona = F.when(kind == 0, "").when(kind == 1, "None").when(kind == 3, F.col("text"))
+    personas = table(spark, sf, "documents").select(F.col("doc_id").alias("user_id"), persona.alias("persona"))
     users = table(spark, sf, "labels").select(F.col("doc_id").alias("user_id"), "quality")
     return L.with_persona(users, personas).withColumnRenamed("user_id", "doc_id")
 
@@ -321,7 +345,7 @@ def outcomes(spark, sf):
     error = F.when(key % 7 == 0, "Task Timed Out after 300 s").when(key % 11 == 0, "no module")
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("_item"), "text")
     runs = table(spark, sf, "events").withColumn("_item", key % 40)
-    return runs.join(F.broadcast(items), "_item").select(
+    return runs.join(items, "_item").select(
         F.concat(F.lit("t"), F.col("_item").cast("string")).alias("task_id"),
         answer.alias("system_answer"),
         F.col("value").alias("execution_time"),

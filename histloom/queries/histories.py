@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from histloom.functions.text import history_text, product_text
 from histloom.functions.times import epoch_millis
 from histloom.operators import ordering as O
-from histloom.operators.skew import first_per_group
+from histloom.operators.skew import first_per_group, lookup_join
 from histloom.plans.reviews import nested_histories, qualifying_reviews, review_histories
 from histloom.queries import sql as S
 from histloom.queries.registry import query, table
@@ -19,7 +19,7 @@ def orders_by_user(spark, sf):
     customer = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("category")
     )
-    return table(spark, sf, "orders").join(customer, "o_custkey")
+    return lookup_join(table(spark, sf, "orders"), customer, ["o_custkey"], "inner", spread_by=["o_orderkey"])
 
 
 def reviews(spark, sf):
@@ -288,11 +288,10 @@ def first_date_in_month(spark, sf):
 
 @query(
     "row_index",
-    "select o_orderkey, row_number() over (order by o_orderkey) - 1 row_index from orders where o_orderstatus = 'F'",
+    "select o_orderkey, row_number() over (order by o_orderkey) - 1 row_index from orders",
 )
 def row_index(spark, sf):
-    rows = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select("o_orderkey")
-    return O.row_index(rows, "o_orderkey", width=1000)
+    return O.row_index(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
 
 
 @query(

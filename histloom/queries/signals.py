@@ -49,7 +49,7 @@ def dated_users(spark, sf):
 
 
 def daily(spark, sf):
-    return P.daily_signals(P.news_of_days(news(spark, sf), news(spark, sf).select("day").distinct()))
+    return P.daily_signals(P.usable_news(news(spark, sf)))
 
 
 _K = r"regexp_extract(props, '(\d+)', 1)::INT"
@@ -137,8 +137,7 @@ def date_window_filter(spark, sf):
     f"with {NEWS_SQL} select day, count(*) n from news where contains(loc, '#US#') and gcam is not null group by day",
 )
 def contains_filter(spark, sf):
-    rows = news(spark, sf)
-    return P.news_of_days(rows, rows.select("day").distinct()).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    return P.usable_news(news(spark, sf)).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("daily_signal_avg", f"with {NEWS_SQL} {_rounded(K.SIGNAL_CODES, 'daily', 'day')}")
@@ -178,7 +177,7 @@ select user_id, m.* from users join ({_rounded(K.SIGNAL_CODES, 'means', 'date')}
 def window7_mean_of_means(spark, sf):
     users = dated_users(spark, sf)
     means = P.mean_of_daily_means(users, daily(spark, sf))
-    return users.join(F.broadcast(means), "date").select(
+    return users.join(means, "date").select(
         "user_id", "date", *[F.round(s, 6).alias(s) for s in P.SIGNALS]
     )
 
@@ -362,7 +361,7 @@ select u.user_id, case when t.trait is null then 0.5 when m.score >= 4.5 then 1.
 from users u left join tops t on t.date = u.date left join measured m on m.user_id = u.user_id and m.trait = t.trait""",
 )
 def alignment_grades(spark, sf):
-    targets = dated_users(spark, sf).join(F.broadcast(vectors(spark, sf)), "date", "left")
+    targets = dated_users(spark, sf).join(vectors(spark, sf), "date", "left")
     measured = answers(spark, sf).select("user_id", V.trait_scores(F.col("answers")).alias("scores"))
     rows = targets.join(measured, "user_id")
     return rows.select("user_id", V.alignment_grade(F.col("vector"), F.col("scores")).alias("grade"))

@@ -114,7 +114,7 @@ def thought_history_paged(spark, sf):
 def _backwards(text: str) -> str:
     if len(text) % 7 == 0:
         raise ValueError("bad length")
-    return text[:20][::-1]
+    return text[::-1]
 
 
 def conversation_rows(spark, sf):
@@ -127,15 +127,26 @@ def conversation_rows(spark, sf):
 
 
 _ROWS = """rows_ as (select conv_id || '-' || turn as key, conv_id, case when turn = 5 then ' ' else "text" end t from conversations),
-results as (select key, case when conv_id % 4 = 0 then 'kept' when trim(t) = '' or length(t) % 7 = 0 then '' else reverse(left(t, 20)) end as value,
+results as (select key, case when conv_id % 4 = 0 then 'kept' when trim(t) = '' or length(t) % 7 = 0 then '' else reverse(t) end as value,
   case when conv_id % 4 = 0 then 'skipped' when trim(t) = '' or length(t) % 7 = 0 then 'error' else 'success' end status,
   case when conv_id % 4 = 0 then null when trim(t) = '' then 'empty input' when length(t) % 7 = 0 then 'bad length' end error from rows_)"""
 
 
-@query("enrich_rows", f"with {_ROWS} select key, status, error, length(value) size from results")
+def _flaky(text: str, tried: set[str] = set()) -> str:
+    """Fails with a passing error on the first try of every third text."""
+    if len(text) % 3 == 0 and text not in tried:
+        tried.add(text)
+        raise TimeoutError("429 rate limit")
+    tried.discard(text)
+    return _backwards(text)
+
+
+@query("enrich_rows", f"with {_ROWS} select key, status, error, value from results")
 def enrich_rows(spark, sf):
-    rows = E.enrich_or_keep(conversation_rows(spark, sf), "key", "text", "old", E.with_retry(_backwards), threads=4)
-    return rows.select("key", "status", "error", F.length("value").cast("long").alias("size"))
+    call = E.with_retry(_flaky, retries=4, delay=0.0)
+    return E.enrich_or_keep(conversation_rows(spark, sf), "key", "text", "old", call, threads=4).select(
+        "key", "status", "error", "value"
+    )
 
 
 @query("status_tally", f"with {_ROWS} select status, count(*) n from results group by status")
@@ -145,10 +156,14 @@ def status_tally(spark, sf):
 
 
 def _describe(text: str) -> str:
-    return f'I guess {{"age": "{len(text)}", "gender": "unknown"}}' if len(text) % 2 else "no idea"
+    if len(text) % 4 == 0:
+        return "{}"
+    return f'I guess {{"age": "{text[:40]} {len(text)}", "gender": "unknown"}}' if len(text) % 2 else "no idea"
 
 
 def _rate(text: str) -> str:
+    if len(text) % 5 == 0:
+        return "sure: {}"
     return f'{{"POWER": {len(text)}}}' if len(text) % 3 else "none"
 
 
@@ -156,14 +171,15 @@ def _rate(text: str) -> str:
     "two_pass_enrich",
     f"""with {groups.POSTS_SQL}, good as (select r.author, r.subreddit, rn, post from ranked r
       join full_subs f on f.author = r.author and f.subreddit = r.subreddit where rn <= 5 and r.author in (select author from chosen)),
-    people as (select author, length(left(string_agg(post, ' '), 4000)) n from good group by author),
+    seen as (select author, subreddit, min(seq) first_seq from named group by all),
+    people as (select author, left(string_agg(post, ' ' order by first_seq, rn), 4000) t, length(t) n from good join seen using (author, subreddit) group by author),
     places as (select author, subreddit, length(left(string_agg(post, ' '), 2000)) n from good group by all)
-    select p.author user_id, p.subreddit, case when u.n % 2 = 1 then u.n::VARCHAR else 'unknown' end age, p.n::DOUBLE power
-    from places p join people u on u.author = p.author where p.n % 3 <> 0""",
+    select p.author user_id, p.subreddit, case when u.n % 2 = 1 then left(u.t, 40) || ' ' || u.n::VARCHAR else 'unknown' end age, p.n::DOUBLE power
+    from places p join people u on u.author = p.author where p.n % 3 <> 0 and p.n % 5 <> 0""",
 )
 def two_pass_enrich(spark, sf):
     posts = community_posts(groups.posts(spark, sf)).select(
-        F.col("author").alias("user_id"), "subreddit", F.posexplode("posts").alias("pos", "post")
+        F.col("author").alias("user_id"), "subreddit", "first_seq", F.posexplode("posts").alias("pos", "post")
     )
     rows = E.two_pass(written(posts, "posts"), _describe, _rate, K.CORPUS_CHARS, K.COMMUNITY_CORPUS_CHARS)
     return rows.select(
@@ -273,12 +289,12 @@ def sink_csv(spark, sf):
 
 @query(
     "scan_row_range",
-    """select c_custkey, c_name, row_index from (select *, row_number() over (order by c_custkey) - 1 row_index from customer
-      where c_custkey % 2 = 0) where row_index >= 100""",
+    """select c_custkey, c_name, row_index from (select *, row_number() over (order by c_custkey) - 1 row_index from customer)
+    where row_index >= 100""",
 )
 def scan_row_range(spark, sf):
     path = scratch_path(spark, "rows.csv")
-    O.write_csv(table(spark, sf, "customer").filter("c_custkey % 2 = 0").select("c_custkey", "c_name"), path)
+    O.write_csv(table(spark, sf, "customer").select("c_custkey", "c_name"), path)
     return row_range(I.read_csv(spark, path, "c_custkey long, c_name string"), "c_custkey", 100, -1)
 
 
@@ -300,8 +316,9 @@ def scan_tasks(spark, sf):
         key.cast("string").alias("Final answer"), (key % 3 + 1).alias("Level"),
         F.when(key % 5 == 0, "x.pdf").otherwise("").alias("file_name"),
     )
-    rows = table(spark, sf, "benchmark").select(F.explode(F.array(F.lit("// task"), F.to_json(record))).alias("value"))
-    rows.write.text(path)
+    junk = ["// task", "", "   ", "[1]", "123", '"text"', "null", "{oops", "{} {}"]
+    lines = F.array(*[F.lit(x) for x in junk], F.to_json(record))
+    table(spark, sf, "benchmark").select(F.explode(lines).alias("value")).write.text(path)
     return I.read_tasks(spark, path, skip_attachments=True).drop("line_number")
 
 

@@ -241,8 +241,8 @@ def url_policy_table(spark, sf):
     partly = table(spark, sf, "nation").select(
         F.concat(F.lit("n_"), n.cast("string"), F.lit("/")).alias("url"), F.lit("blocked").alias("status"), (n + 1_000_000).cast("long").alias("ord")
     )
-    staged = pages.withColumn("rules", W.rules_of_table(exact.unionByName(partly)))
-    return staged.select("page_id", W.url_allowed(F.col("url"), F.col("rules")).alias("allowed"))
+    rules = exact.unionByName(partly)
+    return W.allowed_by_table(pages.select("page_id", "url"), "url", "page_id", rules).select("page_id", "allowed")
 
 
 def elements(spark, sf):

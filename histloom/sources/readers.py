@@ -164,7 +164,8 @@ def read_days(spark: SparkSession, path: str, first: str, last: str) -> DataFram
 def read_tasks(spark: SparkSession, path: str, skip_attachments: bool = False) -> DataFrame:
     """Benchmark tasks from Parquet or JSON lines, as one schema.
 
-    A task without id is named after its row or line.
+    A task without id is named after its row or line. Blank lines, comments and lines that are
+    not one JSON object are no tasks; `read_bad_tasks` gives the last kind.
     """
     blank = F.lit("")
     if path.lower().rstrip("/").endswith(".parquet"):
@@ -185,8 +186,7 @@ def read_tasks(spark: SparkSession, path: str, skip_attachments: bool = False) -
             "file_name",
         )
     else:
-        lines = numbered_lines(spark, path).withColumn("value", strip(F.col("value")))
-        good = lines.filter(~F.startswith("value", F.lit("//")) & valid_json(F.col("value")))
+        good = _task_lines(spark, path).filter("good")
         m = F.col("_m")
 
         def field(name: str, default):
@@ -207,6 +207,19 @@ def read_tasks(spark: SparkSession, path: str, skip_attachments: bool = False) -
     return kept.drop("file_path", "file_name")
 
 
+def _task_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a task file that are not blank or comments; `good` if they hold one object."""
+    lines = numbered_lines(spark, path).withColumn("value", strip(F.col("value")))
+    told = lines.filter((F.col("value") != "") & ~F.startswith("value", F.lit("//")))
+    bounds = F.startswith("value", F.lit("{")) & F.endswith("value", F.lit("}"))
+    return told.withColumn("good", bounds & valid_json(F.col("value")))
+
+
+def read_bad_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """line_number and value of the lines of a task file that hold no task."""
+    return _task_lines(spark, path).filter("not good").select("line_number", "value")
+
+
 def read_cache(spark: SparkSession, path: str, schema: Schema = CACHE) -> DataFrame:
     """A cache table; an empty one if it is not there yet."""
     try:

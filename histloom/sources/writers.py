@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_KEYED = 100_000
-
 
 def write_split_json(records: DataFrame, path: str, append: bool = False) -> None:
     """JSON lines per split and category. Without `append` a rerun replaces just the
@@ -30,17 +28,6 @@ def keyed_json(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.to_json(entry, {"ignoreNullFields": "false"}).alias("value"))
 
 
-def keyed_object(rows: DataFrame, key: str) -> DataFrame:
-    """All rows as a single object `{key: {fields}, ...}`, for small results only: more than
-    MAX_KEYED rows are an error, and no more than that are ever collected."""
-    fields = F.struct(*[c for c in rows.columns if c != key])
-    entry = F.struct(F.col(key).cast("string").alias("key"), fields.alias("value"))
-    found = rows.limit(MAX_KEYED + 1).agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    checked = F.when(F.size("e") > MAX_KEYED, F.raise_error(F.lit("too many rows for one object")))
-    text = F.to_json(F.map_from_entries("e"), {"ignoreNullFields": "false"})
-    return found.select(F.coalesce(checked.cast("string"), text).alias("value"))
-
-
 def write_keyed_json(rows: DataFrame, key: str, path: str) -> None:
     keyed_json(rows, key).write.mode("overwrite").text(path)
 

@@ -81,7 +81,7 @@ def test_nest_pages_are_dense_and_in_order(spark):
 
 def test_row_index_over_many_stretches(spark):
     df = spark.range(0, 5000).filter("id % 3 <> 1").withColumn("id", F.col("id") * 7)
-    got = {r.id: r.row_index for r in O.row_index(df, "id", width=100).collect()}
+    got = {r.id: r.row_index for r in O.row_index(df, "id", parts=50).collect()}
     assert got == {x: n for n, x in enumerate(sorted(got))}
 
 

@@ -147,30 +147,31 @@ def _cuts(rows: DataFrame, planned: DataFrame, seed: str) -> DataFrame:
 def realise(docs: DataFrame, plan: DataFrame, id_col: str, source_col: str, seed: str = "mix") -> DataFrame:
     """`docs` with `_epoch` and `_place`, a row for each pass that takes it. Sorted by `_place`,
     the passes of all sources are spread evenly over the mix."""
-    keyed = docs.withColumn("_source", source_key(F.col(f"`{source_col}`")))
-    joined = keyed.join(plan.select("_source", "passes", "cut"), "_source")
-    doc_id = F.col(f"`{id_col}`")
-    more = place(doc_id, F.col("passes"), seed) <= F.col("cut")
-    count = F.col("passes") + more.cast("int")
-    epochs = F.transform(F.sequence(F.lit(1), count), lambda i: i - 1)
-    taken = joined.filter(count > 0).withColumn("_epoch", F.explode(epochs))
-    return taken.withColumn("_place", place(doc_id, F.col("_epoch"), seed)).drop("_source", "passes", "cut")
+    plan = plan.select(F.col("_source").alias("_mix_source"), F.col("passes").alias("_mix_passes"), F.col("cut").alias("_mix_cut"))
+    joined = docs.withColumn("_mix_source", source_key(F.col(f"`{source_col}`"))).join(plan, "_mix_source")
+    doc_id, passes = F.col(f"`{id_col}`"), F.col("_mix_passes")
+    more = place(doc_id, passes, seed) <= F.col("_mix_cut")
+    times = F.array_repeat(F.lit(0), passes + more.cast("int"))
+    taken = joined.select("*", F.posexplode_outer(times).alias("_epoch", "_mix_zero")).filter("_epoch is not null")
+    taken = taken.withColumn("_place", place(doc_id, F.col("_epoch"), seed))
+    return taken.drop("_mix_source", "_mix_passes", "_mix_cut", "_mix_zero")
 
 
 def mix(
     docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None,
     budget: int | None = None, id_col: str = "doc_id", source_col: str = "source",
-    text_col: str = "text", seed: str = "mix",
+    text_col: str = "text", tokens_col: str | None = None, seed: str = "mix",
 ) -> DataFrame:
     """The rows of `docs` that the mix takes, all columns, with `_epoch` and `_place`.
 
-    Null texts have no tokens and cost nothing. Rows without a source are one source. Rows with
+    Tokens are the words of `text_col`, or what `tokens_col` says. Null texts have no tokens and cost nothing. Rows without a source are one source. Rows with
     the same id stand at the same place. An empty table gives no rows.
     """
+    tokens = token_count(F.col(f"`{text_col}`")) if tokens_col is None else F.col(f"`{tokens_col}`").cast("long")
     rows = written(
         docs.select(
             F.col(f"`{id_col}`").alias("_id"), source_key(F.col(f"`{source_col}`")).alias("_source"),
-            token_count(F.col(f"`{text_col}`")).alias("n_tokens"),
+            tokens.alias("n_tokens"),
         ),
         "mix-rows",
     )

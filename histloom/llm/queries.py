@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from histloom.llm import arc_warc, chat_tree, chosen_path, mixing, near_vectors, pii, piece_codec, sql, toxicity, url_trust
 from histloom.llm.exact_dedup import exact_classes
+from histloom.session import written
 
 #: The vocabulary that the tokenizing query and the pipeline use.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -84,11 +85,9 @@ def op8_arc_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_mixing", sql.mixing(MAX_REPEATS, "mix"))
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    taken = mixing.mix(docs, max_repeats=MAX_REPEATS)
-    return taken.select(
-        "doc_id", "source", F.col("_epoch").alias("epoch"),
-        mixing.token_count(F.col("text")).alias("n_tokens"), F.col("_place").alias("place"),
-    )
+    counted = docs.select("doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens"))
+    taken = mixing.mix(written(counted, "counted"), max_repeats=MAX_REPEATS, tokens_col="n_tokens")
+    return taken.select("doc_id", "source", F.col("_epoch").alias("epoch"), "n_tokens", F.col("_place").alias("place"))
 
 
 @_query("op3_pii")

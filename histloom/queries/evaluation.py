@@ -15,8 +15,10 @@ from histloom.queries.registry import query, table, texts
 
 
 def answers(spark, sf):
-    """Model answers on documents: traits that quote the document, fenced or bare, some broken."""
+    """Model answers on documents: traits that quote the document, fenced or bare, some broken.
+    The excerpts are the thirds of the document, the description is all of it."""
     text = F.col("text")
+    third = F.floor(F.length(text) / 3).cast("int")
 
     def quote(part, at):
         return F.struct(part.alias("quote"), F.lit(at).alias("source_index"))
@@ -25,16 +27,17 @@ def answers(spark, sf):
         return F.struct(F.lit(name).alias("trait"), F.lit(0.5).alias("confidence"), F.array(*quotes).alias("evidence_quotes"))
 
     def cut(a, n):
-        return F.substring(text, a, n)
+        a = F.lit(a) if isinstance(a, int) else F.greatest(a, F.lit(1))
+        return F.substring(text, a, F.lit(n) if isinstance(n, int) else n)
 
     body = F.to_json(
         F.struct(
             F.array(
-                trait("one", quote(cut(5, 20), 0), quote(cut(70, 30), 0)),
+                trait("one", quote(cut(third - 24, 20), 0), quote(cut(third - 10, 30), 0)),
                 trait("two", quote(cut(1, 8), 0), quote(F.lit(" Security "), -1)),
-                trait("three", quote(cut(125, 25), 2), quote(cut(125, 25), 9)),
+                trait("three", quote(cut(F.length(text) - 24, 25), 2), quote(cut(F.length(text) - 24, 25), 9)),
             ).alias("traits"),
-            cut(1, 15).alias("persona_description"),
+            text.alias("persona_description"),
         )
     )
     kind = F.col("doc_id") % 10
@@ -46,7 +49,7 @@ def answers(spark, sf):
     )
     return texts(spark, sf, "documents", "doc_id", "text").select(
         F.col("doc_id").alias("user_id"),
-        F.array(cut(1, 60), cut(61, 60), cut(121, 60)).alias("excerpts"),
+        F.array(cut(1, third), cut(third + 1, third), cut(third * 2 + 1, F.length(text))).alias("excerpts"),
         raw.alias("raw"),
     )
 
@@ -58,9 +61,10 @@ def _norm(x):
 def _grounding_sql(with_names):
     named = "1" if with_names else "0"
     return f"""
-ex as (select doc_id, {_norm('substr("text", 1, 60)')} e0, {_norm('substr("text", 121, 60)')} e2,
-  {_norm('substr("text", 5, 20)')} q1, {_norm('substr("text", 70, 30)')} q2, {_norm('substr("text", 1, 8)')} q3,
-  {_norm('substr("text", 125, 25)')} q5 from documents),
+cuts as (select doc_id, "text", length("text") n, length("text") // 3 k from documents),
+ex as (select doc_id, {_norm('substr("text", 1, k)')} e0, {_norm('substr("text", 2 * k + 1)')} e2,
+  {_norm('substr("text", greatest(k - 24, 1), 20)')} q1, {_norm('substr("text", greatest(k - 10, 1), 30)')} q2,
+  {_norm('substr("text", greatest(n - 24, 1), 25)')} q5 from cuts),
 flags as (select doc_id, length(q1) >= 12 c1, length(q2) >= 12 c2, length(q5) >= 12 c5,
   length(q1) >= 12 and contains(e0, q1) v1, length(q2) >= 12 and contains(e0, q2) v2,
   length(q5) >= 12 and contains(e2, q5) v5 from ex),
@@ -84,7 +88,7 @@ def grounding_score_values(spark, sf):
 
 @query(
     "parse_traits",
-    """select doc_id user_id, (i - 1)::INT pos, ['one', 'two', 'three'][i] trait, left("text", 15) persona_description
+    """select doc_id user_id, (i - 1)::INT pos, ['one', 'two', 'three'][i] trait, "text" persona_description
     from documents, range(1, 4) t(i) where doc_id % 10 <> 0""",
 )
 def parse_traits(spark, sf):
@@ -101,7 +105,7 @@ def outputs(spark, sf):
 
 
 _EVAL = f"""{_grounding_sql(False)}, evals as (
-  select user_id, left("text", 15) t, case when user_id % 8 = 3 then 0.0 else grounding end::DOUBLE grounding,
+  select user_id, "text" t, case when user_id % 8 = 3 then 0.0 else grounding end::DOUBLE grounding,
          case when user_id % 8 = 3 then 0.0 else 0.5 * grounding + 0.5 * (user_id % 5) / 4 end::DOUBLE score
   from scores join documents on doc_id = user_id)"""
 
@@ -136,7 +140,8 @@ def verdicts(spark, sf):
         return F.when(key % (i + 2) == 0, "yes").otherwise("No")
 
     short = F.concat_ws("\n", *[F.when(key % (i + 6) != 0, F.concat(F.lit(f"{i}: "), word(i))) for i in range(1, 5)])
-    long = F.concat_ws("\n", *[F.concat(F.lit(f"{i}. It is not clear. Verdict: "), word(i)) for i in range(1, 6)])
+    said = F.when(key % 4 == 0, F.lit(". Plain. Verdict: ")).otherwise(F.lit(". It is not clear. Verdict: "))
+    long = F.concat_ws("\n", *[F.concat(F.lit(str(i)), said, word(i)) for i in range(1, 6)])
     return table(spark, sf, "customer").select("c_custkey", short.alias("short"), long.alias("long"))
 
 
@@ -155,7 +160,8 @@ def verdict_score4(spark, sf):
 
 @query(
     "verdict_score5",
-    f"select c_custkey, (({_yes(2)} + {_yes(4)} + {_yes(5)} - {_yes(1)} - {_yes(3)} + 2) / 5)::DOUBLE score, 0.4::DOUBLE loose from customer",
+    f"""select c_custkey, score, case when c_custkey % 4 = 0 then score else 0.4 end::DOUBLE loose from (
+      select c_custkey, (({_yes(2)} + {_yes(4)} + {_yes(5)} - {_yes(1)} - {_yes(3)} + 2) / 5)::DOUBLE score from customer)""",
 )
 def verdict_score5(spark, sf):
     return verdicts(spark, sf).select(
@@ -165,13 +171,12 @@ def verdict_score5(spark, sf):
     )
 
 
-_TAGGED = """'pre <d> ' || left("text", 20) || '</d> mid <d>' || substr("text", 21, 20) || ' </d>'"""
-
-
 def tagged(spark, sf):
+    """Each half of a document in tags; every fourth document has none."""
     text = F.col("text")
+    half = F.floor(F.length(text) / 2).cast("int")
     both = F.concat(
-        F.lit("pre <d> "), F.left(text, F.lit(20)), F.lit("</d> mid <d>"), F.substring(text, 21, 20), F.lit(" </d>")
+        F.lit("pre <d> "), F.left(text, half), F.lit("</d> mid <d>"), F.substring(text, half + 1, F.length(text)), F.lit(" </d>")
     )
     return texts(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", F.when(F.col("doc_id") % 4 == 0, text).otherwise(both).alias("t")
@@ -180,7 +185,7 @@ def tagged(spark, sf):
 
 @query(
     "tag_first",
-    f"""select doc_id, {S.strip('case when doc_id % 4 = 0 then "text" else left("text", 20) end')} as value from documents""",
+    f"""select doc_id, {S.strip('case when doc_id % 4 = 0 then "text" else left("text", length("text") // 2) end')} as value from documents""",
 )
 def tag_first(spark, sf):
     return tagged(spark, sf).select("doc_id", first_tagged(F.col("t"), "d").alias("value"))
@@ -188,7 +193,7 @@ def tag_first(spark, sf):
 
 @query(
     "tag_last",
-    f"""select doc_id, {S.strip('case when doc_id % 4 = 0 then "text" else substr("text", 21, 20) end')} as value from documents""",
+    f"""select doc_id, {S.strip('case when doc_id % 4 = 0 then "text" else substr("text", length("text") // 2 + 1) end')} as value from documents""",
 )
 def tag_last(spark, sf):
     return tagged(spark, sf).select("doc_id", last_tagged(F.col("t"), "d").alias("value"))
@@ -222,12 +227,11 @@ def parse_list(spark, sf):
     "code_blocks",
     """select conv_id, turn, pos::INT pos, case pos when 0 then 'python' else '' end as language,
     case pos when 0 then "text" || chr(10) else 'ls -l' || chr(10) end code
-    from conversations, range(0, 2) t(pos) where role = 'assistant'""",
+    from conversations, range(0, 2) t(pos)""",
 )
 def code_blocks(spark, sf):
     text = F.concat(F.lit("Run ```python\n"), F.col("text"), F.lit("\n``` then\n```\nls -l\n``` ok"))
-    rows = table(spark, sf, "conversations").filter("role = 'assistant'")
-    return each(rows, M.code_blocks(text), ["conv_id", "turn"], item="b").select(
+    return each(table(spark, sf, "conversations"), M.code_blocks(text), ["conv_id", "turn"], item="b").select(
         "conv_id", "turn", "pos", "b.language", "b.code"
     )
 

@@ -211,10 +211,13 @@ def window7_vector(spark, sf):
 
 
 def cached(spark, sf):
-    """A cache that holds made-up vectors for the days around the start of the news."""
+    """A cache that holds made-up vectors for the days around the start of the news, and an older
+    version of each of them."""
     days = dated_users(spark, sf).select("date").distinct().filter("date < date'2024-01-04'")
     odd = {n: 0.05 for n in K.VALUE_NAMES} | {"POWER": 0.6}
-    return days.withColumn("vector", V.literal_map(odd))
+    old = V.literal_map({n: 0.9 for n in K.VALUE_NAMES})
+    versions = days.select("date", F.explode(F.array(F.lit(2), F.lit(1))).alias("version"))
+    return versions.withColumn("vector", F.when(F.col("version") == 2, V.literal_map(odd)).otherwise(old))
 
 
 _CASCADE = f"""

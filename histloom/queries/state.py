@@ -25,37 +25,38 @@ from histloom.sources import writers as O
 
 # --- knowledge -------------------------------------------------------------------------------
 def log(spark, sf):
-    """An update log from events; the event type picks the list, the number value and operation."""
+    """An update log from events, four to an update and all on one value; the event type picks the
+    list, the number the operation. Many updates remove and add the same entry."""
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
     return table(spark, sf, "events").select(
-        F.concat(F.lit("p"), (F.col("user_id") % 20).cast("string")).alias("product"),
-        F.col("event_id").alias("seq"),
-        F.lit(0).alias("pos"),
+        F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")).alias("product"),
+        F.floor(F.col("event_id") / 4).alias("seq"),
+        (F.col("event_id") % 4).cast("int").alias("pos"),
         F.when(k % 4 == 0, "remove").otherwise("add").alias("op"),
         F.when(F.col("event_type") == "click", "pros").when(F.col("event_type") == "view", "cons").otherwise("info").alias("list"),
-        F.concat(F.lit("v"), (F.col("event_id") % 50).cast("string")).alias("value"),
+        F.concat(F.lit("v"), (F.floor(F.col("event_id") / 4) % 12).cast("string")).alias("value"),
     )
 
 
 LOG_SQL = r"""
-log as (select 'p' || (user_id % 20) product, event_id seq, 0 pos,
+log as (select 'p' || (user_id % 5) product, event_id // 4 seq, (event_id % 4)::INT pos,
   case when regexp_extract(props, '(\d+)', 1)::INT % 4 = 0 then 'remove' else 'add' end op,
   case event_type when 'click' then 'pros' when 'view' then 'cons' else 'info' end as list,
-  'v' || (event_id % 50) as value from events),
+  'v' || (event_id // 4 % 12) as value from events),
 gone as (select product, list, value, max(seq) r from log where op = 'remove' group by all),
-merged as (select a.product, a.list, a.value, min(a.seq) seq, 0 pos from log a left join gone g
+merged as (select a.product, a.list, a.value, min(a.seq) seq, min(a.seq * 4 + a.pos)::BIGINT place_, (place_ % 4)::INT pos from log a left join gone g
   on g.product = a.product and g.list = a.list and g.value = a.value
-  where a.op = 'add' and (r is null or a.seq > r) group by all)"""
+  where a.op = 'add' and (r is null or a.seq >= r) group by a.product, a.list, a.value)"""
 
 
-@query("knowledge_merge", f"with {LOG_SQL} select * from merged")
+@query("knowledge_merge", f"with {LOG_SQL} select product, list, value, seq, pos from merged")
 def knowledge_merge(spark, sf):
     return G.merge(log(spark, sf))
 
 
 @query(
     "knowledge_lists",
-    f"with {LOG_SQL} select product, list, string_agg(value, ',' order by seq) as \"values\" from merged group by all",
+    f"with {LOG_SQL} select product, list, string_agg(value, ',' order by seq, pos) as \"values\" from merged group by product, list",
 )
 def knowledge_lists(spark, sf):
     lists = G.entry_lists(written(G.merge(log(spark, sf)), "entries"))
@@ -366,13 +367,20 @@ def sink_fanout(spark, sf):
     return spark.read.schema("o_orderkey long, status string, target string").json(path)
 
 
-@query("scan_cache", "select distinct ts::DATE as date, 0.11::DOUBLE power from events")
+@query(
+    "scan_cache",
+    """select distinct ts::DATE as date, case when day(ts) % 3 = 0 then day(ts) / 31 else 0.25 end::DOUBLE power from events""",
+)
 def scan_cache(spark, sf):
-    path = scratch_path(spark, "cache")
+    """A cache that is not there yet, filled, and filled again for every third day."""
+    old, new = scratch_path(spark, "cache"), scratch_path(spark, "cache")
     days = table(spark, sf, "events").select(F.to_date("ts").alias("date")).distinct()
-    fresh = days.withColumn("vector", V.flat_prior())
-    O.write_cache(upsert_cache(I.read_cache(spark, path), fresh), path)
-    return I.read_cache(spark, path).select("date", F.col("vector")["POWER"].alias("power"))
+    first = days.withColumn("vector", F.create_map(F.lit("POWER"), F.lit(0.25)))
+    O.write_cache(upsert_cache(I.read_cache(spark, old), first), old)
+    day = F.dayofmonth("date")
+    again = days.filter(day % 3 == 0).withColumn("vector", F.create_map(F.lit("POWER"), day / 31.0))
+    O.write_cache(upsert_cache(I.read_cache(spark, old), again), new)
+    return I.read_cache(spark, new).select("date", F.col("vector")["POWER"].alias("power"))
 
 
 @query("sink_split_json", "select c_custkey, c_nationkey category, case when c_custkey % 10 = 0 then 'val' else 'train' end split from customer")
@@ -402,8 +410,9 @@ def sink_keyed_json(spark, sf):
 @query(
     "sink_user_json",
     f"""with {ACTIONS_SQL}, ns as (select user_id, count(distinct session_id) n from ev group by user_id),
-    np as (select user_id, count(*) n from items where type = 'purchase' group by user_id)
-    select user_id::VARCHAR user_id, gold_persona persona, coalesce(ns.n, 0) num_sessions, coalesce(np.n, 0) num_purchases, coalesce(np.n, 0)::INT listed
+    np as (select user_id, count(*) n, string_agg(session_id || '|' || coalesce(nullif(asin, '0000000000'), '?') || '|' || title || '|' || price, ';' order by seq, pos) listed
+      from items where type = 'purchase' group by user_id)
+    select user_id::VARCHAR user_id, gold_persona persona, coalesce(ns.n, 0) num_sessions, coalesce(np.n, 0) num_purchases, coalesce(listed, '') listed
     from personas left join ns using (user_id) left join np using (user_id)""",
 )
 def sink_user_json(spark, sf):
@@ -416,4 +425,6 @@ def sink_user_json(spark, sf):
         "purchases array<struct<session_id:string,asin:string,title:string,price:string,options:string>>"
     )
     rows = I.read_jsonl(spark, path, schema)
-    return rows.select("user_id", "persona", "num_sessions", "num_purchases", F.size("purchases").alias("listed"))
+    shown = lambda p: F.concat_ws("|", p["session_id"], F.coalesce(p["asin"], F.lit("?")), p["title"], p["price"])
+    listed = F.concat_ws(";", F.transform("purchases", shown)).alias("listed")
+    return rows.select("user_id", "persona", "num_sessions", "num_purchases", listed)

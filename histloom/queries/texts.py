@@ -56,12 +56,16 @@ _WORDS = ["ould", "ing the", "sión", "eaux "]
 
 @query(
     "keyword_sentence_filter",
-    f"""with parts as (select doc_id, string_split(regexp_replace("text", '([.!?]){S.WS}+', '\\1' || chr(1), 'g'), chr(1)) p from documents),
-    kept as (select doc_id, list_filter(p, lambda s: {S.strip('s')} <> '' and not regexp_matches(lower(s), '{"|".join(_WORDS)}')) k from parts)
+    f"""with said as (select doc_id, "text" || case when doc_id % 3 = 0 then ' He likes it.' || chr(10) || 'They enjoy Browsing and a good Product''s rating. Fine.' else '' end as t from documents),
+    parts as (select doc_id, string_split(regexp_replace(t, '([.!?]){S.WS}+', '\\1' || chr(1), 'g'), chr(1)) p from said),
+    kept as (select doc_id, list_filter(p, lambda s: {S.strip('s')} <> '' and not regexp_matches(lower(s), '{"|".join([*K.NON_INFERABLE, *_WORDS]).replace("'", "''")}')) k from parts)
     select doc_id, case when len(k) > 0 then array_to_string(k, ' ') else 'none' end as text from kept""",
 )
 def keyword_sentence_filter(spark, sf):
-    return docs(spark, sf).select("doc_id", T.without_keyword_sentences(F.col("text"), _WORDS, "none").alias("text"))
+    """Every third document says something that purchases cannot show."""
+    more = F.when(F.col("doc_id") % 3 == 0, " He likes it.\nThey enjoy Browsing and a good Product's rating. Fine.").otherwise("")
+    told = F.concat("text", more)
+    return docs(spark, sf).select("doc_id", T.without_keyword_sentences(told, [*K.NON_INFERABLE, *_WORDS], "none").alias("text"))
 
 
 @query(

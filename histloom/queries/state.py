@@ -44,7 +44,7 @@ log as (select 'p' || (user_id % 5) product, event_id // 4 seq, (event_id % 4)::
   case event_type when 'click' then 'pros' when 'view' then 'cons' else 'info' end as list,
   'v' || (event_id // 4 % 12) as value from events),
 gone as (select product, list, value, max(seq) r from log where op = 'remove' group by all),
-merged as (select a.product, a.list, a.value, min(a.seq) seq, min(a.seq * 4 + a.pos)::BIGINT place_, (place_ % 4)::INT pos from log a left join gone g
+merged as (select a.product, a.list, a.value, min(a.seq) seq, (min(a.seq * 4 + a.pos) % 4)::INT pos from log a left join gone g
   on g.product = a.product and g.list = a.list and g.value = a.value
   where a.op = 'add' and (r is null or a.seq >= r) group by a.product, a.list, a.value)"""
 

@@ -36,13 +36,26 @@ class RatingModel:
         return sum(passed[1:], passed[0])
 
 
-def text_vectors(rows: DataFrame, text: str, into: str, size: int = 256) -> DataFrame:
-    """Texts as hashed word counts of length 1, for use where no embedding is at hand."""
+def text_vectors(rows: DataFrame, text: str, into: str, size: int = 256, unit: bool = True) -> DataFrame:
+    """Texts as hashed word counts, of length 1 unless `unit` is false, for use where no embedding
+    is at hand."""
     words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}_]+")
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=size)
-    unit = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0)
-    out = unit.transform(counts.transform(words.transform(rows)))
-    return out.withColumn(into, vector_to_array("_unit")).drop("_words", "_counts", "_unit")
+    counted = counts.transform(words.transform(rows))
+    if unit:
+        counted = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0).transform(counted)
+    return counted.withColumn(into, vector_to_array("_unit" if unit else "_counts")).drop("_words", "_counts", "_unit")
+
+
+def with_thresholds(rows: DataFrame, classes: int) -> DataFrame:
+    """Every row once per threshold `k` below the highest class, with `label`: whether y > k."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(classes - 2)))
+    return rows.select("*", k.alias("k")).withColumn("label", (F.col("y") > F.col("k")).cast("double"))
+
+
+def chosen_trial(trials: DataFrame) -> DataFrame:
+    """The trial with the lowest error, the first one on ties."""
+    return trials.orderBy("mae", "trial").limit(1)
 
 
 def fit(train: DataFrame, alpha: float, classes: int, rows: int, max_iter: int = 100) -> RatingModel:
@@ -54,15 +67,14 @@ def fit(train: DataFrame, alpha: float, classes: int, rows: int, max_iter: int =
     weights against that sum. Only the weights come to the driver.
     """
     steps = classes - 1
-    k = F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))
-    expanded = train.select("features", "y", k.alias("k"))
+    expanded = with_thresholds(train, classes)
     marker = F.transform(
         F.sequence(F.lit(0), F.lit(steps - 1)),
         lambda i: F.when(i == F.col("k"), THRESHOLD_SCALE).otherwise(0.0),
     )
     data = expanded.select(
         array_to_vector(F.concat("features", marker)).alias("features"),
-        (F.col("y") > F.col("k")).cast("double").alias("label"),
+        "label",
     )
     learner = LogisticRegression(
         regParam=alpha / (rows * steps), standardization=False, fitIntercept=False, maxIter=max_iter
@@ -87,7 +99,7 @@ def tune(
         DataFrame.unionByName,
         [scores(m, val).select(F.lit(n).alias("trial"), F.lit(m.alpha).alias("alpha"), "accuracy", "mae") for n, m in enumerate(models)],
     )
-    best = trials.orderBy("mae", "trial").first()["trial"]
+    best = chosen_trial(trials).first()["trial"]
     return models[best], trials.withColumn("chosen", F.col("trial") == best)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from histloom.functions.text import answers_match, first_nonempty
-from histloom.operators.skew import lookup_join
+from histloom.operators.skew import PAGE_ROWS, lookup_join, nest
 
 
 def without_attachments(tasks: DataFrame) -> DataFrame:
@@ -88,3 +88,29 @@ def result_line(df: DataFrame) -> DataFrame:
     )
     error = F.concat(F.lit("  Error: "), F.left("error", F.lit(100)), F.lit("..."))
     return df.select("*", F.concat_ws("\n", line, error).alias("line"))
+
+
+def report_lines(results: DataFrame, order: str) -> DataFrame:
+    """The text report: part 0 is the summary, part 1 the heading of the details, part 2 a line
+    per result in the order of `order`, which is unique. Sorted by (part, place), the lines are
+    the report."""
+    zero = F.lit(0).cast("long").alias("place")
+    top = summary_text(run_summary(results)).select(F.lit(0).alias("part"), zero, F.concat("text", F.lit("\n")).alias("line"))
+    heading = F.concat(F.lit("DETAILED RESULTS:\n"), F.repeat(F.lit("-"), 50))
+    head = results.sparkSession.range(1).select(F.lit(1).alias("part"), zero, heading.alias("line"))
+    lines = result_line(results).select(F.lit(2).alias("part"), F.col(order).cast("long").alias("place"), "line")
+    return top.unionByName(head).unionByName(lines)
+
+
+def summary_json(results: DataFrame, order: str, max_rows: int = PAGE_ROWS) -> DataFrame:
+    """The summary with its results as JSON documents, one for each page of `max_rows` results;
+    the totals are those of the whole run on every page. Rates are left to the reader."""
+    fields = [
+        "task_id", "question", "expected_answer", "system_answer", "execution_time", "success", "answer_match",
+        "error", "timed_out",
+    ]
+    pages = nest(results.withColumn("_run", F.lit(0)), ["_run"], [order], fields, "results", max_rows)
+    totals = run_summary(results).drop("accuracy", "success_rate")
+    whole = pages.drop("_run").crossJoin(F.broadcast(totals))  # totals are one row
+    document = F.struct(*totals.columns, "results")
+    return whole.select("part", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))

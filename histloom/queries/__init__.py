@@ -1,6 +1,15 @@
 """All registered queries."""
 
-from histloom.queries import evaluation, groups, histories, interactions, signals, state, texts  # noqa: F401
+from histloom.queries import (  # noqa: F401
+    evaluation,
+    groups,
+    histories,
+    interactions,
+    records,
+    signals,
+    state,
+    texts,
+)
 from histloom.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -201,24 +201,73 @@ def rating_rows(spark, sf):
     )
 
 
+CLASSES = 5
+RATING_SQL = """
+unit as (select vec_id, label // 2 y, list_transform(embedding, lambda x: x::DOUBLE) v from embeddings),
+feats as (select vec_id, y, list_transform(v, lambda x: abs(x) / sqrt(list_dot_product(v, v))) f from unit)"""
+#: Weights that are given, not learned: what the model makes of them can be checked.
+GIVEN = R.RatingModel(1.0, [((7 * i) % 5 - 2) / 4 for i in range(64)], [-0.2, -0.05, 0.05, 0.2])
+
+
+@query(
+    "ordinal_thresholds",
+    f"with {RATING_SQL} select vec_id, k::INT k, (y > k)::INT::DOUBLE as label from feats, range(0, {CLASSES - 1}) t(k)",
+)
+def ordinal_thresholds(spark, sf):
+    return R.with_thresholds(rating_rows(spark, sf), CLASSES).select("vec_id", "k", "label")
+
+
+_PREDICTED = f"""{RATING_SQL}, scored as (select vec_id, y, list_dot_product(f, {GIVEN.weights}::DOUBLE[]) s from feats),
+predicted as (select vec_id, y, ({' + '.join(f'(s > {t})::INT' for t in GIVEN.thresholds)})::INT p from scored)"""
+
+
+@query("ordinal_predict", f"with {_PREDICTED} select vec_id, p from predicted")
+def ordinal_predict(spark, sf):
+    return rating_rows(spark, sf).select("vec_id", GIVEN.predict(F.col("features")).alias("p"))
+
+
+@query(
+    "ordinal_scores",
+    f"with {_PREDICTED} select round(avg((y = p)::INT), 6)::DOUBLE accuracy, round(avg(abs(y - p)), 6)::DOUBLE mae from predicted",
+)
+def ordinal_scores(spark, sf):
+    found = R.scores(GIVEN, rating_rows(spark, sf))
+    return found.select(F.round("accuracy", 6).alias("accuracy"), F.round("mae", 6).alias("mae"))
+
+
+@query(
+    "ordinal_choice",
+    """select trial, mae from (select label trial, round(avg(vec_id % 4), 1)::DOUBLE mae from embeddings group by label)
+    order by mae, trial limit 1""",
+)
+def ordinal_choice(spark, sf):
+    errors = F.round(F.avg(F.col("vec_id") % 4), 1).alias("mae")
+    trials = table(spark, sf, "embeddings").groupBy(F.col("label").alias("trial")).agg(errors)
+    return R.chosen_trial(trials)
+
+
 @query("ordinal_model")
 def ordinal_model(spark, sf):
     rows = rating_rows(spark, sf)
     train, val, test = (rows.filter(F.col("split") == s) for s in ("train", "val", "test"))
     blank = val.withColumn("features", F.transform("features", lambda x: F.lit(0.0)))
-    return R.report(train, val, test, blank, 5)
+    return R.report(train, val, test, blank, CLASSES)
 
 
 @query(
     "text_vectors",
-    r"""select doc_id, round(sqrt(sum(n * n)) / sqrt(sum(n * n)), 6) size from (
-      select doc_id, w, count(*) n from (select doc_id, unnest(string_split_regex(lower("text"), '[^\p{L}\p{N}_]+')) w from documents)
-      where w <> '' group by all) group by doc_id""",
+    r"""with w as (select doc_id, unnest(string_split_regex(lower("text"), '[^\p{L}\p{N}_]+')) w from documents)
+    select doc_id, count(*)::DOUBLE words, 1.0::DOUBLE size from w where w <> '' group by doc_id""",
 )
 def text_vectors(spark, sf):
-    rows = R.text_vectors(texts(spark, sf, "documents", "doc_id", "text"), "text", "v")
+    """The words counted in each text, and the length of its unit vector."""
+    docs = texts(spark, sf, "documents", "doc_id", "text")
+    counted = R.text_vectors(docs, "text", "c", unit=False)
+    both = R.text_vectors(counted, "text", "v")
+    add = lambda a, x: a + x
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return rows.filter(length > 0).select("doc_id", F.round(length, 6).alias("size"))
+    found = both.select("doc_id", F.aggregate("c", F.lit(0.0), add).alias("words"), F.round(length, 6).alias("size"))
+    return found.filter("words > 0")
 
 
 # --- readers and writers ---------------------------------------------------------------------

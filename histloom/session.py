@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,7 +39,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         root = tempfile.mkdtemp(prefix="histloom-")
-        spark.conf.set("histloom.scratch", root)
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -46,3 +48,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_LOADED: dict[tuple[int, str], DataFrame] = {}
+
+
+def load_once(spark: SparkSession, name: str, load: Callable[[], DataFrame]) -> DataFrame:
+    """The table `name`, loaded and kept in the executors by the first call of this session."""
+    key = (id(spark), name)
+    if key not in _LOADED:
+        _LOADED[key] = load().persist(StorageLevel.MEMORY_AND_DISK)
+    return _LOADED[key]
+
+
+def clear_loaded(spark: SparkSession) -> int:
+    """Forget all tables that `load_once` keeps for this session; how many there were."""
+    mine = [key for key in _LOADED if key[0] == id(spark)]
+    for key in mine:
+        _LOADED.pop(key).unpersist()
+    return len(mine)

@@ -9,19 +9,32 @@ from histloom import constants as K
 from histloom.functions.nested import valid_json
 from histloom.functions.text import strip
 
-FENCED = r"(?s)```json\s*(.*?)\s*```"
-FENCED_BLOCK = r"(?s)```json\n(.*?)\n```"
-TRAITS_OBJECT = r'(?s)\{.*"traits".*"persona_description".*\}'
-GREEDY_OBJECT = r"(?s)\{.*\}"
-CODE_BLOCK = r"```(?:\s*([\w\+\-]+))?\n([\s\S]*?)```"
+FENCE, JSON_FENCE = "```", "```json"
+# The first line of a fenced block: a language, if there is one, and the line end.
+BLOCK_HEAD = f"^(?:[{K.SPACE}]*([A-Za-z0-9_+-]+))?\n"
 _ANSWER = (
     "struct<traits:array<struct<trait:string,confidence:double,"
     "evidence_quotes:array<struct<quote:string,source_index:variant>>>>,persona_description:string>"
 )
 
 
-def _found(c: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+def _between(c: Column, opening: str, closing: str) -> Column:
+    """The text after the first `opening`, up to the next `closing`; null without both."""
+    at = F.instr(c, opening)
+    rest = F.substring(c, at + len(opening), F.length(c))
+    end = F.instr(rest, closing)
+    return F.when((at > 0) & (end > 0), F.substring(rest, F.lit(1), end - 1))
+
+
+def _braced(c: Column) -> Column:
+    """From the first `{` to the last `}`; null without such."""
+    first, last = F.instr(c, "{"), F.length(c) - F.instr(F.reverse(c), "}") + 1
+    whole = (first > 0) & F.contains(c, F.lit("}")) & (first < last)
+    return F.when(whole, F.substring(c, first, last - first + 1))
+
+
+def _filled(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
 
 
 def with_traits(df: DataFrame, raw: str, traits: str = "traits", description: str = "persona_description") -> DataFrame:
@@ -31,7 +44,12 @@ def with_traits(df: DataFrame, raw: str, traits: str = "traits", description: st
     from the whole text; without valid JSON there are no traits and the description is ''.
     A source index that is not an integer becomes null.
     """
-    text = F.coalesce(_found(F.col(raw), FENCED, 1), _found(F.col(raw), TRAITS_OBJECT, 0), strip(F.col(raw)))
+    answer = F.col(raw)
+    braced = _braced(answer)
+    listed = F.instr(braced, '"traits"')
+    described = F.locate('"persona_description"', F.substring(braced, listed + 8, F.length(braced)))
+    both = F.when((listed > 0) & (described > 0), braced)
+    text = F.coalesce(_filled(strip(_between(answer, JSON_FENCE, FENCE))), both, strip(answer))
     staged = df.withColumn("_json", text)
     staged = staged.withColumn("_parsed", F.when(valid_json(F.col("_json")), F.from_json("_json", _ANSWER)))
 
@@ -60,13 +78,13 @@ def with_traits(df: DataFrame, raw: str, traits: str = "traits", description: st
 
 def json_in_text(c: Column) -> Column:
     """The object between the first `{` and the last `}` as map of texts; null if it is not valid."""
-    found = F.regexp_extract(c, GREEDY_OBJECT, 0)
+    found = _braced(c)
     return F.when(valid_json(found), F.from_json(found, "map<string,string>"))
 
 
 def list_in_text(c: Column, n: int) -> Column:
     """Up to `n` entries of a fenced JSON list; an empty list if there is none."""
-    found = F.regexp_extract(c, FENCED_BLOCK, 1)
+    found = _between(c, JSON_FENCE + "\n", "\n" + FENCE)
     listed = F.when(F.startswith(F.ltrim(found), F.lit("[")) & valid_json(found), F.from_json(found, "array<string>"))
     return F.slice(F.coalesce(listed, F.array().cast("array<string>")), 1, n)
 
@@ -101,7 +119,23 @@ def verdict_score5(c: Column, loose: bool = False) -> Column:
 
 
 def code_blocks(c: Column) -> Column:
-    """The fenced code blocks of a text as array of (language, code)."""
-    languages = F.regexp_extract_all(c, F.lit(CODE_BLOCK), F.lit(1))
-    codes = F.regexp_extract_all(c, F.lit(CODE_BLOCK), F.lit(2))
-    return F.zip_with(languages, codes, lambda a, b: F.struct(strip(a).alias("language"), b.alias("code")))
+    """The fenced code blocks of a text as array of (language, code).
+
+    The text is cut at the fences. A piece between two fences is a block if its first line is
+    empty or a language; then its closing fence is used up, and the piece after it is no block.
+    """
+    pieces = F.split(c, FENCE)
+    kind = "array<struct<language:string,code:string>>"
+    start = F.struct(F.array().cast(kind).alias("blocks"), F.lit(True).alias("open"))
+
+    def step(state: Column, i: Column) -> Column:
+        piece = F.get(pieces, i)
+        block = F.struct(
+            F.regexp_extract(piece, BLOCK_HEAD, 1).alias("language"), F.regexp_replace(piece, BLOCK_HEAD, "").alias("code")
+        )
+        is_block = state["open"] & F.rlike(piece, F.lit(BLOCK_HEAD))
+        blocks = F.when(is_block, F.concat(state["blocks"], F.array(block))).otherwise(state["blocks"])
+        return F.struct(blocks.alias("blocks"), (~is_block).alias("open"))
+
+    inner = F.when(F.size(pieces) > 2, F.sequence(F.lit(1), F.size(pieces) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(inner, start, step, lambda state: state["blocks"])

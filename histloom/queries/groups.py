@@ -9,6 +9,7 @@ from histloom.functions import vectors as V
 from histloom.functions.text import contains_reward, item_ids
 from histloom.operators import lookups as L
 from histloom.operators.ordering import stratified_sample
+from histloom.operators.skew import lookup_join
 from histloom.plans import communities as C
 from histloom.plans import runs as R
 from histloom.plans import sessions as Z
@@ -254,6 +255,18 @@ def left_enrich_product(spark, sf):
     return L.with_product(lines, products, "l_partkey").select("*", "product.title", "product.brand").drop("product")
 
 
+@query(
+    "spread_lookup",
+    """select event_id, user_id, event_type, c_name, c_mktsegment from events left join customer on c_custkey = user_id % 50""",
+)
+def spread_lookup(spark, sf):
+    """A lookup in which every key counts as hot, so all of them are spread over salts."""
+    key = F.col("user_id") % 50
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", key.alias("c_custkey"))
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return lookup_join(events, customers, ["c_custkey"], "left", spread_by=["event_id"], min_rows=5).drop("c_custkey")
+
+
 @query(
     "inner_persona",
     """select d.doc_id, case when d.doc_id % 4 = 1 then 'None' else "text" end persona, quality

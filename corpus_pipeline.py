@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histloom.llm import chosen_path, exact_dedup, mixing, piece_codec, toxicity
+from histloom.llm.names import free_name
 from histloom.session import written
 
 TOXIC_SCORE = 0.3
@@ -27,7 +28,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     not matter."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     weights = toxicity.fit(docs, labels)
-    return toxicity.with_score(docs, weights).filter(F.col("_score") < TOXIC_SCORE).drop("_score")
+    score = free_name(docs, "_score")
+    return toxicity.with_score(docs, weights, into=score).filter(F.col(score) < TOXIC_SCORE).drop(score)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at tempered weights: every row comes once, and rows of small sources up to
     MAX_REPEATS times."""
-    return mixing.mix(docs, max_repeats=MAX_REPEATS).drop("_epoch", "_place")
+    extra = [free_name(docs, name) for name in ("_epoch", "_place")]
+    return mixing.mix(docs, max_repeats=MAX_REPEATS, epoch_col=extra[0], place_col=extra[1]).drop(*extra)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from histloom.llm.names import free_name
 from histloom.session import written
 
 RUN_BITS = 12
@@ -109,8 +110,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = classes.filter("kept").groupBy("_drop_id", "_drop_sha").count().filter("count > 1")
     if again.isEmpty():
         return stay
-    key = F.struct(F.col(f"`{id_col}`"), digest)
-    twice = stay.join(again, same(again), "left_semi").withColumn("_key", key)
-    return stay.join(again, same(again), "left_anti").unionByName(
-        twice.dropDuplicates(["_key"]).drop("_key")
-    )
+    key = free_name(docs, "_key")
+    row = F.struct(F.col(f"`{id_col}`"), digest)
+    twice = stay.join(again, same(again), "left_semi").withColumn(key, row)
+    return stay.join(again, same(again), "left_anti").unionByName(twice.dropDuplicates([key]).drop(key))

@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from histloom.llm.names import free_name
 from histloom.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -144,25 +145,30 @@ def _cuts(rows: DataFrame, planned: DataFrame, seed: str) -> DataFrame:
     return last.select("_source", F.coalesce("last", "block").alias("cut"))
 
 
-def realise(docs: DataFrame, plan: DataFrame, id_col: str, source_col: str, seed: str = "mix") -> DataFrame:
-    """`docs` with `_epoch` and `_place`, a row for each pass that takes it. Sorted by `_place`,
-    the passes of all sources are spread evenly over the mix."""
-    plan = plan.select(F.col("_source").alias("_mix_source"), F.col("passes").alias("_mix_passes"), F.col("cut").alias("_mix_cut"))
-    joined = docs.withColumn("_mix_source", source_key(F.col(f"`{source_col}`"))).join(plan, "_mix_source")
-    doc_id, passes = F.col(f"`{id_col}`"), F.col("_mix_passes")
-    more = place(doc_id, passes, seed) <= F.col("_mix_cut")
+def realise(
+    docs: DataFrame, plan: DataFrame, id_col: str, source_col: str, seed: str = "mix",
+    epoch_col: str = "_epoch", place_col: str = "_place",
+) -> DataFrame:
+    """`docs` with its pass and place, a row for each pass that takes it. Sorted by place, the
+    passes of all sources are spread evenly over the mix."""
+    key, whole, end, zero = (free_name(docs, n) for n in ("_mix_source", "_mix_passes", "_mix_cut", "_mix_zero"))
+    plan = plan.select(F.col("_source").alias(key), F.col("passes").alias(whole), F.col("cut").alias(end))
+    joined = docs.withColumn(key, source_key(F.col(f"`{source_col}`"))).join(plan, key)
+    doc_id, passes = F.col(f"`{id_col}`"), F.col(whole)
+    more = place(doc_id, passes, seed) <= F.col(end)
     times = F.array_repeat(F.lit(0), passes + more.cast("int"))
-    taken = joined.select("*", F.posexplode_outer(times).alias("_epoch", "_mix_zero")).filter("_epoch is not null")
-    taken = taken.withColumn("_place", place(doc_id, F.col("_epoch"), seed))
-    return taken.drop("_mix_source", "_mix_passes", "_mix_cut", "_mix_zero")
+    taken = joined.select("*", F.posexplode_outer(times).alias(epoch_col, zero)).filter(F.col(epoch_col).isNotNull())
+    return taken.withColumn(place_col, place(doc_id, F.col(epoch_col), seed)).drop(key, whole, end, zero)
 
 
 def mix(
     docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None,
     budget: int | None = None, id_col: str = "doc_id", source_col: str = "source",
     text_col: str = "text", tokens_col: str | None = None, seed: str = "mix",
+    epoch_col: str = "_epoch", place_col: str = "_place",
 ) -> DataFrame:
-    """The rows of `docs` that the mix takes, all columns, with `_epoch` and `_place`.
+    """The rows of `docs` that the mix takes, all columns, with their pass and place (`epoch_col`
+    and `place_col`, new names).
 
     Tokens are the words of `text_col`, or what `tokens_col` says. Null texts have no tokens and cost nothing. Rows without a source are one source. Rows with
     the same id stand at the same place. An empty table gives no rows.
@@ -176,4 +182,4 @@ def mix(
         "mix-rows",
     )
     plan = written(source_plan(rows, target_entropy, max_repeats, budget, seed), "mix-plan")
-    return realise(docs, plan, id_col, source_col, seed)
+    return realise(docs, plan, id_col, source_col, seed, epoch_col, place_col)

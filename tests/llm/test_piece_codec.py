@@ -52,10 +52,10 @@ def test_empty_table(spark):
 
 def test_a_wrong_word_is_reported(spark, monkeypatch):
     own = piece_codec.PieceCodec(MODEL)
-    ids = own.encode("some words here")
+    ids = own.encode_bytes("some words here")
     assert own.check(["some words here"], [ids], whole=True) == [True] and not own.wrong
     own.pieces["▁wrongly"] = (-1.0, 5)
     own.pieces["wrongly"] = (0.0, 6)
     own.pieces.update({"wr": (0.0, 7), "wro": (0.0, 8)})
-    bad = own.encode("a wrongly cut")
-    assert own.check(["a wrongly cut", "some words"], [bad, []], whole=False) == [False, True]
+    bad = own.encode_bytes("a wrongly cut")
+    assert own.check(["a wrongly cut", "some words"], [bad, b""], whole=False) == [False, True]

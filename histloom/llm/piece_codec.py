@@ -16,7 +16,6 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +51,8 @@ class PieceCodec:
             elif not (lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i)):
                 self.pieces[piece] = (-lib.get_score(i), i)
         self.cut = self._cut()
-        self._seen: dict[str, tuple[int, ...]] = {}
-        self._new_words: dict[str, tuple[int, ...]] = {}
+        self._seen: dict[str, bytes] = {}  # ids as 32-bit numbers, which join and hold cheaply
+        self._new_words: dict[str, bytes] = {}
         self.wrong: set[str] = set()
 
     def _cut(self):
@@ -70,20 +69,28 @@ class PieceCodec:
         return self.cut.findall(shown) if self.cut else [shown]
 
     def encode(self, text: str) -> list[int]:
+        return _numbers(self.encode_bytes(text)).tolist()
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers."""
         words, seen = self.words(text), self._seen
         try:
-            return list(chain.from_iterable([seen[w] for w in words]))
+            return b"".join([seen[w] for w in words])
         except KeyError:
-            return list(chain.from_iterable([seen.get(w) or self._new(w) for w in words]))
+            return b"".join([seen.get(w) or self._new(w) for w in words])
 
-    def _new(self, word: str) -> tuple[int, ...]:
-        ids = self._new_words[word] = tuple(self.agenda(word))
+    def _new(self, word: str) -> bytes:
+        ids = self._new_words[word] = np.array(self.agenda(word), np.int32).tobytes()
         if len(word) <= CACHED_LENGTH:
             if len(self._seen) >= CACHED_WORDS:
                 self._seen.clear()
             self._seen[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Give back the memory of the words seen; Python workers live on after a task."""
+        self._seen, self._new_words = {}, {}
+
     def agenda(self, word: str) -> list[int]:
         """Merge the pair of the highest score, of equal ones the leftmost, until none is left."""
         pieces, symbols, n = self.pieces, list(word), len(word)
@@ -119,13 +126,14 @@ class PieceCodec:
             return [self.bytes[b] for b in symbol.encode("utf-8")]
         return [self.unknown]
 
-    def check(self, texts: list[str], ids: list[list[int]], whole: bool) -> list[bool]:
+    def check(self, texts: list[str], ids: list[bytes], whole: bool) -> list[bool]:
         """Whether the library agrees, for each text: on every word since the last call, and on
         the ids of the whole text if asked."""
         self._check_words()
         agrees = [True] * len(texts)
         if whole or self.cut is None:
-            agrees = [a == b for a, b in zip(self.library.encode(texts, num_threads=1), ids)]
+            found = self.library.encode(texts, num_threads=1)
+            agrees = [a == _numbers(b).tolist() for a, b in zip(found, ids)]
         if self.wrong:
             agrees = [ok and self.wrong.isdisjoint(self.words(t)) for ok, t in zip(agrees, texts)]
         return agrees
@@ -138,13 +146,17 @@ class PieceCodec:
             return
         end = self._ids("\n")
         text = "".join("\n" + w.replace(SPACE, " ") for w in words)
-        want = [*self.agenda(SPACE), *chain.from_iterable([*end, *ids] for ids in words.values())]
-        if self.library.encode(text) != want:
+        first, gap = (np.array(x, np.int32).tobytes() for x in (self.agenda(SPACE), end))
+        if self.library.encode(text) != _numbers(first + b"".join(gap + ids for ids in words.values())).tolist():
             one = lambda w: self.library.encode("\n" + w.replace(SPACE, " "))
-            self.wrong |= {w for w, ids in words.items() if one(w) != [*self.agenda(SPACE), *end, *ids]}
+            self.wrong |= {w for w, ids in words.items() if one(w) != _numbers(first + gap + ids).tolist()}
+
+    def decode(self, ids: bytes) -> str:
+        return self.library.decode(_numbers(ids).tolist()) if ids else ""
+
 
-    def decode(self, ids: list[int]) -> str:
-        return self.library.decode(ids) if ids else ""
+def _numbers(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, np.int32)
 
 
 @lru_cache(maxsize=4)
@@ -153,11 +165,10 @@ def codec(model_file: str) -> PieceCodec:
     return PieceCodec(model_file)
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
+def _lists(rows: list[bytes]) -> pa.Array:
     ends = np.zeros(len(rows) + 1, dtype=np.int32)
-    np.cumsum([len(r) for r in rows], out=ends[1:])
-    flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    np.cumsum([len(r) // 4 for r in rows], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(_numbers(b"".join(rows))))
 
 
 def encode_decode(
@@ -184,12 +195,13 @@ def encode_decode(
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
                 texts = part.column(1).to_pylist()
-                ids = [own.encode(t) for t in texts]
+                ids = [own.encode_bytes(t) for t in texts]
                 columns = [
                     part.column(0), _lists(ids), pa.array([own.decode(i) for i in ids], pa.string()),
                     pa.array(own.check(texts, ids, whole), pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids", "decoded", "agrees"])
+        own.forget()
 
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text")
     return docs.select(f"`{id_col}`", text).mapInArrow(run, schema)

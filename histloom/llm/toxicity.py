@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from histloom.llm import hashing
 
-FEATURE_BITS = 22
+FEATURE_BITS = 21
 BIAS = 1 << FEATURE_BITS
 #: Words between the two words of a pair: 0 is a bigram, the others are skip-grams.
 GAPS = (0, 1, 2)
@@ -70,7 +70,10 @@ class Ftrl:
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers and weights after `passes` over the rows; the bias is not penalised."""
-        common = np.bincount(np.concatenate(rows), minlength=BIAS) >= self.min_rows
+        seen = np.zeros(BIAS, np.int32)
+        for x in rows:
+            seen[x] += 1
+        common = seen >= self.min_rows
         rows = [x[common[x]] for x in rows]
         z, n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
         order = np.random.default_rng(seed)
@@ -138,7 +141,7 @@ def fit(
         for at in range(0, len(part), TEXTS_AT_ONCE):
             some = pa.array(part["_text"].iloc[at : at + TEXTS_AT_ONCE], pa.string())
             row, key = features(some)
-            found += [np.unique(key[row == i]) for i in range(len(some))]
+            found += [np.unique(key[row == i]).astype(np.int32) for i in range(len(some))]
         keys, weights = model.fit(found, part["_y"].to_numpy(float), seed=int(part["shard"].iloc[0]))
         return pd.DataFrame({"key": keys, "weight": weights})
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from histloom.llm import hashing
 from histloom.llm.graph import components
+from histloom.llm.memory import give_back
 from histloom.session import written
 
 SHINGLE_WORDS = 5
@@ -99,6 +100,7 @@ def sketches(texts: DataFrame, width: int) -> DataFrame:
                     ],
                     names=["_id", "n_shingles", "cls", "mins", "bits"],
                 )
+        give_back()
 
     return texts.mapInArrow(run, f"_id {kind}, n_shingles long, cls binary, mins array<long>, bits binary")
 
@@ -115,6 +117,7 @@ def full_sets(texts: DataFrame, width: int) -> DataFrame:
                     [pa.array([set_class(s) for s in sets], pa.binary()), _lists([_signed(s) for s in sets])],
                     names=["cls", "shingles"],
                 )
+        give_back()
 
     return texts.mapInArrow(run, "cls binary, shingles array<long>")
 
@@ -251,6 +254,7 @@ def likely_members(blocks: DataFrame) -> DataFrame:
                 yield _batch(out)
                 out = []
         yield _batch(out)
+        give_back()
 
     return blocks.mapInArrow(run, _ROW_SCHEMA)
 
@@ -304,6 +308,7 @@ def block_links(likely: DataFrame, sets: DataFrame, similarity: tuple[int, int])
                     b.append(rows[y][4])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        give_back()
 
     return filled.mapInArrow(run, "a binary, b binary")
 

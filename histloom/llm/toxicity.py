@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from histloom.llm import hashing
+from histloom.llm.memory import give_back
 
 FEATURE_BITS = 21
 BIAS = 1 << FEATURE_BITS
@@ -143,6 +144,8 @@ def fit(
             row, key = features(some)
             found += [np.unique(key[row == i]).astype(np.int32) for i in range(len(some))]
         keys, weights = model.fit(found, part["_y"].to_numpy(float), seed=int(part["shard"].iloc[0]))
+        del found
+        give_back()
         return pd.DataFrame({"key": keys, "weight": weights})
 
     learned = rows.withColumn("shard", shard).groupBy("shard").applyInPandas(train, "key long, weight double")
@@ -180,6 +183,8 @@ def with_score(
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(_sigmoid(total + bias))], names=[*names, into]
                 )
+        del table
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -13,6 +13,7 @@ everything twice.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from histloom.llm.memory import give_back
+
 SPACE = "▁"
 #: A word or a run of other signs, each with the spaces before it. Cuts depend on two characters.
 #: The square sign counts as another sign, since some vocabularies join it to a full stop.
@@ -32,6 +35,9 @@ WORDS = re.compile(rf"{SPACE}*[^\W\d_²{SPACE}]+|{SPACE}*(?:[\W\d_²](?<!{SPACE}
 SPACED = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
 CACHED_WORDS = 400_000
 CACHED_LENGTH = 48
+#: Words up to this length have their agenda in a list, longer ones in a heap.
+SHORT = 24
+NO_PIECE = (math.inf, -1)
 #: Texts are handed to the library in groups of this many, whatever the size of an Arrow batch.
 TEXTS_AT_ONCE = 128
 
@@ -92,7 +98,12 @@ class PieceCodec:
         self._seen, self._new_words = {}, {}
 
     def agenda(self, word: str) -> list[int]:
-        """Merge the pair of the highest score, of equal ones the leftmost, until none is left."""
+        """Merge the pair of the highest score, of equal ones the leftmost, until none is left.
+
+        The agenda of a short word is a plain list, one place for each pair of neighbours.
+        """
+        if len(word) <= SHORT:
+            return self._short_agenda(word)
         pieces, symbols, n = self.pieces, list(word), len(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pairs = []
@@ -114,6 +125,19 @@ class PieceCodec:
                 self._offer(pairs, symbols, prev, left)
         return [i for s in symbols if s for i in self._ids(s)]
 
+    def _short_agenda(self, word: str) -> list[int]:
+        get, symbols = self.pieces.get, list(word)
+        scores = [get(a + b, NO_PIECE)[0] for a, b in zip(symbols, symbols[1:])]
+        while scores and (best := min(scores)) != math.inf:
+            at = scores.index(best)
+            symbols[at] += symbols.pop(at + 1)
+            del scores[at]
+            if at < len(scores):
+                scores[at] = get(symbols[at] + symbols[at + 1], NO_PIECE)[0]
+            if at:
+                scores[at - 1] = get(symbols[at - 1] + symbols[at], NO_PIECE)[0]
+        return [i for s in symbols for i in self._ids(s)]
+
     def _offer(self, pairs, symbols, left: int, right: int) -> None:
         joined = symbols[left] + symbols[right]
         if (found := self.pieces.get(joined)) is not None:
@@ -202,6 +226,7 @@ def encode_decode(
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids", "decoded", "agrees"])
         own.forget()
+        give_back()
 
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text")
     return docs.select(f"`{id_col}`", text).mapInArrow(run, schema)

@@ -1,3 +1,4 @@
+import contextlib
 import hashlib
 
 import public_tokenizers
@@ -19,6 +20,26 @@ def test_encodes_as_the_library(text):
     assert piece_codec.codec(MODEL).encode(text) == LIBRARY.encode(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abteoinrsgl▁é,.", max_size=24))
+def test_both_agendas_agree(monkeypatch_short, word):
+    own = piece_codec.codec(MODEL)
+    short = own.agenda(word)
+    with monkeypatch_short():
+        assert own.agenda(word) == short
+
+
+@pytest.fixture(scope="module")
+def monkeypatch_short():
+    @contextlib.contextmanager
+    def without_lists():
+        old, piece_codec.SHORT = piece_codec.SHORT, 0
+        yield
+        piece_codec.SHORT = old
+
+    return without_lists
+
+
 def test_cut_is_the_fine_one():
     assert piece_codec.codec(MODEL).cut is piece_codec.WORDS
 

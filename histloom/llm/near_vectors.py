@@ -7,8 +7,9 @@ likely to be near, and keeps the best. A vector whose list is full of links has
 the next round. Rounds end when they find no new link; an audit of a bounded number of vectors
 against all others then measures the recall, and a new forest is added while it is too low.
 
-Lists only have to connect what belongs together: the links within a component are then counted
-exactly, in double precision, block against block, however many there are, without a row for
+Lists only have to connect what belongs together. Where both ends of a link have full lists, both
+can have cut it: such vectors of different components are compared exactly if the angle between
+the components allows a link. The links within a component are then counted exactly, in double precision, block against block, however many there are, without a row for
 each pair. Vectors that are equal are one class with a count.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histloom.llm.graph import components
+from histloom.operators.skew import lookup_join
 from histloom.session import written
 
 THRESHOLD = 0.9
@@ -30,7 +32,7 @@ TREES = 6
 PLANES = 32
 WINDOW = 48
 NEIGHBOURS = 6
-#: A list grows to this when it is full of links; beyond it, the exact count takes over.
+#: A list grows to this when it is full of links; links that it cuts are found by `joining_links`.
 MOST_NEIGHBOURS = 24
 ROUNDS = 5
 FORESTS = 3
@@ -281,6 +283,108 @@ def measured_recall(truth: DataFrame, labels: DataFrame) -> float:
     return found / n if n else 1.0
 
 
+def full_lists(lists: DataFrame, threshold: float) -> DataFrame:
+    """cls of the vectors with NEIGHBOURS or more links in their list: no other list, in any window
+    or round, can have cut a link."""
+    links = lists.filter(F.col("sim") >= threshold - SLACK).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    return links.filter(F.col("n") >= NEIGHBOURS).select(F.col("a").alias("cls"))
+
+
+def near_components(leaders: DataFrame, threshold: float) -> DataFrame:
+    """ra, rb (ra < rb): the components (root, unit of a leader, radius around it) that can hold a
+    link, since angles obey the triangle inequality; all against all, block against block."""
+    n_blocks = -(-leaders.count() // BLOCK_ROWS) or 1
+    block = F.pmod(F.xxhash64("root"), F.lit(n_blocks)).cast("int").alias("block")
+    rows = (
+        leaders.select("root", "radius", "unit", F.size("unit").alias("dim"), block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        .select("dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "radius", "unit")
+        .repartition("dim", "i", "j")
+        .sortWithinPartitions("dim", "i", "j", "block", "root")
+    )
+    widest = np.arccos(threshold) + 1e-6
+
+    def compare(key: tuple, held: list[tuple]) -> pa.RecordBatch:
+        block, root, radius = (np.array([h[c] for h in held], dtype=t) for c, t in ((0, int), (1, object), (2, float)))
+        unit = np.stack([h[3] for h in held])
+        mine, others = np.nonzero(block == key[1])[0], np.nonzero(block == key[2])[0]
+        angle = np.arccos(np.clip(unit[mine] @ unit[others].T, -1.0, 1.0))
+        x, y = np.nonzero(angle <= widest + radius[mine][:, None] + radius[others][None, :])
+        pairs = [sorted((root[mine[a]], root[others[b]])) for a, b in zip(x, y) if key[1] != key[2] or a < b]
+        return pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.binary()) for c in (0, 1)], names=["ra", "rb"])
+
+    return rows.mapInArrow(_by_key(3, compare), "ra binary, rb binary")
+
+
+def _by_key(n_keys: int, compare):
+    """An Arrow function over rows sorted by their first `n_keys` columns, the last column a vector:
+    one batch of `compare(key, rows)` for each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            *columns, ends = [c.to_pylist() for c in batch.columns[:-1]] + [batch.columns[-1].offsets.to_numpy()]
+            units = batch.columns[-1].values.to_numpy()
+            for x, row in enumerate(zip(*columns)):
+                if row[:n_keys] != last:
+                    if held:
+                        yield compare(last, held)
+                    last, held = row[:n_keys], []
+                held.append((*row[n_keys:], units[ends[x] : ends[x + 1]].copy()))
+        if held:
+            yield compare(last, held)
+
+    return run
+
+
+def joining_links(labels: DataFrame, full: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links between components that lists have cut, enough to join what belongs together.
+
+    A link is cut from both lists only if both ends have full ones (`full`). So the members with
+    full lists are compared, block against block and in double precision, for all components that
+    are near enough to hold a link. One link of each pair of blocks is returned.
+    """
+    lead = classes.select(F.col("cls").alias("root"), F.col("unit").alias("lead"))
+    dense = labels.withColumnRenamed("id", "cls").join(full, "cls", "left_semi").join(classes.select("cls", "unit"), "cls")
+    cosine = F.aggregate(F.zip_with("unit", "lead", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    angle = F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))
+    dense = written(lookup_join(dense, lead, ["root"], "inner", spread_by=["cls"]).withColumn("angle", angle), "dense")
+    leaders = dense.groupBy("root").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("size"))
+    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks")
+    leaders = written(leaders.join(lead, "root").select("root", "radius", F.col("lead").alias("unit"), blocks), "leaders")
+    near = near_components(leaders.select("root", "radius", "unit"), threshold)
+    a, b = (
+        leaders.select(F.col("root").alias(f"r{c}"), F.col("blocks").alias(f"n{c}"), F.col("radius").alias(f"d{c}"), F.col("unit").alias(f"u{c}"))
+        for c in "ab"
+    )
+    near = written(near.join(a, "ra").join(b, "rb"), "near-components")
+
+    def side(mine: str, other: str) -> DataFrame:
+        """The members of one of the two components that can have a link with the other one."""
+        towards = F.aggregate(F.zip_with("unit", f"u{other}", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+        close = towards >= F.cos(F.least(F.lit(np.arccos(threshold) + 1e-6) + F.col(f"d{other}"), F.lit(np.pi)))
+        at = F.pmod(F.xxhash64("cls"), F.col(f"n{mine}")).cast("int").alias(f"at_{mine}")
+        held = near.withColumnRenamed(f"r{mine}", "root").join(dense.select("root", "cls", "unit"), "root").filter(close)
+        held = held.withColumnRenamed("root", f"r{mine}").withColumn(f"at_{mine}", at)
+        held = held.withColumn(f"at_{other}", F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)))
+        return held.select("ra", "rb", "at_a", "at_b", F.lit(mine).alias("side"), "cls", "unit")
+
+    key = ["ra", "rb", "at_a", "at_b"]
+    rows = side("a", "b").union(side("b", "a")).repartition(*key).sortWithinPartitions(*key, "side", "cls")
+
+    def compare(key: tuple, held: list[tuple]) -> pa.RecordBatch:
+        first = sum(h[0] == "a" for h in held)
+        found = []
+        if 0 < first < len(held):
+            unit = np.stack([h[2] for h in held])
+            sims = unit[:first] @ unit[first:].T
+            x, y = np.unravel_index(sims.argmax(), sims.shape)
+            found = [(held[x][1], held[first + y][1])] if sims[x, y] >= threshold else []
+        return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.binary()) for c in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(_by_key(len(key), compare), "a binary, b binary")
+
+
 def count_links(labels: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """cls and n_links: the links within each component, counted block against block."""
     sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
@@ -350,15 +454,21 @@ def near_vectors(
     )
     truth = written(audit(spark, classes, threshold), "audit")
     links = truth.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    full = None
     for attempt in range(FORESTS):
         lists = descend(forest(classes, attempt), classes)
         likely = lists.filter(F.col("sim") >= threshold - SLACK).select("a", "b")
         found = written(true_links(likely, classes, threshold), "vector-links")
         good = measured_recall(truth, written(components(found), "own-labels")) >= RECALL
         links = links.union(found)
+        cut = full_lists(lists, threshold)
+        full = cut if full is None else full.union(cut)
         if good:
             break
     labels = written(components(links), "vector-labels")
+    joins = written(joining_links(labels, full.distinct(), classes, threshold), "joining-links")
+    if not joins.isEmpty():
+        labels = written(components(links.union(joins)), "vector-labels")
     counts = count_links(labels, classes, threshold)
     known = classes.select("cls", "copies").join(labels.withColumnRenamed("id", "cls"), "cls", "left").join(counts, "cls", "left")
     known = known.select(

@@ -63,3 +63,32 @@ def test_driver_vectors(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r["vec_id"], list(r["embedding"])) for r in docs.select("vec_id", "embedding").collect()]
     assert found(docs) == plain(rows)
+
+
+def near(draw, base, cosine, dim):
+    """A vector at `cosine` to the unit vector `base`."""
+    off = draw.standard_normal(dim)
+    off -= (off @ base) * base
+    return cosine * base + np.sqrt(1 - cosine**2) * off / np.linalg.norm(off)
+
+
+def joined_groups(draw, pairs, size, dim=64):
+    """Twice `size` vectors per pair of dense groups, whose centres have the cosine 0.93."""
+    vectors = []
+    for _ in range(pairs):
+        one = draw.standard_normal(dim)
+        one /= np.linalg.norm(one)
+        for centre in (one, near(draw, one, 0.93, dim)):
+            vectors += [near(draw, centre, 0.99, dim) for _ in range(size)]
+    return vectors
+
+
+def test_dense_groups_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "AUDITED", 8)
+    monkeypatch.setattr(near_vectors, "BLOCK_ROWS", 50)
+    vectors = joined_groups(np.random.default_rng(3), 12, 60)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(10_000 + i, [1.0, float(i)]) for i in range(40)]
+    got, want = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), plain(rows)
+    assert len({w[2] for w in want}) <= 12 + 40  # each pair of groups is one component
+    wrong = sum(g != w for g, w in zip(got, want))
+    assert wrong == 0, f"{wrong} of {len(want)} rows differ"

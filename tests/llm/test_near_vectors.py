@@ -92,3 +92,58 @@ def test_dense_groups_are_joined(spark, monkeypatch):
     assert len({w[2] for w in want}) <= 12 + 40  # each pair of groups is one component
     wrong = sum(g != w for g, w in zip(got, want))
     assert wrong == 0, f"{wrong} of {len(want)} rows differ"
+
+
+@pytest.fixture
+def few_partitions(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_recall_counts_vectors_not_links(spark):
+    """A dense group whose links are all found beside a pair that is not."""
+    names = [f"{i:03d}".encode() for i in range(100)]
+    truth = [(a, b) for a in names for b in names if a != b] + [(b"x", b"y"), (b"z", b"w")]
+    labels = [(n, names[0]) for n in names] + [(n, n) for n in (b"x", b"y")] + [(n, b"w") for n in (b"z", b"w")]
+    truth = spark.createDataFrame(truth, "a binary, b binary")
+    assert near_vectors.measured_recall(truth, spark.createDataFrame(labels, "id binary, root binary")) == 0.5
+
+
+def test_recall_that_is_not_reached_is_an_error(spark, few_partitions, monkeypatch):
+    monkeypatch.setattr(near_vectors, "FORESTS", 1)
+    monkeypatch.setattr(near_vectors, "measured_recall", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="0.5000"):
+        near_vectors.near_vectors(spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<double>"))
+
+
+def test_many_vectors_without_help_of_the_audit(spark, few_partitions):
+    """Isolated pairs and joined dense groups among unrelated vectors, far more than are audited."""
+    draw, dim = np.random.default_rng(8), 64
+    vectors = joined_groups(draw, 4, 60, dim)
+    for _ in range(2_000):
+        one = draw.standard_normal(dim)
+        one /= np.linalg.norm(one)
+        vectors += [one, near(draw, one, 0.92, dim)]
+    vectors += list(draw.standard_normal((20_000 - len(vectors), dim)))
+    unit = np.array([v / np.linalg.norm(v) for v in vectors])
+    want, ends = [0] * len(unit), []
+    for at in range(0, len(unit), 2_000):
+        i, j = np.nonzero(unit[at : at + 2_000] @ unit.T >= 0.9)
+        for x, y in zip((i + at).tolist(), j.tolist()):
+            want[x] += x != y
+            ends += [(x, y)] if x < y else []
+    least = list(range(len(unit)))
+    moved = True
+    while moved:
+        moved = False
+        for x, y in ends:
+            low = min(least[x], least[y])
+            moved |= least[x] != low or least[y] != low
+            least[x] = least[y] = low
+    rows = [(i, v.tolist()) for i, v in enumerate(unit)]
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)).collect()
+    wrong = [r for r in got if (r["n_links"], r["component_id"]) != (want[r["vec_id"]], least[r["vec_id"]])]
+    dense = sum(r["vec_id"] < 480 for r in wrong)
+    assert dense == 0 and len(wrong) <= 20, f"{len(wrong)} of {len(got)} rows differ, {dense} of dense groups"

@@ -455,9 +455,9 @@ def count_links(labels: DataFrame, classes: DataFrame, threshold: float) -> Data
     return counted.groupBy("cls").agg(F.sum("n").alias("n_links"))
 
 
-def linked(classes: DataFrame, truth: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The components, and the links (a, b) that make them: forests are added, each with twice the
-    trees of the last, until all of them together reach RECALL of the audited links `truth`."""
+def linked(classes: DataFrame, truth: DataFrame, threshold: float) -> DataFrame:
+    """The components by links: forests are added, each with twice the trees of the last, until all
+    of them together reach RECALL of the audited links `truth`, which are for measuring only."""
     trees = trees_for(classes.count(), threshold)
     links = full = None
     for attempt in range(FORESTS):
@@ -472,7 +472,7 @@ def linked(classes: DataFrame, truth: DataFrame, threshold: float) -> tuple[Data
             labels = written(components(links), "vector-labels")
         recall = measured_recall(truth, labels)
         if recall >= RECALL:
-            return labels, links
+            return labels
     raise RuntimeError(f"{FORESTS} forests find a share of {recall:.4f} of the audited links, not {RECALL}")
 
 
@@ -494,9 +494,7 @@ def near_vectors(
         "vector-classes",
     )
     truth = written(audit(spark, classes, threshold), "audit")
-    links = truth.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    labels, found = linked(classes, truth, threshold)
-    labels = written(components(links.union(found)), "vector-labels")
+    labels = linked(classes, truth, threshold)
     counts = count_links(labels, classes, threshold)
     known = classes.select("cls", "copies").join(labels.withColumnRenamed("id", "cls"), "cls", "left").join(counts, "cls", "left")
     known = known.select(

@@ -147,3 +147,11 @@ def test_many_vectors_without_help_of_the_audit(spark, few_partitions):
     wrong = [r for r in got if (r["n_links"], r["component_id"]) != (want[r["vec_id"]], least[r["vec_id"]])]
     dense = sum(r["vec_id"] < 480 for r in wrong)
     assert dense == 0 and len(wrong) <= 20, f"{len(wrong)} of {len(got)} rows differ, {dense} of dense groups"
+
+
+def test_audit_only_measures(spark, few_partitions, monkeypatch):
+    none = spark.createDataFrame([], "a binary, b binary, sim float")
+    monkeypatch.setattr(near_vectors, "forest", lambda *_: none)
+    monkeypatch.setattr(near_vectors, "measured_recall", lambda *_: 1.0)
+    rows = [(i, [1.0, 0.01 * i]) for i in range(4)]
+    assert [n for _, n, _ in found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))] == [0] * 4

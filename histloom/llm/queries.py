@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histloom.llm import arc_warc, chat_tree, chosen_path, mixing, near_vectors, pii, piece_codec, sql, toxicity, url_trust
+from histloom.llm import (
+    arc_warc, chat_tree, chosen_path, mixing, near_vectors, pii, piece_codec, sql, toxicity, url_trust, whitening,
+)
 from histloom.llm.exact_dedup import exact_classes
 from histloom.session import written
 
@@ -106,3 +108,8 @@ def op6_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op1_near_vectors")
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))

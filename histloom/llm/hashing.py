@@ -13,6 +13,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: A-Z to a-z.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
+UNCHANGED = np.arange(256, dtype=np.uint8)
 #: Words are runs of anything but white space.
 SOLID = np.ones(256, dtype=bool)
 SOLID[[0x20, *range(0x09, 0x0E)]] = False
@@ -48,18 +49,18 @@ def _block_end(data: np.ndarray, at: int, letter: np.ndarray) -> int:
 
 
 def word_hashes(
-    data: np.ndarray, breaks: np.ndarray, letter: np.ndarray = LETTERS
+    data: np.ndarray, breaks: np.ndarray, letter: np.ndarray = LETTERS, fold: np.ndarray = LOWER
 ) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of each word of `data` (bytes); no word goes across a position in `breaks`.
 
-    A word is a run of the bytes marked in `letter`, with A-Z in lower case. It has one hash
+    A word is a run of the bytes marked in `letter`, as `fold` maps them. It has one hash
     wherever it stands: the sum of its bytes times powers of a base, divided by the power at its
     start.
     """
     starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
     while at < len(data):
         end = _block_end(data, at, letter)
-        block = LOWER[data[at:end]]
+        block = fold[data[at:end]]
         up, down = (_UP, _DOWN) if len(block) <= BLOCK else (_powers(b, len(block)) for b in (BASE, BACK))
         inside = letter[block]
         first = np.ones(len(block) + 1, dtype=bool)  # a word may not go on from the byte before
@@ -75,13 +76,13 @@ def word_hashes(
     return np.concatenate(starts), np.concatenate(hashes)
 
 
-def words(texts: pa.Array, letter: np.ndarray = LETTERS) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: pa.Array, letter: np.ndarray = LETTERS, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
     """Text number and hash of every word of a string array, in order."""
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    starts, found = word_hashes(data, offsets[:-1], letter)
+    starts, found = word_hashes(data, offsets[:-1], letter, fold)
     return np.searchsorted(offsets, starts, side="right") - 1, found
 
 

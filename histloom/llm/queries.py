@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histloom.llm import (
-    arc_warc, chat_tree, chosen_path, mixing, near_vectors, pii, piece_codec, spelling, sql, toxicity, url_trust,
-    whitening,
+    arc_warc, chat_tree, chosen_path, mixing, near_vectors, pii, piece_codec, repeated_passages, spelling, sql,
+    toxicity, url_trust, whitening,
 )
 from histloom.llm.exact_dedup import exact_classes
 from histloom.session import written
@@ -116,6 +116,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+@_query("op12_repeated_passages", sql.REPEATED_PASSAGES)
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages.without_passages(_table(spark, sf_dir, "documents"))
+
+
 @_query("op13_spelling")
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"))

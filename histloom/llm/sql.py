@@ -149,3 +149,26 @@ select conv_id, count(*) as n_turns,
        sum(chars)::bigint as formatted_chars
 from t group by conv_id
 """
+
+
+REPEATED_PASSAGES = r"""
+with d as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+),
+p as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50),
+h as materialized (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as window_md5 from p),
+f as (select window_md5, min(doc_id) as first_doc from h group by window_md5),
+c as (select h.doc_id, unnest(range(h.i, h.i + 50)) as k from h join f using (window_md5) where first_doc < h.doc_id),
+g as (select doc_id, list(distinct k) as gone from c group by doc_id),
+k as (
+    select d.doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed
+    from d left join g on d.doc_id = g.doc_id
+),
+kept as (
+    select x.doc_id, string_agg(word, ' ' order by pos) as text from (
+        select d.doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from d
+    ) x anti join c on x.doc_id = c.doc_id and x.pos = c.k group by x.doc_id
+)
+select k.doc_id, n_words, n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from k left join kept on k.doc_id = kept.doc_id
+"""

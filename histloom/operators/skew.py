@@ -8,9 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from histloom.session import written
+
 HOT_ROWS = 1_000_000
 KEYLESS_SALTS = 4_096
 PAGE_ROWS = 100_000
+MOST_RANGES, LEAST_RANGE = 20_000, 10_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
@@ -83,42 +86,50 @@ def first_per_group(
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
+def ranged(df: DataFrame, order: Sequence[str], parts: int, into: str) -> DataFrame:
+    """`df` as a written table, cut into about `parts` ranges of `order` that hold about as many
+    rows each; `into` numbers the ranges in order. Parts beyond MOST_RANGES make ranges larger."""
+    spread = df.repartitionByRange(max(1, min(parts, MOST_RANGES)), *order)
+    return written(spread.withColumn(into, F.spark_partition_id()), "ranges")
+
+
 def paged(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], page_rows: int = PAGE_ROWS, into: str = "part"
 ) -> DataFrame:
     """Number the pages of every group: page p holds its rows p * `page_rows` up to the next
     page in `order`, so pages are dense, in order, and full but for the last.
 
-    `order` starts with a number or time and is unique within a group. The rows of a larger
-    group are ranked in slots of its first order column and shifted by the counts of the slots
-    before, so no task ranks such a group alone; a group of one page needs no rank. `df` is read
-    several times: hand in a table rather than the end of a long plan.
+    `order` is unique within a group; nulls come first, as Spark sorts them. A group of one page
+    needs no rank. The rows of larger groups are cut by a range partitioning over keys and order:
+    Spark draws its splitters from a sample of the rows, so a group takes as many tasks as it has
+    pages wherever its values lie, with outliers, repeated or missing first values. Ranks inside
+    a range are shifted by the counts of the ranges before. The rows of large groups are written
+    once; `df` is read three times: hand in a table rather than the end of a long plan.
     """
     keys = list(keys)
-    at = F.col(order[0]).cast("double")
-    sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")
-    )
-    sized = df.join(sizes.filter(F.col("_n") > page_rows), keys, "left")
-    one = sized.filter(F.col("_n").isNull()).withColumn(into, F.lit(0))
-    share = (F.coalesce(at, F.col("_lo")) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
-    slot = F.floor(share * F.ceil(F.col("_n") / page_rows) * 4).alias("_slot")
-    large = sized.filter(F.col("_n").isNotNull()).select("*", slot)
-    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_k{i}" for i in range(len(keys))]
+    sizes = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = written(sizes.filter(F.col("_n") > page_rows), "page-sizes")
+    rows = sizes.agg(F.sum("_n")).first()[0]
+    if rows is None:
+        return df.withColumn(into, F.lit(0))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    one = df.join(sizes, same, "left_anti").withColumn(into, F.lit(0))
+    parts = min(-(-rows // page_rows), max(64, rows // LEAST_RANGE))  # pages of few rows share a range
+    large = ranged(df.join(sizes, same, "left_semi"), [*keys, *order], parts, "_slot")
+    before = Window.partitionBy(*names).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        large.groupBy(*keys, "_slot")
+        large.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_slot").alias("_at"))
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, "_slot", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+        .select(*names, "_at", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     )
     inside = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy(*order))
-    rank = F.col("_start") + F.col("_rn") - 1
     pages = (
         large.withColumn("_rn", inside)
-        .join(starts, [*keys, "_slot"])
-        .withColumn(into, F.floor(rank / page_rows).cast("int"))
+        .join(starts, same & (F.col("_slot") == F.col("_at")))
+        .withColumn(into, F.floor((F.col("_start") + F.col("_rn") - 1) / page_rows).cast("int"))
     )
-    helpers = ["_n", "_lo", "_hi", "_slot", "_rn", "_start"]
-    return one.drop(*helpers).unionByName(pages.drop(*helpers))
+    return one.unionByName(pages.select(*one.columns))
 
 
 def nest(

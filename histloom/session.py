@@ -28,18 +28,24 @@ def local_session(cores: str = "8", app: str = "histloom") -> SparkSession:
     return spark
 
 
+_FOLDERS: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path for a written table, in the folder that `spark.checkpoint.dir` names.
 
-    Only a local session without that setting gets a temporary folder; on a cluster a
-    machine-local folder would be lost with its machine, so a missing setting is an error.
+    Only a local session without that setting gets a temporary folder, one per application and
+    kept here, as Spark takes the setting at its start only; on a cluster a machine-local folder
+    would be lost with its machine, so a missing setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="histloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _FOLDERS:
+            _FOLDERS[app] = tempfile.mkdtemp(prefix="histloom-")
+        root = _FOLDERS[app]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -50,6 +56,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Remove the files of tables that `written` gave and that nothing reads any more.
+
+    Only whole folders inside the session's folder for written tables are removed; a table that
+    was derived from a written one and not written itself must not be used afterwards."""
+    for table in tables:
+        if table is None:
+            continue
+        spark = table.sparkSession
+        root = scratch_path(spark, "").rpartition("/")[0]
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            inside = path.getParent().equals(
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(spark._jvm.org.apache.hadoop.fs.Path(root))
+            )
+            if inside:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _LOADED: dict[tuple[int, str], DataFrame] = {}
 
 

@@ -79,6 +79,37 @@ def test_nest_pages_are_dense_and_in_order(spark):
     assert {(r.k, r.part): [x.id for x in r["items"]] for r in got} == want and len(got) == len(want)
 
 
+def uneven(spark, n=4_000):
+    """One group with an outlier, missing times and a time that a third of its rows share; a
+    group without key; small groups."""
+    data = [("hot", 10**15, 0), ("hot", None, 1), ("hot", None, 2)]
+    data += [("hot", 7 if i % 3 == 0 else i, i) for i in range(3, n)]
+    data += [(None, i % 5, i) for i in range(n, n + 90)] + [(f"k{i % 20}", i, i) for i in range(n + 90, n + 150)]
+    random.Random(2).shuffle(data)
+    return spark.createDataFrame(data, "k string, t long, id long"), data
+
+
+def test_pages_with_an_outlier_ties_and_missing_values(spark):
+    df, data = uneven(spark)
+    groups = {}
+    for k, t, i in data:
+        groups.setdefault(k, []).append((t is not None, t, i))
+    want = {}
+    for k, items in groups.items():
+        ids = [x[-1] for x in sorted(items, key=lambda x: (x[0], x[1] or 0, x[2]))]
+        want |= {(k, i): n // 40 for n, i in enumerate(ids)}
+    got = S.paged(df.repartition(7), ["k"], ["t", "id"], 40)
+    assert got.columns == ["k", "t", "id", "part"]
+    assert {(r.k, r.id): r.part for r in got.collect()} == want
+
+
+def test_ranges_of_an_uneven_group_are_even(spark):
+    df, _ = uneven(spark)
+    hot = df.filter("k = 'hot'").repartition(7)
+    sizes = [r["count"] for r in S.ranged(hot, ["k", "t", "id"], 100, "slot").groupBy("slot").count().collect()]
+    assert len(sizes) > 80 and max(sizes) < 3 * 40
+
+
 def test_row_index_over_many_stretches(spark):
     df = spark.range(0, 5000).filter("id % 3 <> 1").withColumn("id", F.col("id") * 7)
     got = {r.id: r.row_index for r in O.row_index(df, "id", parts=50).collect()}

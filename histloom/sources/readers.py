@@ -14,6 +14,7 @@ from histloom.functions.nested import STRICT, get, has, json_object, valid_json
 from histloom.functions.text import first_nonempty, strip
 from histloom.operators.lookups import merged
 from histloom.plans.runs import without_attachments
+from histloom.sources import blocks
 
 Schema = T.StructType | str
 Paths = str | list[str]
@@ -127,13 +128,16 @@ def read_commented_jsonl(spark: SparkSession, paths: Paths, schema: Schema) -> t
 
 
 def read_json_array(spark: SparkSession, paths: Paths, schema: Schema) -> DataFrame:
-    """Records of files that hold one JSON array each. A file is read by one task."""
-    return spark.read.schema(_schema(schema)).option("multiLine", True).json(paths)
+    """Records of files that hold one JSON array each; large files are read in blocks."""
+    return blocks.read_json_array(spark, paths, _schema(schema))
 
 
 def read_csv(spark: SparkSession, paths: Paths, schema: Schema, multiline: bool = False) -> DataFrame:
-    """Records of CSV files with a header; quotes inside fields stand doubled."""
-    options = {"header": True, "escape": '"', "multiLine": multiline, "enforceSchema": False}
+    """Records of CSV files with a header; quotes inside fields stand doubled. With `multiline`,
+    quoted fields may hold line ends, and large files are still read in blocks."""
+    if multiline:
+        return blocks.read_quoted_csv(spark, paths, _schema(schema))
+    options = {"header": True, "escape": '"', "enforceSchema": False}
     return spark.read.schema(_schema(schema)).options(**options).csv(paths)
 
 

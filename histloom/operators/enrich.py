@@ -49,6 +49,16 @@ def with_retry(
     return call
 
 
+def one_call(fn: Callable[[str], str], value: str | None) -> tuple[str, str, str | None]:
+    """value, status and error of one row."""
+    if value is None or not value.strip():
+        return "", "error", "empty input"
+    try:
+        return fn(value), "success", None
+    except Exception as error:  # noqa: BLE001
+        return "", "error", str(error)
+
+
 def enrich(
     rows: DataFrame,
     key: str,
@@ -72,18 +82,10 @@ def enrich(
         [slim.schema[key], *[T.StructField(c, T.StringType()) for c in ("value", "status", "error")]]
     )
 
-    def one(value: str | None) -> tuple[str, str, str | None]:
-        if value is None or not value.strip():
-            return "", "error", "empty input"
-        try:
-            return fn(value), "success", None
-        except Exception as error:  # noqa: BLE001
-            return "", "error", str(error)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(threads) as pool:
             for batch in batches:
-                results = list(pool.map(one, batch[text]))
+                results = list(pool.map(lambda value: one_call(fn, value), batch[text]))
                 out = pd.DataFrame(results, columns=["value", "status", "error"])
                 out.insert(0, key, batch[key].to_numpy())
                 yield out

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from histloom import constants as K
 from histloom.functions import vectors as V
 from histloom.operators import enrich as E
 from histloom.operators import knowledge as G
+from histloom.operators import progress as S
 from histloom.operators.lookups import tally
 from histloom.operators.ordering import draw_key, row_range
 from histloom.plans import rating as R
@@ -150,6 +152,47 @@ def enrich_rows(spark, sf):
     )
 
 
+class _TaskLost(BaseException):
+    """Ends the task that runs, as the loss of its executor would."""
+
+
+def _lost_midway(root: str):
+    """`_backwards`, but one task is lost in a call, once, after something has been committed."""
+
+    def call(text: str) -> str:
+        system, path = fs.FileSystem.from_uri(root)
+        marker = system.get_file_info(f"{path}/lost")
+        if len(text) % 5 == 0 and not marker.is_file:
+            if system.get_file_info(fs.FileSelector(f"{path}/manifest", allow_not_found=True)):
+                system.open_output_stream(f"{path}/lost").close()
+                raise _TaskLost("executor lost")
+        return _backwards(text)
+
+    return call
+
+
+@query(
+    "enrich_with_progress",
+    f"""with {_ROWS}, tries as (select key, case when trim(t) = '' or length(t) % 7 = 0 then '' else reverse(t) end as value,
+      case when trim(t) = '' or length(t) % 7 = 0 then 'error' else 'success' end status,
+      case when trim(t) = '' then 'empty input' when length(t) % 7 = 0 then 'bad length' end error, 1::BIGINT commits from rows_)
+    select * from tries""",
+)
+def enrich_with_progress(spark, sf):
+    """A task fails midway; the work goes on from what was committed, and no key is committed twice."""
+    root = scratch_path(spark, "progress")
+    rows = conversation_rows(spark, sf)
+    for attempt in range(3):
+        try:
+            done = S.enrich_with_progress(rows, "key", "text", _lost_midway(root), root, every=10, threads=2, ranges=12)
+            break
+        except Exception:  # the lost task has ended the job, where tasks are not tried again
+            if attempt == 2:
+                raise
+    commits = S.progress(spark, root, "key", "string").groupBy("key").agg(F.count(F.lit(1)).alias("commits"))
+    return done.join(commits, "key").select("key", "value", "status", "error", "commits")
+
+
 @query("status_tally", f"with {_ROWS} select status, count(*) n from results group by status")
 def status_tally(spark, sf):
     rows = E.enrich_or_keep(conversation_rows(spark, sf), "key", "text", "old", _backwards)

@@ -14,6 +14,7 @@ from histloom.functions.nested import STRICT, get, has, json_object, valid_json
 from histloom.functions.text import first_nonempty, strip
 from histloom.operators.lookups import merged
 from histloom.plans.runs import without_attachments
+from histloom.session import written
 from histloom.sources import blocks
 
 Schema = T.StructType | str
@@ -63,8 +64,10 @@ def balanced(df: DataFrame, key: str) -> DataFrame:
 def numbered_lines(spark: SparkSession, paths: Paths) -> DataFrame:
     """Lines of text files with their file and their line number from 1.
 
-    Spark reads each block of a file in order, so a line's number is its rank inside the block
-    plus the lines of the blocks before. No task sees more than a block.
+    Two scans: the first counts the lines of each block that a task reads, and the sums of the
+    blocks before go back to the scan tasks, which number their lines in place. No line is moved
+    for its number. Up to `blocks.SENT_BLOCKS` blocks the sums are sent to all tasks; a larger
+    table of them is joined as Spark sees fit.
     """
     raw = spark.read.text(paths).select(
         "value",
@@ -72,17 +75,22 @@ def numbered_lines(spark: SparkSession, paths: Paths) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    inside = Window.partitionBy("file", "_block").orderBy("_id")
     before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         raw.groupBy("file", "_block")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+        .select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
-    return (
-        raw.withColumn("_rn", F.row_number().over(inside))
-        .join(starts, ["file", "_block"])
-        .select("file", (F.col("_start") + F.col("_rn")).alias("line_number"), "value")
+    starts = written(starts, "line-counts")
+    if starts.count() <= blocks.SENT_BLOCKS:
+        starts = F.broadcast(starts)
+    # ids count the rows of a task; both scans deal the same blocks to the same tasks
+    same_task = F.shiftright("_id", 33) == F.shiftright("_first", 33)
+    inside = F.when(same_task, F.col("_id") - F.col("_first")).otherwise(
+        F.raise_error(F.lit("the files changed between two scans")).cast("long")
+    )
+    return raw.join(starts, ["file", "_block"]).select(
+        "file", (F.col("_start") + inside + 1).alias("line_number"), "value"
     )
 
 

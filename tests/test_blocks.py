@@ -99,3 +99,18 @@ def test_many_blocks_are_joined(spark, tmp_path, small_blocks, monkeypatch):
     small_blocks(500)
     got = readers.read_json_array(spark, str(tmp_path), SCHEMA).select("id", "name").collect()
     assert sorted(map(tuple, got)) == [(i, "{" * (i % 7)) for i in range(300)]
+
+
+def test_line_numbers(spark, tmp_path, small_blocks):
+    rnd = random.Random(1)
+    want = set()
+    for n in range(3):
+        lines = [f"{n}-{i}" * rnd.randrange(1, 9) if rnd.random() < 0.9 else "" for i in range(150)]
+        (tmp_path / f"{n}.txt").write_text("\n".join(lines) + ["", "\n", "\n\n"][n])
+        want |= {(f"{n}.txt", i + 1, v) for i, v in enumerate(lines + [""] * (n == 2)) if i < 149 or v or n}
+    small_blocks(300)
+    numbered = readers.numbered_lines(spark, str(tmp_path))
+    got = [(r.file.rsplit("/")[-1], r.line_number, r.value) for r in numbered.collect()]
+    assert set(got) == want and len(got) == len(want)
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histloom.session import written
+from histloom.session import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,14 +14,15 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates two star operations until nothing changes: every node gives its larger
     neighbours its smallest neighbour, then its smaller ones and itself the smallest of them.
     Paths shrink to stars in a number of rounds that grows with the logarithm of their length.
-    Each round is written to the shared folder. Loops and repeated edges do no harm, and an edge
+    Each round is written to the shared folder, and the one before is removed. Loops and repeated edges do no harm, and an edge
     with a null end is left out.
     """
     ends = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
     links = written(edges.filter("a <> b").select(*ends).distinct(), "links")
     seen = _mark(links)
     while seen[0]:
-        links = written(_small_star(_large_star(links)), "links")
+        last, links = links, written(_small_star(_large_star(links)), "links")
+        discard(last)
         now = _mark(links)
         if now == seen:
             break

@@ -37,7 +37,7 @@ BRANCHES = 2
 MINWISE = 64
 #: A node is compared exhaustively if at most this many members are outside its largest component.
 EXHAUSTIVE = 2048
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 PIVOTS = 3
 MAX_LEVELS = 8
 #: Pairs whose sketches agree in less than this share of places are not looked at; at a

@@ -6,7 +6,7 @@ Spark measures them as small and broadcasts them. Window means are taken once pe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histloom import constants as K
@@ -53,9 +53,44 @@ def daily_signals(news: DataFrame) -> DataFrame:
     return extracted(news).groupBy("day").agg(*[F.avg(s).alias(s) for s in SIGNALS])
 
 
-def _with_window(dates: DataFrame, daily: DataFrame, date: str, days: int) -> DataFrame:
-    spread = dates.select(date).distinct().withColumn("day", F.explode(days_around(F.col(date), days)))
-    return spread.join(daily, "day")
+def window_sums(
+    dates: DataFrame, per_day: DataFrame, columns: list[str], date: str = "date", days: int = K.WINDOW_DAYS
+) -> DataFrame:
+    """For every distinct date with a row of `per_day` within `days` of it: `date` and, by column,
+    sum_<column> and n_<column>, over the values there that are not null.
+
+    Running sums over the days are read at two places per date, after its window and before it,
+    so the work does not depend on the width. `per_day` has one row per calendar day, so the
+    sums run over a few ten thousand rows. Sums of windows with an infinite value are infinite.
+    """
+    at = F.col("day").alias("_at")
+    finite = [F.when(F.abs(c) < float("inf"), F.col(c)).alias(f"v_{c}") for c in columns]
+    large = [(F.col(c) == float("inf")).cast("long").alias(f"x_{c}") for c in columns]
+    rows = per_day.filter("day is not null").select(at, F.lit(0).alias("_end"), F.lit(None).alias(date), *finite, *large)
+    ends = F.explode(F.array(F.struct(F.date_add(date, days).alias("at"), F.lit(2).alias("end")),
+                             F.struct(F.date_sub(date, days + 1).alias("at"), F.lit(1).alias("end"))))
+    marks = dates.select(date).distinct().filter(F.col(date).isNotNull()).select(F.col(date), ends.alias("_e"))
+    marks = marks.select(F.col("_e.at").alias("_at"), F.col("_e.end").alias("_end"), date)
+    so_far = Window.orderBy("_at", "_end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = [F.sum((F.col("_end") == 0).cast("long")).over(so_far).alias("_days")]
+    for c in columns:
+        running += [
+            F.sum(f"v_{c}").over(so_far).alias(f"s_{c}"), F.count(f"v_{c}").over(so_far).alias(f"n_{c}"),
+            F.sum(f"x_{c}").over(so_far).alias(f"x_{c}"),
+        ]
+    found = rows.unionByName(marks, allowMissingColumns=True).select(date, "_end", *running).filter(F.col("_end") > 0)
+
+    def inside(name: str):
+        """The running value after the window minus that before it."""
+        last, first = (F.max(F.when(F.col("_end") == end, F.col(name))) for end in (2, 1))
+        return last - F.coalesce(first, F.lit(0))
+
+    sums = []
+    for c in columns:
+        some, many = inside(f"n_{c}"), F.coalesce(inside(f"x_{c}"), F.lit(0))
+        total = F.when(many > 0, float("inf")).when(some > 0, inside(f"s_{c}"))
+        sums += [total.alias(f"sum_{c}"), (some + many).alias(f"n_{c}")]
+    return found.groupBy(date).agg(inside("_days").alias("_days"), *sums).filter("_days > 0").drop("_days")
 
 
 def window_rows(
@@ -70,9 +105,8 @@ def mean_of_daily_means(
     dates: DataFrame, daily: DataFrame, date: str = "date", days: int = K.WINDOW_DAYS
 ) -> DataFrame:
     """Per distinct date the mean of the daily means around it: every day has the same weight."""
-    return _with_window(dates, daily, date, days).groupBy(date).agg(
-        *[F.avg(s).alias(s) for s in SIGNALS]
-    )
+    found = window_sums(dates, daily, SIGNALS, date, days)
+    return found.select(date, *[F.try_divide(f"sum_{s}", f"n_{s}").alias(s) for s in SIGNALS])
 
 
 def mean_of_rows(
@@ -83,11 +117,12 @@ def mean_of_rows(
     Rows are summed and counted per day first, so that a news row is read once, not once for
     every date whose window it falls in.
     """
-    sums = [F.sum(s).alias(f"sum_{s}") for s in SIGNALS]
-    counts = [F.count(s).alias(f"n_{s}") for s in SIGNALS]
+    sums = [F.sum(s).alias(f"rows_{s}") for s in SIGNALS]
+    counts = [F.count(s).cast("double").alias(f"count_{s}") for s in SIGNALS]
     per_day = extracted(news).groupBy("day").agg(*sums, *counts)
-    means = [F.try_divide(F.sum(f"sum_{s}"), F.sum(f"n_{s}")).alias(s) for s in SIGNALS]
-    return _with_window(dates, per_day, date, days).groupBy(date).agg(*means)
+    columns = [c for s in SIGNALS for c in (f"rows_{s}", f"count_{s}")]
+    found = window_sums(dates, per_day, columns, date, days)
+    return found.select(date, *[F.try_divide(f"sum_rows_{s}", f"sum_count_{s}").alias(s) for s in SIGNALS])
 
 
 def date_vectors(signals: DataFrame, date: str = "day") -> DataFrame:

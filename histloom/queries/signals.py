@@ -194,6 +194,32 @@ def window7_row_mean(spark, sf):
     return means.select("date", *[F.round(s, 6).alias(s) for s in P.SIGNALS])
 
 
+#: A window of a year on both sides of every date.
+YEAR = 365
+
+
+@query(
+    "window_year_mean_of_means",
+    f"""with {NEWS_SQL}, means as (select date, {', '.join(f'avg({n}) {n}' for n in K.SIGNAL_CODES)}
+  from dates join daily on day between date - {YEAR} and date + {YEAR} group by date)
+{_rounded(K.SIGNAL_CODES, 'means', 'date')}""",
+)
+def window_year_mean_of_means(spark, sf):
+    means = P.mean_of_daily_means(dated_users(spark, sf), daily(spark, sf), days=YEAR)
+    return means.select("date", *[F.round(s, 6).alias(s) for s in P.SIGNALS])
+
+
+@query(
+    "window_year_row_mean",
+    f"""with {NEWS_SQL}, means as (select date, {', '.join(f'avg({n}) {n}' for n in K.SIGNAL_CODES)}
+  from dates join signals on day between date - {YEAR} and date + {YEAR} group by date)
+{_rounded(K.SIGNAL_CODES, 'means', 'date')}""",
+)
+def window_year_row_mean(spark, sf):
+    means = P.mean_of_rows(dated_users(spark, sf), P.usable_news(news(spark, sf)), days=YEAR)
+    return means.select("date", *[F.round(s, 6).alias(s) for s in P.SIGNALS])
+
+
 @query("psych_vector", f"with {VECTOR_SQL} select date, trait, score from ({LONG})")
 def psych_vector(spark, sf):
     return _long(vectors(spark, sf), "vector", "date")

@@ -14,6 +14,7 @@ from histloom import constants as K
 from histloom.functions.nested import valid_json
 from histloom.functions.text import normalize_text, strip
 from histloom.operators.skew import lookup_join
+from histloom.session import written
 
 GRAM = 8
 _ENTITIES = json.dumps({f"&{name}": text for name, text in html5.items() if name.endswith(";") and text != "&"})
@@ -103,31 +104,64 @@ def url_rules(statuses: dict[str, str], blocked: Iterable[str] = ()) -> Column:
     return F.array(*rows) if rows else F.array().cast("array<struct<url:string,status:string>>")
 
 
+def _pieces(text: Column, size: Column | int) -> Column:
+    """The distinct pieces of `size` characters of a text; none of a shorter text."""
+    last = F.length(text) - size + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, size))))
+
+
+def rarest_pieces(urls: DataFrame, url: str, rules: DataFrame) -> DataFrame:
+    """`rules` (_rule, _size and more) with `_gram`: of the pieces of a rule, that which the
+    fewest URLs hold. A rule with a piece that no URL holds is part of none and left out.
+
+    Pieces are counted over all URLs first, map-side, so a piece that most of them share is one
+    row; it becomes a key only where a rule has no rarer one."""
+    sizes = rules.agg(F.collect_set("_size").alias("s")).scalar()  # at most GRAM numbers
+    grams = url_pieces(urls, url, sizes)
+    counts = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    own = rules.select("_rule", F.explode(_pieces(F.col("_rule"), F.col("_size"))).alias("_gram"))
+    counted = own.join(counts, "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    best = counted.groupBy("_rule").agg(F.min(F.struct("_n", "_gram")).alias("_best")).filter(F.col("_best._n") > 0)
+    return rules.join(best.select("_rule", F.col("_best._gram").alias("_gram")), "_rule")
+
+
+def url_pieces(urls: DataFrame, url: str, sizes: Column) -> DataFrame:
+    """(url, _gram) for the pieces of every size in `sizes` of every URL."""
+    at = F.col(url)
+    lists = F.transform(F.col("_sizes"), lambda n: F.coalesce(_pieces(at, n), F.array().cast("array<string>")))
+    with_sizes = urls.select(url).withColumn("_sizes", sizes)
+    return with_sizes.select(url, F.explode(F.array_distinct(F.flatten(lists))).alias("_gram"))
+
+
 def allowed_by_table(pages: DataFrame, url: str, row_id: str, rules: DataFrame) -> DataFrame:
     """`pages` with `allowed`, by a table of rules (url, status, ord) of any size.
 
     The latest status of a rule's URL counts, at the place where the URL came first. The rule for
     exactly the page's URL decides, else the first rule whose text is part of it, else it is
-    allowed. Exact rules are found by equality. For the others, the last GRAM characters of a
-    rule must be a piece of the page's URL: pieces and rules meet by equality, and only pairs
-    that do are compared in full. Rules shorter than GRAM are looked up by their whole length.
+    allowed. Rules are indexed by their rarest piece of GRAM characters (see `rarest_pieces`;
+    shorter rules by their whole text): URLs and rules meet by equality of that piece, and only
+    pairs that do are compared in full. A piece that many URLs share all the same is spread.
     """
     merged = rules.groupBy("url").agg(F.min("ord").alias("ord"), F.max_by("status", "ord").alias("status"))
-    size = F.least(F.length("url"), F.lit(GRAM))
-    known = merged.select(F.col("url").alias("_rule"), "ord", "status", F.right(F.col("url"), size).alias("_gram"), size.alias("_size"))
-    sizes = known.agg(F.collect_set("_size").alias("s")).scalar()  # at most GRAM + 1 numbers
+    size = F.least(F.length("url"), F.lit(GRAM)).alias("_size")
+    known = merged.filter(F.length("url") > 0).select(F.col("url").alias("_rule"), "ord", "status", size)
+    known = written(known, "url-rules")
     at = F.col(url)
-    starts = lambda n: F.when(F.length(at) >= n, F.sequence(F.lit(1), F.length(at) - n + 1))
-    pieces = F.transform(F.col("_sizes"), lambda n: F.transform(starts(n), lambda i: F.substring(at, i, n)))
-    distinct = pages.select(url).filter(at.isNotNull()).distinct().withColumn("_sizes", sizes)
-    grams = distinct.select(url, F.explode(F.array_distinct(F.flatten(F.filter(pieces, lambda p: p.isNotNull())))).alias("_gram"))
-    partly = (
-        grams.join(known, "_gram").filter(F.contains(at, F.col("_rule")))
-        .groupBy(url).agg(F.min_by("status", "ord").alias("_partly"), F.max(F.when(F.col("_rule") == at, F.col("status"))).alias("_exact"))
-    )
-    status = F.coalesce("_exact", "_partly")
-    found = lookup_join(pages, partly, [url], "left", spread_by=[row_id])
-    return found.withColumn("allowed", F.coalesce(status == "allowed", F.lit(True))).drop("_exact", "_partly")
+    distinct = written(pages.select(url).filter(at.isNotNull()).distinct(), "urls")
+    indexed = written(rarest_pieces(distinct, url, known), "rule-pieces")
+    grams = url_pieces(distinct, url, indexed.agg(F.collect_set("_size").alias("s")).scalar())
+    mine = grams.join(indexed.select("_gram").distinct(), "_gram", "left_semi")
+    met = lookup_join(mine, indexed, ["_gram"], "inner", spread_by=[url]).filter(F.contains(at, F.col("_rule")))
+    first = met.groupBy(url).agg(F.min(F.struct("ord", "status")).alias("_first"))
+    exact = known.select(F.col("_rule").alias(url), F.col("status").alias("_exact"))
+    found = lookup_join(pages, first.join(exact, url, "full"), [url], "left", spread_by=[row_id])
+    blank = merged.filter(F.length("url") == 0).select("ord", "status").first()  # part of every URL
+    everywhere = F.col("_first")
+    if blank is not None:
+        rule = F.struct(F.lit(blank["ord"]).cast(merged.schema["ord"].dataType).alias("ord"), F.lit(blank["status"]).alias("status"))
+        everywhere = F.when(at.isNotNull(), rule)
+    status = F.coalesce("_exact", F.least("_first", everywhere)["status"])
+    return found.withColumn("allowed", F.coalesce(status == "allowed", F.lit(True))).drop("_exact", "_first")
 
 
 def url_allowed(url: Column, rules: Column) -> Column:

@@ -142,3 +142,30 @@ def test_tables_are_kept_until_cleared(spark):
     assert load_once(spark, "t", load).count() == load_once(spark, "t", load).count() == 3 and len(calls) == 1
     assert clear_loaded(spark) == 1 and clear_loaded(spark) == 0
     assert load_once(spark, "t", load).count() == 3 and len(calls) == 2 and clear_loaded(spark) == 1
+
+
+def test_rules_meet_urls_by_their_rarest_piece(spark):
+    rnd = random.Random(8)
+    urls = [f"https://{rnd.choice('abc')}.example.com/{rnd.choice(['en', 'es'])}/{rnd.randrange(60)}/{'x' * rnd.randrange(9)}" for _ in range(300)]
+    urls += ["", "short", None, "https://a.example.com/en/"]
+    given = [(u, rnd.choice(["allowed", "blocked"])) for u in rnd.sample([u for u in urls if u], 120)]
+    given += [("example.com/en/", "blocked"), ("/7/", "blocked"), ("ort", "blocked"), ("not there at all", "blocked"), (".com", "allowed")]
+    for extra in ([], [("", "blocked")]):
+        rules = [(u, s, n) for n, (u, s) in enumerate(rnd.sample(given + extra, len(given + extra)))]
+        merged = {}
+        for u, s, _ in rules:
+            merged[u] = s  # a dictionary keeps the place of the first entry
+        want = {}
+        for n, u in enumerate(urls):
+            status = None if u is None else merged.get(u) or next((s for r, s in merged.items() if r in u), None)
+            want[n] = status in (None, "allowed")
+        pages = spark.createDataFrame(list(enumerate(urls)), "id long, url string")
+        table = spark.createDataFrame(rules, "url string, status string, ord long")
+        assert {r.id: r.allowed for r in W.allowed_by_table(pages, "url", "id", table).collect()} == want
+
+
+def test_a_common_piece_is_no_key_beside_a_rare_one(spark):
+    urls = spark.range(200).selectExpr("concat('https://example.com/en/', id) as url")
+    rules = spark.createDataFrame([("example.com/en/77", 8), ("example.com/fr/1", 8)], "_rule string, _size int")
+    kept = W.rarest_pieces(urls, "url", rules).collect()
+    assert [r["_rule"] for r in kept] == ["example.com/en/77"] and "77" in kept[0]["_gram"]

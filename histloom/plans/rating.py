@@ -84,6 +84,28 @@ def fit(train: DataFrame, alpha: float, classes: int, rows: int, max_iter: int =
     return RatingModel(alpha, found[:size], [-THRESHOLD_SCALE * c for c in found[size:]])
 
 
+def gradient(model: RatingModel, train: DataFrame, classes: int, rows: int) -> DataFrame:
+    """coordinate and gradient of the loss that `fit` minimises, at the weights of `model`: first
+    the features, then one coordinate per threshold. All are near 0 where a fit has ended.
+
+    One scan: the residuals are summed per coordinate map-side, so a task passes on one row per
+    coordinate."""
+    steps = classes - 1
+    weights = F.array(*[F.lit(w) for w in model.weights])
+    score = F.aggregate(F.zip_with("features", weights, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+    limit = F.element_at(F.array(*[F.lit(t) for t in model.thresholds]), F.col("k") + 1)
+    residual = 1 / (1 + F.exp(limit - score)) - F.col("label")
+    asked = with_thresholds(train, classes).select("features", "k", residual.alias("r"))
+    own = F.transform("features", lambda x: x * F.col("r"))
+    marks = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.when(i == F.col("k"), F.col("r") * THRESHOLD_SCALE).otherwise(0.0))
+    each = asked.select(F.posexplode(F.concat(own, marks)).alias("coordinate", "g"))
+    found = [*model.weights, *[-t / THRESHOLD_SCALE for t in model.thresholds]]
+    penalty = F.element_at(F.array(*[F.lit(w * model.alpha / (rows * steps)) for w in found]), F.col("coordinate") + 1)
+    return each.groupBy("coordinate").agg((F.sum("g") / (rows * steps)).alias("g")).select(
+        "coordinate", (F.col("g") + penalty).alias("gradient")
+    )
+
+
 def scores(model: RatingModel, rows: DataFrame, features: str = "features") -> DataFrame:
     """Accuracy and mean absolute error of the model, in one row."""
     return accuracy_mae(rows.withColumn("_p", model.predict(F.col(features))), "y", "_p")

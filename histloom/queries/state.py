@@ -10,7 +10,7 @@ from histloom.functions import vectors as V
 from histloom.operators import enrich as E
 from histloom.operators import knowledge as G
 from histloom.operators import progress as S
-from histloom.operators.lookups import tally
+from histloom.operators.lookups import merged, tally
 from histloom.operators.ordering import draw_key, row_range
 from histloom.plans import rating as R
 from histloom.plans import interactions as P
@@ -245,6 +245,8 @@ def rating_rows(spark, sf):
 
 
 CLASSES = 5
+#: A gradient below this is near zero; at weights of 0 the largest is some hundred times that.
+FLAT = 1e-3
 RATING_SQL = """
 unit as (select vec_id, label // 2 y, list_transform(embedding, lambda x: x::DOUBLE) v from embeddings),
 feats as (select vec_id, y, list_transform(v, lambda x: abs(x) / sqrt(list_dot_product(v, v))) f from unit)"""
@@ -289,6 +291,37 @@ def ordinal_choice(spark, sf):
     return R.chosen_trial(trials)
 
 
+@query(
+    "ordinal_gradient",
+    f"""with {RATING_SQL}, given as (select unnest({GIVEN.weights!r}) w, unnest(range(64)) c),
+    limits as (select unnest({GIVEN.thresholds!r}) t, unnest(range({CLASSES - 1})) k),
+    s as (select vec_id, y, f, list_dot_product(f, (select list(w::DOUBLE order by c) from given)) score from feats),
+    r as (select vec_id, f, k, 1 / (1 + exp(t::DOUBLE - score)) - (y > k)::INT r from s, limits),
+    x as (select r, unnest(f) x, unnest(range(64)) c from r),
+    n as (select count(*) * {CLASSES - 1} n from feats),
+    g as (select c, sum(r * x) / any_value(n) g from x, n group by c union all select 64 + k, sum(r * {R.THRESHOLD_SCALE}) / any_value(n) from r, n group by k),
+    p as (select c, w::DOUBLE p from given union all select 64 + k, -t::DOUBLE / {R.THRESHOLD_SCALE} from limits)
+    select c::INT coordinate, round(g + p * {GIVEN.alpha} / n, 6)::DOUBLE gradient from g join p using (c), n""",
+)
+def ordinal_gradient(spark, sf):
+    """The gradient of the loss at the given weights."""
+    rows = rating_rows(spark, sf)
+    found = R.gradient(GIVEN, rows, CLASSES, rows.count())
+    return found.select("coordinate", F.round("gradient", 6).alias("gradient"))
+
+
+@query(
+    "ordinal_fit",
+    f"select a.trial::INT trial, c::INT coordinate, true flat from range({len(K.RATING_ALPHAS)}) a(trial), range({64 + CLASSES - 1}) b(c)",
+)
+def ordinal_fit(spark, sf):
+    """The gradient at the fitted weights of every trial: near zero in every coordinate."""
+    train = written(rating_rows(spark, sf).filter("split = 'train'"), "train")
+    n = train.count()
+    trials = [R.gradient(R.fit(train, a, CLASSES, n), train, CLASSES, n).withColumn("trial", F.lit(i)) for i, a in enumerate(K.RATING_ALPHAS)]
+    return merged(trials).select("trial", "coordinate", (F.abs("gradient") < FLAT).alias("flat"))
+
+
 @query("ordinal_model")
 def ordinal_model(spark, sf):
     rows = rating_rows(spark, sf)

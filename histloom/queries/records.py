@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from histloom.operators.lookups import not_done
+from histloom.operators.skew import nest
 from histloom.plans import runs as R
 from histloom.queries.groups import RUNS_SQL, outcomes, tasks
 from histloom.queries.registry import query, table
@@ -100,15 +101,15 @@ def sink_append(spark, sf):
 def scan_user_split(spark, sf):
     """Nested users with history and held-out review, written and read as typed records."""
     path = scratch_path(spark, "user_split")
-    review = F.struct(
+    review = [
         F.col("o_orderkey").cast("string").alias("parent_asin"), F.col("o_totalprice").alias("rating"),
         F.expr("unix_millis(cast(o_orderdate as timestamp))").alias("timestamp_ms"), F.lit("x").alias("review_full"),
         F.struct(F.col("o_orderstatus").alias("title"), F.col("o_totalprice").alias("price")).alias("product"),
-    )
-    rows = table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("user_id")).agg(
-        F.collect_list(review).alias("history"), F.max_by(review, "o_orderkey").alias("heldout"),
-        F.create_map(F.lit("POWER"), F.lit(0.5)).alias("psych_vector"),
-    )
+    ]
+    orders = table(spark, sf, "orders").withColumn("user_id", F.col("o_custkey").cast("string"))
+    heldout = orders.groupBy("user_id").agg(F.max_by(F.struct(*review), "o_orderkey").alias("heldout"))
+    rows = nest(orders, ["user_id"], ["o_orderkey"], review, "history").join(heldout, "user_id")
+    rows = rows.withColumn("psych_vector", F.create_map(F.lit("POWER"), F.lit(0.5)))
     rows.write.json(path)
     back = I.read_jsonl(spark, path, I.USER_SPLIT)
     price = F.array_max(F.transform("history", lambda h: h["product"]["price"]))
@@ -126,11 +127,13 @@ def scan_user_split(spark, sf):
 )
 def scan_community_instances(spark, sf):
     path = scratch_path(spark, "instances")
-    post = F.struct("event_id", F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("p"))
-    rows = table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("subreddit")).agg(
-        F.transform(F.array_sort(F.collect_list(post)), lambda x: x["p"]).alias("posts"),
-        F.create_map(F.lit("POWER"), F.max("value")).alias("shift_vector"),
+    events = table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("subreddit"), "event_id", "value"
     )
+    keys = ["user_id", "subreddit"]
+    vectors = events.groupBy(*keys).agg(F.create_map(F.lit("POWER"), F.max("value")).alias("shift_vector"))
+    post = F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("p")
+    rows = nest(events, keys, ["event_id"], [post], "posts").withColumn("posts", F.col("posts.p")).join(vectors, keys)
     rows.withColumn("anchor_demographics", F.struct(F.lit("unknown").alias("age"))).write.json(path)
     back = I.read_jsonl(spark, path, I.COMMUNITY_INSTANCES)
     return back.select(
@@ -161,20 +164,22 @@ def scan_persona_array(spark, sf):
 @query(
     "scan_ordered_jsonl",
     """select user_id, line_number, parent_asin, "timestamp" from (
-      select o_custkey::VARCHAR user_id, row_number() over (partition by o_orderstatus order by o_orderkey) line_number,
+      select o_custkey::VARCHAR user_id, row_number() over (partition by o_orderstatus, o_orderkey // 10000 order by o_orderkey) line_number,
       o_orderkey::VARCHAR parent_asin, epoch_ms(o_orderdate) as "timestamp", o_orderkey from orders) where o_orderkey % 10 <> 0""",
 )
 def scan_ordered_jsonl(spark, sf):
-    """Reviews with the number of their line; every tenth line is broken and has a number, too."""
+    """Reviews with the number of their line, from a file per status and range of keys; every tenth
+    line is broken and has a number, too."""
     path = scratch_path(spark, "ordered")
     record = F.struct(
         F.col("o_custkey").cast("string").alias("user_id"), F.col("o_orderkey").cast("string").alias("parent_asin"),
         F.expr("unix_millis(cast(o_orderdate as timestamp))").alias("timestamp"),
     )
     line = F.when(F.col("o_orderkey") % 10 == 0, "{broken").otherwise(F.to_json(record))
-    rows = table(spark, sf, "orders").select("o_orderstatus", "o_orderkey", line.alias("value"))
-    sorted_rows = rows.repartition("o_orderstatus").sortWithinPartitions("o_orderstatus", "o_orderkey")
-    sorted_rows.drop("o_orderkey").write.partitionBy("o_orderstatus").text(path)
+    place = F.floor(F.col("o_orderkey") / 10_000).alias("place")
+    rows = table(spark, sf, "orders").select("o_orderstatus", place, "o_orderkey", line.alias("value"))
+    sorted_rows = rows.repartition("o_orderstatus", "place").sortWithinPartitions("o_orderstatus", "place", "o_orderkey")
+    sorted_rows.drop("o_orderkey").write.partitionBy("o_orderstatus", "place").text(path)
     back = I.read_ordered_jsonl(spark, path, I.REVIEWS)
     return back.select("user_id", "line_number", "parent_asin", "timestamp")
 

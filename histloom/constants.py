@@ -108,6 +108,7 @@ ALIGNED_HALF = 3.5
 MIN_QUOTE_CHARS = 12
 ENTAILMENT_GATE = 0.3
 NEW_CLAIM_COST = 0.25
+# The penalties that the rating model is tried with.
 RATING_ALPHAS = [0.01, 0.1, 1.0, 10.0, 100.0, 1000.0]
 
 # --- interactions ------------------------------------------------------------------------
@@ -123,6 +124,7 @@ SECTION_HEADINGS = {
 MISSING_ITEM_ID = "0000000000"
 MISSING_TITLE = "Unknown Title"
 MISSING_PRICE = "Unknown Price"
+# Texts that stand for no text, and the actions of a log that count as browsing.
 EMPTY_TEXTS = ["", "nan", "none", "null"]
 BROWSE_ACTIONS = ["click", "product_link", "quantity", "purchase", "cart_side_bar"]
 
@@ -156,6 +158,7 @@ ACTION_WORDS = [
 # Codes of tags and roles.
 TAG_CODES = {"a": 0, "button": 1, "input": 2, "select": 3, "textarea": 4, "div": 5, "span": 6}
 ROLE_CODES = {"link": 0, "button": 1, "textbox": 2, "combobox": 3, "option": 4, "text": 5}
+# Texts of a search field.
 SEARCH_TEXTS = ["", "search", "search..."]
 TOP_ELEMENTS = 16
 ELEMENT_TEXT_CHARS = 24
@@ -169,6 +172,7 @@ SURVEY_SECTIONS = {
     "Shopping Preference": "**Shopping Preferences:**",
     "Personality": "**Personality:**",
 }
+# Headings of a survey text.
 SURVEY_TITLE = "### Survey Information"
 RAW_SURVEY_HEADING = "**Survey Data:**"
 

@@ -46,13 +46,13 @@ def review_histories(
     `reviews` (user_id, category, parent_asin, timestamp, rating, title, text, seq), `meta`
     (parent_asin, asin, title, brand, price text, main_category, seq), `five_core` (user_id,
     category, seq). All categories run in one job. There are at most `target_users` users per
-    category and `per_user` reviews per user, whatever the size of the files, so these sides
-    are broadcast: neither reviews nor metadata are shuffled before they are cut down. With
-    groups that small, held-out rows and splits are windows over what is left. What is kept is
+    category and `per_user` reviews per user, whatever the size of the files; Spark measures these
+    sides and broadcasts them unless categories are very many, so neither reviews nor metadata are
+    shuffled before they are cut down. With groups that small, held-out rows and splits are windows over what is left. What is kept is
     written once, so that looking up its products does not scan the reviews again.
     """
     chosen = first_distinct(five_core, "category", "user_id", "seq", target_users)
-    users = F.broadcast(chosen.select("category", "user_id"))
+    users = chosen.select("category", "user_id")
     own = reviews.join(users, ["category", "user_id"], "left_semi")
     full = full_groups(own, ["category", "user_id"], [F.col("seq")], per_user).drop("rn")
     kept = written(full, "kept_reviews")
@@ -63,7 +63,7 @@ def review_histories(
         .withColumn("role", F.when(F.row_number().over(newest) == 1, "heldout").otherwise("history"))
         .withColumn("split", split_name(index, cuts))
     )
-    products = products_from_meta(meta, F.broadcast(kept.select("parent_asin").distinct()))
+    products = products_from_meta(meta, kept.select("parent_asin").distinct())
     return with_excerpt(marked, "text", "review_excerpt").join(products, "parent_asin", "left")
 
 

@@ -6,6 +6,8 @@ list, value. Within one update removals come before additions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,43 @@ def merge(log: DataFrame) -> DataFrame:
     return first.select(*ENTRY, "_at.seq", "_at.pos")
 
 
+STATE = "product string, list string, value string, removed long, seq long, pos int, seen long"
+
+
+def advance(state: DataFrame, log: DataFrame) -> DataFrame:
+    """The rows of a saved state that a new log changes or adds; only these need to be written.
+
+    The state has one row per entry that any update named: its last removal (`removed`), the place
+    of its first addition since then (`seq`, `pos`, null while it is gone) and the last update that
+    named it (`seen`). The updates of `log` come after all that the state has seen, and no update
+    is split between two logs; else this is an error, since additions past the first are not kept.
+    """
+    told = log.filter(F.col("op").isin("add", "remove"))
+    if not told.join(state.agg(F.max("seen").alias("_last")), F.col("seq") <= F.col("_last")).isEmpty():
+        raise ValueError("the log holds updates that the state has already seen")
+    removal = F.when(F.col("op") == "remove", F.col("seq"))
+    named = told.groupBy(*ENTRY).agg(F.max(removal).alias("_removed"), F.max("seq").alias("_seen"))
+    came = merge(told).select(*ENTRY, F.col("seq").alias("_seq"), F.col("pos").alias("_pos"))
+    new, old, again = named.alias("n"), state.alias("s"), came.alias("a")
+
+    def same(left: str, right: str):
+        return reduce(lambda x, y: x & y, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in ENTRY])
+
+    stays = F.col("_removed").isNull() & F.col("s.seq").isNotNull()
+    return new.join(old, same("n", "s"), "left").join(again, same("n", "a"), "left").select(
+        *[F.col(f"n.{c}") for c in ENTRY],
+        F.coalesce("_removed", "removed").cast("long").alias("removed"),
+        F.when(stays, F.col("s.seq")).otherwise(F.col("_seq")).cast("long").alias("seq"),
+        F.when(stays, F.col("s.pos")).otherwise(F.col("_pos")).cast("int").alias("pos"),
+        F.col("_seen").cast("long").alias("seen"),
+    )
+
+
+def entries_of(state: DataFrame) -> DataFrame:
+    """The entries that are there, as `merge` over the whole log gives them."""
+    return state.filter(F.col("seq").isNotNull()).select(*ENTRY, "seq", "pos")
+
+
 def with_new_products(products: DataFrame, mentioned: DataFrame) -> DataFrame:
     """Known products as they are, and mentioned ones that are new, as `researching`."""
     fresh = mentioned.select("product").distinct().join(products, "product", "left_anti")

@@ -11,6 +11,8 @@ from histloom import constants as K
 from histloom.functions.text import first_nonempty
 from histloom.operators.skew import PAGE_ROWS, first_per_group, lookup_join, nest
 
+PREFIX_PARTS = 128
+
 
 def named_posts(posts: DataFrame) -> DataFrame:
     """Posts with a known author and community."""
@@ -76,18 +78,21 @@ def corpus(
 ) -> DataFrame:
     """The texts of each group in order, joined and cut to `max_chars` characters.
 
-    `order` is unique within a group. Each text adds at least the separator, so the first
-    `max_chars` + 1 texts decide the result. Their lengths alone are ranked and added up, and
-    texts are only fetched, cut, up to where the result is full.
+    `order` is unique within a group. A text belongs to the result if the texts before it do not
+    fill it yet (one that only brings the last separator counts). That can be asked of any part of a group: what the part's own texts before it fill
+    is out for good. So a group is cut by hash into PREFIX_PARTS parts, each keeps its own prefix,
+    and the prefixes are merged the same way; a group of any size brings no more than a full result
+    per part to one task, and the texts are read once.
     """
     cut = F.left(F.coalesce(F.col(text), F.lit("")), F.lit(max_chars))
-    lengths = df.select(*keys, *order, F.length(cut).alias("_len"))
-    first = first_per_group(lengths, keys, [F.col(o) for o in order], max_chars + 1, "_rn")
-    so_far = Window.partitionBy(*keys).orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("_len") + len(sep)).over(so_far), F.lit(0))
-    wanted = first.withColumn("_before", before).filter(F.col("_before") < max_chars).select(*keys, *order, "_rn")
-    rows = df.select(*keys, *order, cut.alias("_t")).join(wanted, [*keys, *order])
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_rn", "_t"))).alias("_all")).select(
+    part = F.pmod(F.xxhash64(*order), F.lit(PREFIX_PARTS)).cast("int")
+    pieces = df.select(*keys, *order, cut.alias("_t"), part.alias("_p"))
+    for by in ([*keys, "_p"], [*keys]):
+        so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum(F.length("_t") + len(sep)).over(so_far), F.lit(0))
+        pieces = pieces.withColumn("_before", before).filter(F.col("_before") < max_chars + len(sep)).drop("_before")
+    item = F.struct(F.struct(*order).alias("_o"), "_t")
+    return pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all")).select(
         *keys,
         F.left(F.concat_ws(sep, F.transform("_all", lambda x: x["_t"])), F.lit(max_chars)).alias("corpus"),
     )

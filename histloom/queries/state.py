@@ -22,6 +22,7 @@ from histloom.queries.interactions import ACTIONS_SQL
 from histloom.queries.registry import query, table, texts
 from histloom.session import scratch_path, written
 from histloom.sources import readers as I
+from histloom.sources import versions as N
 from histloom.sources import writers as O
 
 
@@ -56,6 +57,20 @@ def knowledge_merge(spark, sf):
     return G.merge(log(spark, sf))
 
 
+@query("knowledge_batches", f"with {LOG_SQL} select product, list, value, seq, pos from merged")
+def knowledge_batches(spark, sf):
+    """The log in three runs of updates, each on top of the saved state of the runs before."""
+    updates = written(log(spark, sf), "log")
+    last = updates.agg(F.max("seq")).first()[0] or 0
+    root = scratch_path(spark, "knowledge")
+    for i in range(3):
+        low, high = last * i // 3, last * (i + 1) // 3
+        batch = updates.filter((F.col("seq") > low if i else F.lit(True)) & (F.col("seq") <= high))
+        state = N.read_version(spark, root, G.STATE, G.ENTRY)
+        N.upsert(G.advance(state, batch), root, F.col("product"))
+    return G.entries_of(N.read_version(spark, root, G.STATE, G.ENTRY))
+
+
 @query(
     "knowledge_lists",
     f"with {LOG_SQL} select product, list, string_agg(value, ',' order by seq, pos) as \"values\" from merged group by product, list",
@@ -508,6 +523,31 @@ def scan_cache(spark, sf):
     return I.read_cache(spark, new).select("date", F.col("vector")["POWER"].alias("power"))
 
 
+@query(
+    "cache_versions",
+    """with days as (select distinct ts::DATE as date from events)
+    select 'first' reader, date, 0.25::DOUBLE power from days where month(date) < 11
+    union all select 'second', date, case when day(date) % 3 = 0 then day(date) / 31 else 0.25 end::DOUBLE from days
+    where day(date) % 3 = 0 or month(date) < 11""",
+)
+def cache_versions(spark, sf):
+    """A cache in versions: filled up to October, updated for every third day, and updated and
+    merged again. The first reader was there before the second update and keeps its version."""
+    root, month = scratch_path(spark, "cache"), F.date_format("date", "yyyy-MM")
+    days = table(spark, sf, "events").select(F.to_date("ts").alias("date")).distinct()
+    power = lambda x: F.create_map(F.lit("POWER"), x).alias("vector")
+    N.upsert(days.filter(F.month("date") < 11).select("date", power(F.lit(0.25))), root, month)
+    first = N.read_version(spark, root, I.CACHE, ["date"])
+    third = days.filter(F.dayofmonth("date") % 3 == 0)
+    N.upsert(third.select("date", power(F.lit(0.75))), root, month)
+    N.upsert(third.select("date", power(F.dayofmonth("date") / 31.0)), root, month)
+    N.compact(spark, root, I.CACHE, ["date"], month, most_deltas=2)
+    second = N.read_version(spark, root, I.CACHE, ["date"])
+    return merged(
+        [df.select(F.lit(name).alias("reader"), "date", F.col("vector")["POWER"].alias("power")) for name, df in (("first", first), ("second", second))]
+    )
+
+
 @query("sink_split_json", "select c_custkey, c_nationkey category, case when c_custkey % 10 = 0 then 'val' else 'train' end split from customer")
 def sink_split_json(spark, sf):
     path = scratch_path(spark, "splits")

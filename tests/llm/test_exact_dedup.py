@@ -60,3 +60,18 @@ def test_merging_never_shuffles_by_digest_alone(docs):
     plan = exact_dedup.merge_runs(exact_dedup.leaf_runs(exact_dedup.digest_rows(docs)))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning(run") == 1 + exact_dedup.RUN_BITS // exact_dedup.ROUND_BITS
+
+
+def test_every_round_merges_in_sorted_order(docs):
+    merged = exact_dedup.merge_runs(exact_dedup.leaf_runs(exact_dedup.digest_rows(docs)))
+    merged.collect()
+    plan = merged._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    rounds = exact_dedup.RUN_BITS // exact_dedup.ROUND_BITS
+    sorts = re.findall(r"Sort \[run#\d+ ASC[^,]*, slice#\d+ ASC[^,]*, digest#\d+ ASC[^,]*, proof#\d+ ASC[^,]*, keep_id#", plan)
+    assert len(sorts) == rounds and len(re.findall(r"[-+ ]Window \[", plan)) == rounds
+
+
+def test_runs_grow_with_the_table_and_answers_do_not_change(docs, monkeypatch):
+    assert [exact_dedup.run_bits(n) for n in (0, 1 << 24, (1 << 24) + 256, 1 << 28, 10**10)] == [8, 8, 12, 12, 20]
+    monkeypatch.setattr(exact_dedup, "run_bits", lambda rows: 16)
+    assert sorted(map(tuple, exact_dedup.exact_classes(docs).collect()), key=str) == plain(ROWS)

@@ -2,8 +2,8 @@
 
 A source's weight is its share of all tokens to the power of an exponent, normalised: 1 keeps
 the shares, 0 makes all sources equal. The exponent is found by section: the smallest one that
-keeps the entropy of the weights at or below a target, or the repetition of every source at or
-below a limit. Weights become token budgets, and a budget becomes whole passes over the source
+keeps the entropy of the weights at or below a target (above 1 where the shares' own entropy is
+higher), or the repetition of every source at or below a limit. Weights become token budgets, and a budget becomes whole passes over the source
 and a last pass that stops where the budget ends. Every pass has its own pseudo-random order:
 blocks by the first digits of a digest, and rows by the rest of it. Only the block in which a
 budget ends is looked at row by row, so a source with a third of all rows is never in one task.
@@ -25,6 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_DIGITS = 3
 #: Exponents that one pass over the sources tries, and how often the section is repeated.
 SECTIONS, PASSES = 64, 8
+#: The largest exponent that is looked at for a target entropy.
+MOST_EXPONENT = 16.0
 
 
 def token_count(text: Column) -> Column:
@@ -43,11 +45,15 @@ def place(id_col: Column, epoch: Column, seed: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), epoch.cast("string"), name))
 
 
-def _section(holds: Callable[[list[float]], list[bool]]) -> float:
-    """The smallest exponent in 0 to 1 for which `holds`, given that all larger ones do, too."""
+def _section(holds: Callable[[list[float]], list[bool]], most: float) -> float:
+    """The smallest exponent in 0 to `most` for which `holds`, given that all larger ones do, too."""
     if holds([0.0])[0]:
         return 0.0
     low, high = 0.0, 1.0
+    while not holds([high])[0]:
+        if high >= most:
+            raise ValueError(f"no exponent up to {most:g} meets the target")
+        low, high = high, 2 * high
     for _ in range(PASSES):
         tries = [low + (high - low) * i / SECTIONS for i in range(1, SECTIONS)]
         first = next((i for i, ok in enumerate(holds(tries)) if ok), len(tries))
@@ -63,7 +69,9 @@ def exponent(
     """The exponent for `sources` (share, null where there are no tokens).
 
     `target_entropy` is in bits; a target above the highest possible gives 0, one below the
-    entropy of the shares themselves gives 1. `max_repeats` limits how often a row of any source
+    entropy of the shares themselves an exponent above 1, and one that no exponent up to
+    MOST_EXPONENT meets is an error, as is a `budget` that repeats all rows more often than
+    `max_repeats` on average. `max_repeats` limits how often a row of any source
     comes, with `budget` tokens in all, or else with the smallest budget that takes every source
     once.
     """
@@ -87,9 +95,12 @@ def exponent(
     def rare_enough(tries: list[float]) -> list[bool]:
         if budget is None:
             return [(least / most) ** (a - 1) <= max_repeats for a in tries]
-        return [least ** (a - 1) / z * budget / total <= max_repeats for a, (z, _) in zip(tries, sums(tries))]
+        most_often = max_repeats * (1 + 1e-12)  # shares add up to 1 but for rounding
+        return [least ** (a - 1) / z * budget / total <= most_often for a, (z, _) in zip(tries, sums(tries))]
 
-    return _section(low_enough if target_entropy is not None else rare_enough)
+    if target_entropy is not None:
+        return _section(low_enough, MOST_EXPONENT)
+    return _section(rare_enough, 1.0)
 
 
 def source_plan(

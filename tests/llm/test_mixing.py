@@ -79,7 +79,7 @@ def test_given_budget(spark, budget, repeats):
     assert got == plain_mix(ROWS, exponent, budget)
 
 
-@pytest.mark.parametrize("bits", [0.5, 2.0, 2.3, 9.0])
+@pytest.mark.parametrize("bits", [0.5, 1.9, 2.0, 2.3, 9.0])
 def test_target_entropy(spark, bits):
     def entropy(a):
         p = [t**a for t in plain_budgets(ROWS, 1.0)[0].values() if t]
@@ -87,13 +87,26 @@ def test_target_entropy(spark, bits):
 
     rows = table(spark, ROWS).groupBy("source").agg(F.sum(mixing.token_count(F.col("text"))).alias("tokens"))
     everything = sum(tokens(t) for _, _, t in ROWS)
-    a = mixing.exponent(rows.withColumn("share", F.when(F.col("tokens") > 0, F.col("tokens") / everything)), target_entropy=bits)
-    if entropy(1.0) >= bits:
-        assert a == 1.0
-    elif entropy(0.0) <= bits:
+    rows = rows.withColumn("share", F.when(F.col("tokens") > 0, F.col("tokens") / everything))
+    if entropy(mixing.MOST_EXPONENT) > bits:
+        with pytest.raises(ValueError, match="no exponent"):
+            mixing.exponent(rows, target_entropy=bits)
+        return
+    a = mixing.exponent(rows, target_entropy=bits)
+    if entropy(0.0) <= bits:
         assert a == 0.0
     else:
         assert abs(entropy(a) - bits) < 1e-9
+        assert (a > 1) == (entropy(1.0) > bits)
+
+
+def test_targets_that_nothing_meets(spark):
+    equal = spark.createDataFrame([("a", 5, 0.5), ("b", 5, 0.5)], "source string, tokens long, share double")
+    with pytest.raises(ValueError, match="no exponent"):
+        mixing.exponent(equal, target_entropy=0.5)
+    with pytest.raises(ValueError, match="no exponent"):
+        mixing.exponent(equal, max_repeats=2.0, budget=21)
+    assert mixing.exponent(equal, max_repeats=2.0, budget=20) == 0.0
 
 
 def test_odd_tables(spark):

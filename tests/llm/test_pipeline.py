@@ -105,3 +105,14 @@ def test_odd_rows_and_empty_table(spark):
     kept = set(ids(tables[-2]))
     assert kept == {1, 3, None, 5}
     assert all(t.count() == 0 for t in run_stages(spark, docs.limit(0), sf))
+
+
+def test_near_copies_are_named_by_id_and_text(spark):
+    """Of two texts with one id only the near copy goes; of two near copies with one id one stays."""
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, text), (2, text + " more"), (2, "another text that nothing else is like at all"), (7, "x " + text[::-1]), (7, "y " + text[::-1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 as _row", "0 as _drop_id", "0 as _drop_digest")
+    got = pipeline.near_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted((r["doc_id"], r["text"][:7]) for r in got.collect())
+    assert kept[:2] == [(1, "w0 w1 w"), (2, "another")] and len(kept) == 3 and kept[2][0] == 7

@@ -39,10 +39,17 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row stays of each group of near copies (five-word shingles, similarity of 0.8 or
-    more), that with the smallest id. Rows without words or id are no copies and stay."""
-    classes = chosen_path.near_classes(docs)
-    dropped = classes.filter(~F.col("kept")).select(F.col("doc_id").alias("_drop_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_drop_id"], "left_anti")
+    more), that with the smallest id. Rows without words or id are no copies and stay. Rows are
+    named by id and text: of two texts with one id only that goes which is a near copy, and of two
+    near copies with one id one stays."""
+    key = free_name(docs, "_row")
+    digest = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
+    name = F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].alias("id"), digest.alias("digest"))
+    classes = chosen_path.near_classes(docs.withColumn(key, name), id_col=key)
+    gone = classes.filter(~F.col("kept") & ~F.col(f"{key}.none"))
+    dropped = gone.select(F.col(f"{key}.id").alias("_drop_id"), F.col(f"{key}.digest").alias("_drop_digest")).distinct()
+    same = (docs["doc_id"] == dropped["_drop_id"]) & (digest == dropped["_drop_digest"])
+    return docs.join(dropped, same, "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

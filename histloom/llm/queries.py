@@ -67,11 +67,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "op5_url_trust",
-    sql.url_trust(URL_RULES, url_trust.MASS, url_trust.ROUNDS, url_trust.DAMPING_PERCENT),
+    sql.url_trust(URL_RULES, url_trust.DAMPING_PERCENT, url_trust.TIE),
 )
 def op5_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_trust.rule_table(spark, URL_RULES)
-    return url_trust.judge(_table(spark, sf_dir, "pages"), rules)
+    judged = url_trust.judge(_table(spark, sf_dir, "pages"), rules)
+    reached = [(F.col(kind) > 0).alias(f"{kind}ed") for kind in ("trust", "distrust")]
+    return judged.select("page_id", "host", "path", "rule", "verdict", *reached)
 
 
 @_query("op7_chosen_path")

@@ -13,24 +13,14 @@ from t window g as (partition by text_sha256)
 """
 
 
-def url_trust(rules, mass: int, rounds: int, damping: int) -> str:
-    """Rules by longest fit, then trust and distrust over host edges, round by round."""
+def url_trust(rules, damping: int, tie: float, rounds: int = 200) -> str:
+    """Rules by longest fit, then the walks of trust and distrust over host edges; what is left
+    after `rounds` is far below `tie`."""
     values = ", ".join(
         f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}', '{r}')" for v, r in rules
     )
-    steps = "".join(
-        f"""
-, s{i} as materialized (
-    select kind, host, sum(mass)::bigint as mass from (
-        select m.kind, m."to" as host, ((s.mass * m.weight // m.total) * {damping}) // 100 as mass
-        from moves m join s{i - 1} s on m.kind = s.kind and m.host = s.host
-        union all select kind, host, (mass * {100 - damping}) // 100 from s0
-    ) group by all
-)"""
-        for i in range(1, rounds + 1)
-    )
     return rf"""
-with rules(rule_host, rule_path, verdict, rule) as (values {values}),
+with recursive rules(rule_host, rule_path, verdict, rule) as (values {values}),
 u as (
     select page_id, coalesce(html, '') as html,
            case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest
@@ -75,19 +65,21 @@ counts as (
     select case when rule_verdict = 'allow' then 'trust' else 'distrust' end as kind, host, count(*) as n
     from judged where rule_verdict is not null and host <> '' group by all
 ),
-s0 as materialized (
-    select kind, host, (n * {mass} // (sum(n) over (partition by kind))::bigint)::bigint as mass from counts
-)
-{steps},
+walk(i, kind, host, mass) as (
+    select 0, kind, host, n::double / sum(n) over (partition by kind) from counts
+    union all
+    select w.i + 1, w.kind, m."to", sum(w.mass * m.weight / m.total * {damping} / 100)
+    from walk w join moves m on w.kind = m.kind and w.host = m.host where w.i < {rounds} group by all
+),
 m as (
-    select host, sum(case when kind = 'trust' then mass else 0 end)::bigint as trust,
-           sum(case when kind = 'distrust' then mass else 0 end)::bigint as distrust
-    from s{rounds} group by host
-)
+    select host, sum(mass) filter (kind = 'trust') as trust, sum(mass) filter (kind = 'distrust') as distrust
+    from walk group by host
+),
+t as (select host, coalesce(trust, 0) as trust, coalesce(distrust, 0) as distrust from m)
 select j.page_id, j.host, j.path, j.rule,
-       coalesce(j.rule_verdict, case when coalesce(distrust, 0) > coalesce(trust, 0) then 'block' else 'allow' end) as verdict,
-       coalesce(trust, 0) as trust, coalesce(distrust, 0) as distrust
-from judged j left join m on j.host = m.host
+       coalesce(j.rule_verdict, case when distrust - trust > {tie} * (distrust + trust) then 'block' else 'allow' end) as verdict,
+       coalesce(trust > 0, false) as trusted, coalesce(distrust > 0, false) as distrusted
+from judged j left join t on j.host = t.host
 """
 
 

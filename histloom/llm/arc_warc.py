@@ -3,8 +3,8 @@
 ARC files start with a version block; its version says which fields the header line of each
 record has, and the last field is the length of what follows. The converter reads by these
 declared lengths and makes the equivalent WARC record: identifier, timestamp, type and digests.
-Archives are written by Spark's text writer, whose line separator is the end of a WARC record,
-and read as whole files of a bounded number of records, so any store that Spark knows will do.
+Archives are written by Spark's text writer, one archive a row, whose line separator is the end of
+its last WARC record, and read as whole files of bounded size, so any store that Spark knows will do.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,9 +31,11 @@ ARC_FIELDS = {
        "Archive-length".split(),
 }
 RECORD_END = b"\r\n\r\n"
-#: Records in one archive that this module writes, at most.
-RECORDS_PER_ARCHIVE = 4096
+#: An archive ends with the record that brings it to this many bytes before compression, so it is
+#: larger by less than one record.
+ARCHIVE_BYTES = 16 << 20
 ROWS_AT_ONCE = 64
+ROWS_PER_BATCH = 4096
 #: ARC files made from tables without a date say this.
 NO_DATE = "19700101000000"
 
@@ -190,8 +193,23 @@ def archive_of(pages: list[tuple[str | None, str | None, bytes]], version: int)
     return arc_start(version) + b"".join(page_to_arc(*page, version) for page in pages)
 
 
-def pages_to_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """`record`: one WARC record per page, by way of ARC archives of both versions.
+def in_archives(records: Iterator[bytes], archive_bytes: int) -> Iterator[bytes]:
+    """Records joined to archives without the end of their last record."""
+    part, size = [], 0
+    for record in records:
+        part.append(record)
+        size += len(record) + len(RECORD_END)
+        if size >= archive_bytes:
+            yield RECORD_END.join(part)
+            part, size = [], 0
+    if part:
+        yield RECORD_END.join(part)
+
+
+def pages_to_archives(
+    pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int, archive_bytes: int = ARCHIVE_BYTES
+) -> DataFrame:
+    """`archive`: the WARC records of many pages, made by way of ARC archives of both versions.
 
     Of pages with the same payload, of at least `min_bytes`, the one with the smallest id is a
     response and the others revisit it. Payloads are compared by SHA-1 and length.
@@ -212,7 +230,7 @@ def pages_to_records(pages: DataFrame, id_col: str, url_col: str, html_col: str,
         F.when(~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first").cast("string")).alias("_first"),
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         version = 1
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
@@ -220,23 +238,25 @@ def pages_to_records(pages: DataFrame, id_col: str, url_col: str, html_col: str,
                 ids, urls, html, firsts = (part.column(i).to_pylist() for i in range(4))
                 arc = parse_arc(archive_of(list(zip(ids, urls, html)), version))
                 next(arc)  # the version block
-                out = []
                 for record, name, first in zip(arc, ids, firsts, strict=True):
                     refers = first and record_id(first, sha1_base32(http_parts(record.content)[1]))
-                    out.append(convert(record, str(name), refers))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                    yield convert(record, str(name), refers)
                 version = 3 - version
 
-    return named.mapInArrow(run, "record binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for archive in in_archives(records(batches), archive_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], names=["archive"])
+
+    return named.mapInArrow(run, "archive binary")
 
 
-def write_archives(records: DataFrame, path: str, records_per_archive: int = RECORDS_PER_ARCHIVE) -> None:
-    """Write `record` as gzipped WARC files."""
+def write_archives(archives: DataFrame, path: str) -> None:
+    """Write each row of `archive` as a gzipped WARC file."""
     (
-        records.select(F.col("record").cast("string"))
+        archives.select(F.col("archive").cast("string"))
         .write.option("lineSep", RECORD_END.decode())
         .option("compression", "gzip")
-        .option("maxRecordsPerFile", records_per_archive)
+        .option("maxRecordsPerFile", 1)
         .text(path)
     )
 
@@ -295,8 +315,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0).to_pylist():
-                rows = [row(f, b) for f, b in parse_warc(_plain(content)) if f["WARC-Type"] in ("response", "revisit")]
-                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+                found = (row(f, b) for f, b in parse_warc(_plain(content)) if f["WARC-Type"] in ("response", "revisit"))
+                while rows := list(islice(found, ROWS_PER_BATCH)):
+                    yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     return _files(spark, path).mapInArrow(run, schema)
 
@@ -316,7 +337,7 @@ def with_targets(rows: DataFrame, id_type: str | Column = "long") -> DataFrame:
 
 def archive_round_trip(
     pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url",
-    html_col: str = "html", min_bytes: int = 0,
+    html_col: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES,
 ) -> DataFrame:
     """Write pages as WARC files to `path` (by default a new one in the shared folder) and read
     them back: see `read_archives` and `with_targets`.
@@ -328,5 +349,5 @@ def archive_round_trip(
     """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
-    write_archives(pages_to_records(pages, id_col, url_col, html_col, min_bytes), path)
+    write_archives(pages_to_archives(pages, id_col, url_col, html_col, min_bytes, archive_bytes), path)
     return with_targets(read_archives(spark, path), pages.select(id_col).schema[0].dataType.simpleString())

@@ -2,7 +2,7 @@
 
 Training reads a bounded, hash-chosen sample of the labelled rows, cut into shards that are
 trained in parallel, each with per-coordinate rates and an L1 penalty that keeps most weights
-at exactly zero; the shards' weights are then averaged. What is left is a short list of feature
+at exactly zero; the shards' weights are then averaged. Rows and bytes of a shard are bounded. What is left is a short list of feature
 numbers and weights, at most 2**FEATURE_BITS long, which every scoring task gets.
 
 Texts are hashed as bytes, whole, without making a string per word.
@@ -10,6 +10,7 @@ Texts are hashed as bytes, whole, without making a string per word.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,9 @@ BIAS = 1 << FEATURE_BITS
 GAPS = (0, 1, 2)
 #: At most about this many labelled rows are used to fit the model.
 MAX_FIT_ROWS = 40_000
+#: A shard has about so many rows, or fewer if their texts are longer.
 ROWS_PER_SHARD = 8_000
+BYTES_PER_SHARD = 128 << 20
 TEXTS_AT_ONCE = 256
 #: Beyond this, the logistic function is 0 or 1 to the last digit that matters.
 FAR = 35.0
@@ -104,6 +107,11 @@ def held_out(id_col: str | Column = "doc_id", folds: int = 4, fold: int = 2) ->
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def _share_of(number: Column, share: float) -> Column:
+    """True for about `share` of all hashes, and always from a share of 1 on."""
+    return F.pmod(number, F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000)
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -115,9 +123,11 @@ def fit(
 ) -> dict[int, float]:
     """The weights by feature number, learned from the labelled rows that are not held out.
 
-    With more than `max_rows` such rows, about that many are used, chosen by a hash of the id.
-    Rows without id, label or text teach nothing. An id with several labels counts as toxic if
-    one of them says so. Without a toxic row to learn from, every score is 0.
+    With more than `max_rows` such ids, about that many are used, chosen by a hash of the id; if
+    these ids stand in more rows than that, about `max_rows` of the rows, chosen by a hash of id and
+    text. Rows with the same id and text count once. Rows without id, label or text teach nothing.
+    An id with several labels counts as toxic if one of them says so. Without a toxic row to learn
+    from, every score is 0.
     """
     known = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
@@ -128,13 +138,15 @@ def fit(
     total, toxic = known.agg(F.count(F.lit(1)), F.sum("_y")).first()
     if not toxic:
         return {BIAS: -FAR}
-    share = min(1.0, max_rows / total) if total else 1.0
-    shards = max(1, round(total * share / ROWS_PER_SHARD))
-    spread = F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(1_000_000))
-    chosen = known.filter(spread < int(share * 1_000_000)) if share < 1 else known
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = texts.filter(F.col("_text").isNotNull()).join(F.broadcast(chosen), "_id")  # max_rows ids
-    shard = F.pmod(F.xxhash64(F.lit("shard"), "_id"), F.lit(shards)).cast("int")
+    chosen = known.filter(_share_of(F.xxhash64(F.lit("fit"), "_id"), max_rows / total))
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    rows = texts.filter(F.col("_text").isNotNull()).join(F.broadcast(chosen), "_id")  # about max_rows ids
+    rows = rows.withColumn("_hash", F.xxhash64(F.lit("row"), "_id", "_text"))
+    found, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("_text"))).first()
+    share = min(1.0, max_rows / max(1, found))
+    rows = rows.filter(_share_of(F.col("_hash"), share)).dropDuplicates(["_id", "_hash"])
+    shards = max(1, round(found * share / ROWS_PER_SHARD), math.ceil((size or 0) * share / BYTES_PER_SHARD))
+    shard = F.pmod(F.xxhash64(F.lit("shard"), "_hash"), F.lit(shards)).cast("int")
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["_id", "_text"])

@@ -73,12 +73,23 @@ def test_round_trip(spark, tmp_path, monkeypatch, min_bytes):
         assert gzip.decompress(path.read_bytes()).startswith(b"WARC/1.1\r\n")
 
 
-def test_archives_hold_a_bounded_number_of_records(spark, tmp_path):
-    docs = spark.range(50).selectExpr("id as page_id", "'http://a.org/' as url", "concat('text ', id) as html").coalesce(1)
-    records = arc_warc.pages_to_records(docs, "page_id", "url", "html", 0)
-    arc_warc.write_archives(records, str(tmp_path / "w"), records_per_archive=20)
-    assert len(list((tmp_path / "w").glob("*.gz"))) == 3
-    assert arc_warc.read_archives(spark, str(tmp_path / "w")).count() == 50
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    """Small pages share archives; a page above the bound ends its archive, whole."""
+    html = "case when id % 10 = 3 then repeat('long ', 8000) else concat('text ', id) end as html"
+    docs = spark.range(50).selectExpr("id as page_id", "'http://a.org/' as url", html).coalesce(1)
+    got = arc_warc.archive_round_trip(docs, str(tmp_path / "w"), archive_bytes=10_000).collect()
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "w").glob("*.gz")]
+    # one of the five long pages is a response, the others revisit it
+    assert len(sizes) >= 4 and sum(n > 20_000 for n in sizes) == 1 and max(sizes) < 10_000 + 42_000
+    assert len(got) == 50 and all(r["valid"] for r in got)
+    assert sorted(r["payload_bytes"] for r in got)[-5:] == [40_000] * 5
+
+
+def test_batches_of_rows_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arc_warc, "ROWS_PER_BATCH", 7)
+    docs = spark.range(50).selectExpr("id as page_id", "'http://a.org/' as url", "concat('text ', id) as html")
+    got = arc_warc.archive_round_trip(docs, str(tmp_path / "w")).collect()
+    assert sorted(r["page_id"] for r in got) == list(range(50))
 
 
 def test_reads_arc_files(spark, tmp_path):

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -65,6 +66,74 @@ def test_finds_toxic_texts_it_has_not_seen(spark):
     assert sum(r["predicted"] for r in clean) <= 0.01 * len(clean)
 
 
+def plain_ftrl(rows, labels, model, seed):
+    """The same learner with a dictionary per state and one coordinate at a time."""
+    seen = {}
+    for x in rows:
+        for f in x:
+            seen[f] = seen.get(f, 0) + 1
+    z, n = {}, {}
+
+    def weight(f):
+        bound = 0.0 if f == toxicity.BIAS else model.l1
+        if abs(z.get(f, 0.0)) <= bound:
+            return 0.0
+        sign = 1.0 if z[f] > 0 else -1.0
+        return -(z[f] - sign * bound) / ((model.beta + n.get(f, 0.0) ** 0.5) / model.alpha + model.l2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(model.passes):
+        for i in order.permutation(len(rows)):
+            x = [f for f in rows[i] if seen[f] >= model.min_rows] + [toxicity.BIAS]
+            now = {f: weight(f) for f in x}
+            g = 1 / (1 + math.exp(-sum(now.values()))) - labels[i]
+            for f in x:
+                old = n.get(f, 0.0)
+                sigma = ((old + g * g) ** 0.5 - old**0.5) / model.alpha
+                z[f] = z.get(f, 0.0) + g - sigma * now[f]
+                n[f] = old + g * g
+    return {f: w for f in z if (w := weight(f)) != 0.0}
+
+
+@pytest.mark.parametrize("model", [toxicity.Ftrl(), toxicity.Ftrl(alpha=0.3, l1=0.5, l2=0.2, passes=2, min_rows=1)])
+def test_weights_are_those_of_the_plain_learner(model):
+    draw = np.random.default_rng(3)
+    rows = [np.unique(draw.integers(0, 60, draw.integers(0, 20))).astype(np.int32) for _ in range(400)]
+    labels = np.array([float(len(np.intersect1d(x, [3, 7, 11])) > 0) for x in rows])
+    keys, weights = model.fit(rows, labels, seed=5)
+    want = plain_ftrl([x.tolist() for x in rows], labels, model, seed=5)
+    assert set(keys.tolist()) == set(want) and 3 < len(want) <= 61
+    assert all(w == pytest.approx(want[k], rel=1e-9) for k, w in zip(keys.tolist(), weights))
+
+
+def test_scores_are_sums_of_weights(spark):
+    weights = {toxicity.BIAS: -0.5} | {k: 0.01 * (i + 1) for i, k in enumerate(np.unique(toxicity.features(pa.array(["a b c a b", "x y"]))[1]).tolist())}
+    docs = spark.createDataFrame([(1, "a b c a b"), (2, "x y"), (3, "q"), (4, None)], "doc_id long, text string")
+    for r in toxicity.score(docs, weights).join(docs, "doc_id").collect():
+        keys = set(toxicity.features(pa.array([r["text"] or ""]))[1].tolist())
+        want = -0.5 + sum(weights.get(k, 0.0) for k in keys)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-want)), rel=1e-12)
+
+
+def test_a_labelled_id_of_many_rows_is_bounded(spark, monkeypatch):
+    """Rows of one id, copies among them, do not fill a shard; copies teach as one row does."""
+    docs = spark.range(3_000).selectExpr("case when id < 2000 then 1 else id end as doc_id", "concat('bad w', id % 1500) as text")
+    labels = docs.selectExpr("doc_id", "case when doc_id = 1 then 1 else 0 end as toxic").distinct()
+
+    class Seen(toxicity.Ftrl):
+        def fit(self, rows, labels, seed):
+            return np.array([seed]), np.array([float(len(rows))])
+
+    monkeypatch.setattr(toxicity, "ROWS_PER_SHARD", 100)
+    got = toxicity.fit(docs, labels, model=Seen(), max_rows=400)
+    rows = sum(got.values()) * len(got)  # means over the shards
+    assert len(got) >= 3 and 200 < rows < 500
+    monkeypatch.setattr(toxicity, "BYTES_PER_SHARD", 400)
+    assert len(toxicity.fit(docs, labels, model=Seen(), max_rows=400)) > len(got)
+    one = docs.limit(1).selectExpr("1L as doc_id", "text")
+    assert toxicity.fit(one.union(one).union(one), labels, model=Seen()) == toxicity.fit(one, labels, model=Seen())
+
+
 def test_held_out_labels_and_other_columns_change_nothing(spark):
     sf = SF.replace("0.1", "0.01")
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))

@@ -71,7 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op5_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_trust.rule_table(spark, URL_RULES)
-    judged = url_trust.judge(_table(spark, sf_dir, "pages"), rules)
+    judged = url_trust.judge(_table(spark, sf_dir, "pages"), rules, precision=1.0)  # verdicts, no masses
     reached = [(F.col(kind) > 0).alias(f"{kind}ed") for kind in ("trust", "distrust")]
     return judged.select("page_id", "host", "path", "rule", "verdict", *reached)
 

@@ -61,9 +61,12 @@ def balanced(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
-def numbered_lines(spark: SparkSession, paths: Paths) -> DataFrame:
+def numbered_lines(spark: SparkSession, paths: Paths, by_folder: bool = False) -> DataFrame:
     """Lines of text files with their file and their line number from 1.
 
+    With `by_folder`, the files of a folder are the parts of one long file, in the order of their
+    names, and numbers run on from part to part.
+
     Two scans: the first counts the lines of each block that a task reads, and the sums of the
     blocks before go back to the scan tasks, which number their lines in place. No line is moved
     for its number. Up to `blocks.SENT_BLOCKS` blocks the sums are sent to all tasks; a larger
@@ -75,7 +78,8 @@ def numbered_lines(spark: SparkSession, paths: Paths) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.regexp_extract("file", "^.*/", 0) if by_folder else F.col("file")
+    before = Window.partitionBy(whole).orderBy("file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         raw.groupBy("file", "_block")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
@@ -117,9 +121,10 @@ def read_jsonl(spark: SparkSession, paths: Paths, schema: Schema) -> DataFrame:
     return parse_lines(spark.read.text(paths), schema)
 
 
-def read_ordered_jsonl(spark: SparkSession, paths: Paths, schema: Schema) -> DataFrame:
-    """Records of JSON-lines files with `file` and `line_number`, where file order matters."""
-    return parse_lines(numbered_lines(spark, paths), schema)
+def read_ordered_jsonl(spark: SparkSession, paths: Paths, schema: Schema, by_folder: bool = False) -> DataFrame:
+    """Records of JSON-lines files with `file` and `line_number`, where file order matters; with
+    `by_folder`, the files of a folder are read as one (see `numbered_lines`)."""
+    return parse_lines(numbered_lines(spark, paths, by_folder), schema)
 
 
 def read_many(spark: SparkSession, paths: list[str], schema: Schema) -> DataFrame:

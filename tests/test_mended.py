@@ -12,6 +12,7 @@ from histloom.operators import lookups as L
 from histloom.operators import ordering as O
 from histloom.plans import communities as C
 from histloom.plans import signals as S
+from histloom.queries.records import scan_ordered_jsonl
 from histloom.session import clear_loaded, load_once
 from histloom.sources import readers as I
 
@@ -169,3 +170,26 @@ def test_a_common_piece_is_no_key_beside_a_rare_one(spark):
     rules = spark.createDataFrame([("example.com/en/77", 8), ("example.com/fr/1", 8)], "_rule string, _size int")
     kept = W.rarest_pieces(urls, "url", rules).collect()
     assert [r["_rule"] for r in kept] == ["example.com/en/77"] and "77" in kept[0]["_gram"]
+
+
+def test_line_numbers_run_through_the_parts_of_a_status(spark, tmp_path):
+    """Numbers count all lines of a status, over ranges of keys and parts of a file."""
+    rows = [(k, k % 7, "OFP"[k % 3], "1995-03-05") for k in random.Random(5).sample(range(1, 90_000), 3000)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate string")
+    orders.withColumn("o_orderdate", F.to_date("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    held = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4k"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = scan_ordered_jsonl(spark, str(tmp_path))
+        assert len(found.inputFiles()) > 6
+        got = {(r.parent_asin, r.line_number) for r in found.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = set()
+    for status in "OFP":
+        keys = sorted(k for k, _, s, _ in rows if s == status)
+        want |= {(str(k), n) for n, k in enumerate(keys, 1) if k % 10}
+    assert got == want

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,11 +151,18 @@ def section_line(c: Column, heading: str) -> Column:
 
 
 def without_keyword_sentences(c: Column, keywords: Sequence[str], fallback: str) -> Column:
-    """Drop the sentences that contain a keyword; `fallback` if none is left."""
-    any_of = "|".join(re.escape(k) for k in keywords)
+    """Drop the sentences that contain a keyword; `fallback` if none is left.
+
+    Each sentence is lower-cased once and searched for plain keywords, and the sentences left are
+    read once: as none of them is blank, joined they are only empty if there is none.
+    """
     parts = F.split(c, f"(?<=[.!?])[{K.SPACE}]+")
-    kept = F.filter(parts, lambda s: (strip(s) != "") & ~F.lower(s).rlike(any_of))
-    return F.when(F.size(kept) > 0, F.concat_ws(" ", kept)).otherwise(F.lit(fallback))
+    both = F.transform(parts, lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
+
+    def free(p: Column) -> Column:
+        return reduce(lambda no, k: no & ~F.contains(p["low"], F.lit(k)), keywords, strip(p["s"]) != "")
+
+    return F.coalesce(F.nullif(F.concat_ws(" ", F.filter(both, free)["s"]), F.lit("")), F.lit(fallback))
 
 
 def product_text(title: Column, category: Column, brand: Column, price: Column) -> Column:

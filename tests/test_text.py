@@ -142,6 +142,17 @@ def test_keyword_sentences(spark):
     assert got == ["I buy shoes. Prices matter.", "fallback"]
 
 
+def test_keyword_sentences_are_found_once_by_plain_search(spark):
+    """The search is no alternation of all keywords, which compares each place with each of them,
+    and neither it nor the cut into sentences is in the plan twice."""
+    texts = [None, "", " ", "A. \n b! a.b", "Is it c++? No. It IS.", "c+ +. \u00c4 x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    out = df.select("i", T.without_keyword_sentences(F.col("t"), ["c++", "a.b", "\u00e4 X".lower()], "-").alias("o"))
+    assert [r.o for r in out.orderBy("i").collect()] == ["-", "-", "-", "A. b!", "No. It IS.", "c+ +."]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rlike" not in plan and plan.count("split(") == 1
+
+
 def test_normalize_text(spark):
     assert column(spark, ["  A \n b ", None, "x" * 30], lambda c: T.normalize_text(c, 24)) == ["a b", "", "x" * 24]
 

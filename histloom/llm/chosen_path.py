@@ -18,7 +18,7 @@ several nodes of the first level is compared in one of them.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from histloom.llm import hashing
 from histloom.llm.graph import components
 from histloom.llm.memory import give_back
-from histloom.session import written
+from histloom.session import discard, written
 
 SHINGLE_WORDS = 5
 SIMILARITY = (80, 100)
@@ -390,49 +390,58 @@ def link_classes(
 ) -> DataFrame | None:
     """id and root of every class that is linked with another; None if there is none.
 
-    `found` is the written result of `sketches` over `texts`.
+    `found` is the written result of `sketches` over `texts`. Every table on the way, and the
+    shuffles that made it, are removed when nothing reads them any more.
     """
+    step = partial(written, drop_shuffles=True)
     classes = found.filter("n_shingles > 0")
     nodes = first_nodes(classes)
     shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
-    nodes = written(nodes.join(shared, "node"), "nodes")
-    classes = written(
+    nodes = step(nodes.join(shared, "node"), "nodes")
+    classes = step(
         classes.join(nodes.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(
             F.min("_id").alias("_id"), F.first("mins").alias("mins"), F.first("bits").alias("bits")
         ),
         "classes",
     )
     bits = classes.select("cls", "bits")
-    members = written(_members(nodes, None), "members")
-    large = members.filter(F.col("size") > EXHAUSTIVE)
+    members = step(_members(nodes, None), "members")
+    discard(nodes)
+    below, large = members, members.filter(F.col("size") > EXHAUSTIVE)
     small = members.filter(F.col("size") <= EXHAUSTIVE)
     met = small.groupBy("cls").agg(F.collect_list("node").alias("met"))
-    likely = written(likely_members(node_blocks(small.filter(F.col("out") <= EXHAUSTIVE), bits, met)), "likely")
+    likely = step(likely_members(node_blocks(small.filter(F.col("out") <= EXHAUSTIVE), bits, met)), "likely")
     needed = likely.select("cls").union(large.select("cls")).distinct()
     ids = classes.join(needed, "cls", "left_semi").select(F.col("_id").alias("_set_id"))
     chosen = texts.join(ids, F.col("_id").eqNullSafe(F.col("_set_id")), "left_semi")
     sets = full_sets(chosen, width).join(needed, "cls", "left_semi").dropDuplicates(["cls"])
-    sets = written(sets, "sets")
-    new, labels = block_links(likely, sets, similarity), None
+    sets = step(sets, "sets")
+    labels = None
     for level in range(1, MAX_LEVELS + 2):
         hot = not large.isEmpty()
+        new = block_links(likely, sets, similarity)
         if hot:
             new = new.union(confirm(pivot_pairs(large, bits), sets, similarity))
-        new = written(new, "links")
+        new = step(new, "links")
+        discard(likely)
         if not new.isEmpty():
             old = [] if labels is None else [labels.select(F.col("id").alias("a"), F.col("root").alias("b"))]
-            labels = written(components(reduce(DataFrame.union, old, new)), "labels")
+            last, labels = labels, step(components(reduce(DataFrame.union, old, new)), "labels")
+            discard(last)
+        discard(new)
         if not hot:
             break
-        still = written(_members(large.select("node", "cls"), labels), "open")
+        still = step(_members(large.select("node", "cls"), labels), "open")
+        if below is not members:  # all levels read where classes met in the first
+            discard(below)
         done = F.lit(True) if level == MAX_LEVELS else F.col("out") <= EXHAUSTIVE
         compared = still.filter(done)
-        below = _members(next_nodes(still.filter(~done), classes), labels)
-        below = written(below, "members")
+        below = step(_members(next_nodes(still.filter(~done), classes), labels), "members")
         small = below.filter(F.col("size") <= EXHAUSTIVE)
         large = below.filter(F.col("size") > EXHAUSTIVE)
-        likely = likely_members(node_blocks(compared.unionByName(small), bits, met))
-        new = block_links(written(likely, "likely"), sets, similarity)
+        likely = step(likely_members(node_blocks(compared.unionByName(small), bits, met)), "likely")
+        discard(still)
+    discard(classes, members, sets, None if below is members else below)
     return labels
 
 

@@ -18,10 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
     with a null end is left out.
     """
     ends = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
-    links = written(edges.filter("a <> b").select(*ends).distinct(), "links")
+    links = written(edges.filter("a <> b").select(*ends).distinct(), "links", drop_shuffles=True)
     seen = _mark(links)
     while seen[0]:
-        last, links = links, written(_small_star(_large_star(links)), "links")
+        last, links = links, written(_small_star(_large_star(links)), "links", drop_shuffles=True)
         discard(last)
         now = _mark(links)
         if now == seen:

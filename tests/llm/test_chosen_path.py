@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from histloom import session
 from histloom.llm import chosen_path
 from histloom.llm.graph import components
 
@@ -116,3 +117,20 @@ def test_components(spark, seed, n, m):
 def test_components_of_a_path(spark):
     path = spark.range(400).selectExpr("id as a", "id + 1 as b")
     assert {r["root"] for r in components(path).collect()} == {0}
+
+
+def test_no_table_on_the_way_stays(spark, monkeypatch, tmp_path):
+    """Only the labels and the last edges of the components are left, also after several levels,
+    and a setting of the session is as before."""
+    monkeypatch.setattr(chosen_path, "EXHAUSTIVE", 4)
+    monkeypatch.setitem(session._FOLDERS, spark.sparkContext.applicationId, str(tmp_path))
+    rows = [(i, f"all of these words are shared by every text but one {i % 11}") for i in range(60)]
+    rows += [(100 + i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(20)]
+    texts = spark.createDataFrame(rows, "_id long, _text string")
+    found = session.written(chosen_path.sketches(texts, 2), "sketches")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    labels = chosen_path.link_classes(found, texts, 2, (80, 100))
+    assert labels.count() == 11 and spark.conf.get(key, None) == before
+    left = sorted(f.name.rpartition("-")[0] for f in tmp_path.iterdir())
+    assert set(left) == {"labels", "links", "sketches"} and left.count("labels") == 1

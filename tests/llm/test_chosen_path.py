@@ -1,5 +1,6 @@
 import random
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import pytest
@@ -123,7 +124,7 @@ def test_no_table_on_the_way_stays(spark, monkeypatch, tmp_path):
     """Only the labels and the last edges of the components are left, also after several levels,
     and a setting of the session is as before."""
     monkeypatch.setattr(chosen_path, "EXHAUSTIVE", 4)
-    monkeypatch.setitem(session._FOLDERS, spark.sparkContext.applicationId, str(tmp_path))
+    monkeypatch.setattr(session, "scratch_path", lambda spark, name: f"{tmp_path}/{name}-{uuid.uuid4().hex}")
     rows = [(i, f"all of these words are shared by every text but one {i % 11}") for i in range(60)]
     rows += [(100 + i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(20)]
     texts = spark.createDataFrame(rows, "_id long, _text string")

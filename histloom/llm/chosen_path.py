@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from histloom.llm import hashing
 from histloom.llm.graph import components
 from histloom.llm.memory import give_back
+from histloom.operators.lookups import sieve, sifted
 from histloom.session import discard, written
 
 SHINGLE_WORDS = 5
@@ -122,6 +123,17 @@ def full_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "cls binary, shingles array<long>")
 
 
+def class_ids(classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The `sieve` of the ids that stand for the classes whose cls is in `wanted`."""
+    return sieve(classes.join(wanted.select("cls").distinct(), "cls", "left_semi"), ["_id"])
+
+
+def class_sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """cls and shingles of the classes whose ids are in `ids` (see `class_ids`), each once, and
+    of few others. The texts are read again and do not move: only sets are shuffled."""
+    return full_sets(sifted(texts, ids, ["_id"]), width).dropDuplicates(["cls"])
+
+
 def _child(node: Column, branch: Column, mins: Column) -> Column:
     """The node below `node` by a branch: the place that it draws, and the class's value there."""
     place = F.pmod(F.xxhash64(F.lit("place"), node, branch), F.lit(MINWISE)).cast("int")
@@ -137,10 +149,13 @@ def first_nodes(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(paths).alias("node"), "cls").distinct()
 
 
-def next_nodes(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """node and cls one level further down, for (node, cls) of open large nodes."""
+def next_nodes(members: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and cls one level further down, for (node, cls) of open large nodes. The minwise
+    values are those in `found`, of whose rows few but those in `wanted`, the `sieve` of the
+    members, leave the scan."""
     paths = F.array(*[_child(F.col("node"), F.lit(b), F.col("mins")) for b in range(BRANCHES)])
-    below = members.select("node", "cls").join(classes.select("cls", "mins"), "cls")
+    mins = sifted(found.select("cls", "mins"), wanted, ["cls"]).dropDuplicates(["cls"])
+    below = members.select("node", "cls").join(mins, "cls")
     return below.select(F.explode(paths).alias("node"), "cls").distinct()
 
 
@@ -391,16 +406,17 @@ def link_classes(
     """id and root of every class that is linked with another; None if there is none.
 
     `found` is the written result of `sketches` over `texts`. Every table on the way, and the
-    shuffles that made it, are removed when nothing reads them any more.
+    shuffles that made it, are removed when nothing reads them any more. Full sets are not
+    written: each level makes those of the classes that it compares from the texts.
     """
     step = partial(written, drop_shuffles=True)
-    classes = found.filter("n_shingles > 0")
-    nodes = first_nodes(classes)
+    found = found.filter("n_shingles > 0")
+    nodes = first_nodes(found)
     shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
     nodes = step(nodes.join(shared, "node"), "nodes")
     classes = step(
-        classes.join(nodes.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(
-            F.min("_id").alias("_id"), F.first("mins").alias("mins"), F.first("bits").alias("bits")
+        found.join(nodes.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(
+            F.min("_id").alias("_id"), F.first("bits").alias("bits")
         ),
         "classes",
     )
@@ -411,24 +427,26 @@ def link_classes(
     small = members.filter(F.col("size") <= EXHAUSTIVE)
     met = small.groupBy("cls").agg(F.collect_list("node").alias("met"))
     likely = step(likely_members(node_blocks(small.filter(F.col("out") <= EXHAUSTIVE), bits, met)), "likely")
-    needed = likely.select("cls").union(large.select("cls")).distinct()
-    ids = classes.join(needed, "cls", "left_semi").select(F.col("_id").alias("_set_id"))
-    chosen = texts.join(ids, F.col("_id").eqNullSafe(F.col("_set_id")), "left_semi")
-    sets = full_sets(chosen, width).join(needed, "cls", "left_semi").dropDuplicates(["cls"])
-    sets = step(sets, "sets")
     labels = None
     for level in range(1, MAX_LEVELS + 2):
         hot = not large.isEmpty()
-        new = block_links(likely, sets, similarity)
-        if hot:
-            new = new.union(confirm(pivot_pairs(large, bits), sets, similarity))
-        new = step(new, "links")
+        new = []
+        if not likely.isEmpty():
+            ids = step(class_ids(classes, likely), "ids")
+            new.append(step(block_links(likely, class_sets(texts, ids, width), similarity), "links"))
+            discard(ids)
         discard(likely)
-        if not new.isEmpty():
+        if hot:
+            pairs = step(pivot_pairs(large, bits), "pairs")
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+            ids = step(class_ids(classes, ends), "ids")
+            new.append(step(confirm(pairs, class_sets(texts, ids, width), similarity), "links"))
+            discard(ids, pairs)
+        if not all(links.isEmpty() for links in new):
             old = [] if labels is None else [labels.select(F.col("id").alias("a"), F.col("root").alias("b"))]
-            last, labels = labels, step(components(reduce(DataFrame.union, old, new)), "labels")
+            last, labels = labels, step(components(reduce(DataFrame.union, old + new)), "labels")
             discard(last)
-        discard(new)
+        discard(*new)
         if not hot:
             break
         still = step(_members(large.select("node", "cls"), labels), "open")
@@ -436,12 +454,15 @@ def link_classes(
             discard(below)
         done = F.lit(True) if level == MAX_LEVELS else F.col("out") <= EXHAUSTIVE
         compared = still.filter(done)
-        below = step(_members(next_nodes(still.filter(~done), classes), labels), "members")
+        opened = still.filter(~done)
+        wanted = step(sieve(opened.select("cls").distinct(), ["cls"]), "wanted")
+        below = step(_members(next_nodes(opened, found, wanted), labels), "members")
+        discard(wanted)
         small = below.filter(F.col("size") <= EXHAUSTIVE)
         large = below.filter(F.col("size") > EXHAUSTIVE)
         likely = step(likely_members(node_blocks(compared.unionByName(small), bits, met)), "likely")
         discard(still)
-    discard(classes, members, sets, None if below is members else below)
+    discard(classes, members, None if below is members else below)
     return labels
 
 

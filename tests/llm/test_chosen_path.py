@@ -135,3 +135,49 @@ def test_no_table_on_the_way_stays(spark, monkeypatch, tmp_path):
     assert labels.count() == 11 and spark.conf.get(key, None) == before
     left = sorted(f.name.rpartition("-")[0] for f in tmp_path.iterdir())
     assert set(left) == {"labels", "links", "sketches"} and left.count("labels") == 1
+
+
+@pytest.mark.parametrize("exhaustive", [2048, 4])
+def test_texts_stay_where_they_are_read(spark, monkeypatch, exhaustive):
+    """Full sets are made in the scan of the texts, for compared classes alone, and no table on the
+    way holds sets, nor minwise values but the first."""
+    read, tables = [], {}
+    make, write = chosen_path.full_sets, chosen_path.written
+
+    def full_sets(texts, width):
+        read.append((texts.count(), texts._jdf.queryExecution().executedPlan().toString()))
+        return make(texts, width)
+
+    def written(df, name, **how):
+        tables.setdefault(name, set()).update(df.columns)
+        return write(df, name, **how)
+
+    monkeypatch.setattr(chosen_path, "EXHAUSTIVE", exhaustive)
+    monkeypatch.setattr(chosen_path, "full_sets", full_sets)
+    monkeypatch.setattr(chosen_path, "written", written)
+    rows = [(i, f"all of these words are shared by every text but one {i % 11}") for i in range(60)]
+    rows += [(100 + i, " ".join(f"{c}{i}" for c in "abcdefgh")) for i in range(300)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of any size
+    try:
+        assert found(spark.createDataFrame(rows, "doc_id long, text string"), 2) == plain(rows, 2)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert read and all(0 < n <= 20 and "hashpartitioning" not in plan for n, plan in read)
+    assert all(not columns & {"shingles", "mins"} for name, columns in tables.items() if name != "sketches")
+
+
+@pytest.mark.parametrize("filtered", [True, False])
+def test_rows_that_the_filter_lets_through_change_nothing(spark, monkeypatch, filtered):
+    """A filter that drops too few rows gives the same; classes whose ids are all null are found."""
+    if not filtered:
+        monkeypatch.setattr(chosen_path, "sifted", lambda rows, kept, on: rows)
+    monkeypatch.setattr(chosen_path, "EXHAUSTIVE", 8)
+    monkeypatch.setattr(chosen_path, "BLOCK_ROWS", 4)
+    rows = near_texts(5, 40, [1, 2, 30], 0)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string"), 4) == plain(rows, 4)
+    base = " ".join(f"w{k}" for k in range(100))
+    odd = [(None, base + " x"), (5, base), (None, base + " y"), (None, base + " y"), (7, base), (7, "another text")]
+    docs = spark.createDataFrame(odd, "doc_id long, text string")
+    got = Counter((r[0], r[2], r[3]) for r in chosen_path.near_classes(docs, width=4).collect())
+    assert got == {(None, 5, False): 3, (5, 5, True): 1, (7, 5, False): 1, (7, 7, True): 1}

@@ -17,6 +17,7 @@ several nodes of the first level is compared in one of them.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial, reduce
 
@@ -229,32 +230,37 @@ def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tupl
         yield held
 
 
-def _pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the likely pairs of one pair of blocks that are not connected, and that have not
-    met in a node before this one."""
-    node, i, j = rows[0][:3]
+def _fresh(rows: list[tuple]) -> np.ndarray:
+    """Matrix of the pairs that are not connected, and that have not met in a node before this one."""
+    node, names, places = rows[0][0], {}, defaultdict(list)
+    label = np.array([names.setdefault(r[5], len(names)) for r in rows])
+    for k, r in enumerate(rows):
+        for place in r[7]:
+            places[place].append(k)
+    here = np.zeros(len(rows), dtype=bool)
+    here[places.pop(node, [])] = True
+    fresh = label[:, None] != label
+    for place, at in places.items():
+        if len(at) > 1:
+            first = here[at]  # of two places the lesser one comes first
+            fresh[np.ix_(at, at)] &= first[:, None] & first & (place > node)
+    return fresh
+
+
+def _pairs(rows: list[tuple]) -> np.ndarray:
+    """Matrix of the likely pairs of one pair of blocks that are to be compared here; both halves."""
+    _, i, j = rows[0][:3]
     if len(rows) < 2:
-        return np.zeros(0, int), np.zeros(0, int)
-    grid = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
-    if i == j:
-        left, right = np.triu_indices(len(rows), 1)
-        some = _likely(grid[left], grid[right]) >= SKETCH_SHARE if len(rows) < 64 else None
-        if some is None:
-            whole = np.stack([_likely(g, grid) for g in grid])
-            some = whole[left, right] >= SKETCH_SHARE
-        left, right = left[some], right[some]
-    else:
+        return np.zeros((len(rows), len(rows)), dtype=bool)
+    some = _fresh(rows)
+    if i != j:
         block = np.array([r[3] for r in rows])
-        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        if not len(a) or not len(b):
-            return np.zeros(0, int), np.zeros(0, int)
-        x, y = np.nonzero(np.stack([_likely(grid[k], grid[b]) for k in a]) >= SKETCH_SHARE)
-        left, right = a[x], b[y]
-    keep = [
-        k for k, (x, y) in enumerate(zip(left, right))
-        if rows[x][5] != rows[y][5] and min(set(rows[x][7]) & set(rows[y][7]), default=node) == node
-    ]
-    return left[keep], right[keep]
+        some &= block[:, None] != block
+    grid = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+    for k in np.flatnonzero(some.any(axis=1)):
+        at = k + 1 + np.flatnonzero(some[k, k + 1 :])
+        some[k, at] = some[at, k] = _likely(grid[k], grid[at]) >= SKETCH_SHARE
+    return some
 
 
 def likely_members(blocks: DataFrame) -> DataFrame:
@@ -263,8 +269,7 @@ def likely_members(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for rows in _groups(batches, len(_ROW)):
-            left, right = _pairs(rows)
-            out += [rows[k] for k in np.union1d(left, right)]
+            out += [rows[k] for k in np.flatnonzero(_pairs(rows).any(axis=1))]
             if len(out) >= 4096:
                 yield _batch(out)
                 out = []
@@ -279,50 +284,45 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, _ROW.values())], names=list(_ROW))
 
 
-def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of pairs of sets."""
-    if len(left) > 64:
-        names, column = np.unique(np.concatenate(sets), return_inverse=True)
-        if len(sets) * len(names) <= 1 << 24:
-            table = np.zeros((len(sets), len(names)), dtype=np.float32)
-            table[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), column] = 1.0
-            return (table @ table.T)[left, right].astype(np.int64)
-    return np.array(
-        [np.isin(*sorted((sets[x], sets[y]), key=len), assume_unique=True, kind="sort").sum() for x, y in zip(left, right)],
-        dtype=np.int64,
-    )
+def _joining(rows: list[tuple], some: np.ndarray, sets: list[np.ndarray], similarity: tuple[int, int]) -> list[tuple[int, int]]:
+    """Places of linked pairs among those in `some` that join all that any of them connect. A row is
+    compared with the rows that it is not connected with when its turn comes, all at once."""
+    num, den = similarity
+    sizes = np.array([len(s) for s in sets])
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    codes = np.split(flat, np.cumsum(sizes)[:-1])
+    first: dict[bytes, int] = {}
+    root = np.array([first.setdefault(r[5], k) for k, r in enumerate(rows)])
+    own, links = np.zeros(len(names), dtype=bool), []
+    for x in np.flatnonzero(some.any(axis=1)):
+        small, big = np.minimum(sizes, sizes[x]), np.maximum(sizes, sizes[x])
+        open_ = some[x] & (root != root[x]) & (den * small >= num * big)
+        at = x + 1 + np.flatnonzero(open_[x + 1 :])
+        if not len(at):
+            continue
+        own[codes[x]] = True
+        starts = np.cumsum(sizes[at]) - sizes[at]
+        both = np.add.reduceat(own[np.concatenate([codes[y] for y in at])], starts, dtype=np.int64)
+        own[codes[x]] = False
+        for y in at[den * both >= num * (sizes[x] + sizes[at] - both)]:
+            if root[y] != root[x]:
+                root[root == root[y]] = root[x]
+                links.append((x, y))
+    return links
 
 
 def block_links(likely: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """a, b: links found on the full sets of `likely_members`. Within a pair of blocks, only
     those that connect something new."""
-    num, den = similarity
     filled = likely.join(sets, "cls").select(*_ROW, "shingles")
     filled = filled.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, len(_ROW) + 1):
-            left, right = _pairs(rows)
-            sets = [r[8] for r in rows]
-            sizes = np.array([len(s) for s in sets])
-            both = _overlaps(sets, left, right)
-            good = den * both >= num * (sizes[left] + sizes[right] - both)
-            root = {r[5]: r[5] for r in rows}
-
-            def find(x):
-                while root[x] != x:
-                    x = root[x]
-                return x
-
-            a, b = [], []
-            for x, y in zip(left[good], right[good]):
-                p, q = find(rows[x][5]), find(rows[y][5])
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    a.append(rows[x][4])
-                    b.append(rows[y][4])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            links = _joining(rows, _pairs(rows), [r[8] for r in rows], similarity)
+            if links:
+                ends = [pa.array([rows[k][4] for k in side], pa.binary()) for side in zip(*links)]
+                yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
         give_back()
 
     return filled.mapInArrow(run, "a binary, b binary")

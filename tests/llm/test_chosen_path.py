@@ -1,12 +1,15 @@
 import random
 import re
+import time
 import uuid
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from histloom import session
-from histloom.llm import chosen_path
+from histloom.llm import chosen_path, graph
 from histloom.llm.graph import components
 
 
@@ -181,3 +184,66 @@ def test_rows_that_the_filter_lets_through_change_nothing(spark, monkeypatch, fi
     docs = spark.createDataFrame(odd, "doc_id long, text string")
     got = Counter((r[0], r[2], r[3]) for r in chosen_path.near_classes(docs, width=4).collect())
     assert got == {(None, 5, False): 3, (5, 5, True): 1, (7, 5, False): 1, (7, 7, True): 1}
+
+
+@pytest.mark.parametrize("i,j", [(0, 0), (0, 1)])
+def test_pairs_of_blocks_against_plain_loops(monkeypatch, i, j):
+    """Which pairs are compared in a node, and that their links join what all links would."""
+    monkeypatch.setattr(chosen_path, "SKETCH_SHARE", 0.5)
+    draw = random.Random(i + j)
+    for node in (3, 9):  # among the places where rows met, or not
+        for n in (1, 2, 5, 40, 90):
+            rows = [
+                (node, i, j, draw.choice([i, j]), bytes([k]), bytes([draw.randrange(1 + n)]), bytes(draw.choices([1, 2], k=4)),
+                 draw.sample([1, 2, 4, 5, 6, 7, 8], draw.randrange(3)) + [3])
+                for k in range(n)
+            ]
+            sets = [np.unique(np.array(draw.choices(range(12), k=8))) for _ in rows]
+            some = chosen_path._pairs(rows)
+            wanted = {
+                (x, y) for x in range(n) for y in range(x + 1, n)
+                if rows[x][5] != rows[y][5] and (i == j or rows[x][3] != rows[y][3])
+                and sum(a == b for a, b in zip(rows[x][6], rows[y][6])) >= 2
+                and min(set(rows[x][7]) & set(rows[y][7]), default=node) == node
+            }
+            assert {(x, y) for x, y in zip(*np.nonzero(some)) if x < y} == wanted and (some == some.T).all()
+            links = {(x, y) for x, y in wanted if 10 * len(a := np.intersect1d(sets[x], sets[y])) >= 8 * (len(sets[x]) + len(sets[y]) - len(a))}
+            got = chosen_path._joining(rows, some, sets, (8, 10))
+            same = [(f"l{r[5]}", k) for k, r in enumerate(rows)]
+            ids = [*range(n), *{x for x, _ in same}]
+            order = {x: k for k, x in enumerate(ids)}
+            number = lambda pairs: [(order[a], order[b]) for a, b in pairs]
+            assert set(got) <= links and roots(number([*got, *same]), range(len(ids))) == roots(number([*links, *same]), range(len(ids)))
+
+
+class Frame:
+    """Stands for any table; gives what is mapped over it."""
+
+    def __getattr__(self, name):
+        return lambda *columns: self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_near_copies_of_a_node_are_not_compared_pair_by_pair():
+    """One task with a node of 1500 near copies, no two alike: a million pairs, but all are joined once a
+    row has been compared with the others."""
+    draw = np.random.default_rng(6)
+    base = draw.integers(0, 1 << 60, 200)
+    sets = [np.unique(np.append(base, draw.integers(0, 1 << 60, 12))) for _ in range(1500)]
+    rows = [(7, 0, 0, 0, k.to_bytes(2), k.to_bytes(2), bytes(64), [7, 11, 12]) for k in range(len(sets))]
+    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), chosen_path._ROW.values())]
+    batch = pa.RecordBatch.from_arrays([*columns, chosen_path._lists(sets)], names=[*chosen_path._ROW, "shingles"])
+    began = time.process_time()
+    found = chosen_path.block_links(Frame(), Frame(), (80, 100))([batch])
+    assert sum(links.num_rows for links in found) == len(sets) - 1
+    assert time.process_time() - began < 10
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(graph, "written", lambda df, name, **how: tables.append(name) or session.written(df, name, **how))
+    stars = spark.range(60).selectExpr("id as a", "id % 3 as b")
+    assert {(r["id"], r["root"]) for r in components(stars).collect()} == {(k, k % 3) for k in range(60)}
+    assert tables == ["links"]
